@@ -27,7 +27,7 @@ class UnitLexicon:
     )
     mention: str = "(?:^|[\\s\\u200e\\u200f])ו?יחידת\\s+דיור"
     separators: tuple[str, ...] = tuple(lx.UNIT_SEPARATORS)
-    negation: str | None = "(?:ללא|אין|אינו|איננו|לא\\s+(?:כולל|מכיל|יש|קיים|נכלל))\\b"
+    negation: str | None = "(?U)(?:ללא|אין|אינו|איננו|לא\\s+(?:כולל|מכיל|יש|קיים|נכלל))\\b"
     veto_before: int = 10
     negation_window: int = 40
 

@@ -7,6 +7,11 @@ from pyspark.sql import Column, functions as F
 from hearthline import lexicons as lx
 
 
+def half_even(c: Column, digits: int) -> Column:
+    """Round half to even; the inner rounding removes floating-point noise at ties."""
+    return F.bround(F.round(c, digits + 4), digits)
+
+
 def effective(user: Column, scraped: Column, *fallback: Column) -> Column:
     """User override, else the scraped value, else a fallback column."""
     return F.coalesce(user, scraped, *fallback)

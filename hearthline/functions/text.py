@@ -292,7 +292,9 @@ def map_link(lat: Column, lon: Column, address: Column, city: Column, country: s
         lat.cast("string"), F.lit(","), lon.cast("string"),
     )
     query = F.concat_ws(", ", blank_to_null(address), blank_to_null(city), F.lit(country))
-    quoted = F.regexp_replace(F.regexp_replace(F.url_encode(query), r"\+", "%20"), "%2F", "/")
+    quoted = F.url_encode(query)
+    for form, uri in [(r"\+", "%20"), ("%2F", "/"), ("%7E", "~"), (r"\*", "%2A")]:
+        quoted = F.regexp_replace(quoted, form, uri)
     search = F.concat(F.lit("https://www.google.com/maps/search/?api=1&query="), quoted)
     return F.when(lat.isNotNull() & lon.isNotNull(), pano).otherwise(search)
 

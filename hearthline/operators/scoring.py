@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthline import lexicons as lx
 from hearthline.functions.mining import HEBREW_UNITS, UnitLexicon, units_count_plain
-from hearthline.functions.numeric import drop_percent, effective, haversine_km, price_per_area
+from hearthline.functions.numeric import (
+    drop_percent, effective, half_even, haversine_km, price_per_area,
+)
 from hearthline.functions.text import any_of, phrase_hits, search_text, standalone_word
 from hearthline.schema import SCORE_REASONS
 
@@ -75,7 +77,7 @@ def market_delta(per_area: Column, lo: Column, hi: Column) -> Column:
     above = F.least(per_area - hi, hi * 0.2) / F.greatest(hi * 0.2, F.lit(1.0)) * -2.0
     return F.when(
         per_area > 0,
-        F.bround(F.when(per_area <= lo, below).when(per_area <= hi, inside).otherwise(above), 2),
+        half_even(F.when(per_area <= lo, below).when(per_area <= hi, inside).otherwise(above), 2),
     )
 
 
@@ -149,7 +151,8 @@ def feature_points() -> Column:
 
 
 def drop_points(before: Column, price: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), drop_percent(before, price) / 5.0))
+    drop = drop_percent(before, price)
+    return F.when(drop.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), drop / 5.0)))
 
 
 def age_points(age: Column) -> Column:
@@ -172,7 +175,7 @@ def liquidity_points(price: Column, limit: int = 5_000_000) -> Column:
 
 def clamp_score(total: Column) -> Column:
     """base 5, one decimal, within 1..10."""
-    return F.greatest(F.lit(1.0), F.least(F.lit(10.0), F.bround(F.lit(5.0) + total, 1)))
+    return F.greatest(F.lit(1.0), F.least(F.lit(10.0), half_even(F.lit(5.0) + total, 1)))
 
 
 _PARTS = "_units _garden _band _market _km _drop _age".split()

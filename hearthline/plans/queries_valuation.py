@@ -8,7 +8,7 @@ from hearthline.functions.numeric import price_per_area
 from hearthline.operators.filters import SearchConfig, search_filter
 from hearthline.operators.scoring import clamp_score, market_delta, market_label, reference_band, seller_points
 from hearthline.operators.valuation import fair_price
-from hearthline.plans.registry import query
+from hearthline.plans.registry import half_even_sql, query
 from hearthline.sources.tables import deals, listings
 
 AS_OF = "2001-08-01"
@@ -69,15 +69,15 @@ def fair_price_query(spark: SparkSession, folder: str) -> DataFrame:
   FROM listings l LEFT JOIN priced p USING (source, source_id)
   WHERE l.rooms BETWEEN 1.5 AND 5.0 AND l.price BETWEEN 300000 AND 2500000 AND l.sqm >= 40
 ), delta AS (
-  SELECT *, CASE WHEN ppsqm > 0 THEN round_even(CASE
+  SELECT *, CASE WHEN ppsqm > 0 THEN """ + half_even_sql("""CASE
       WHEN ppsqm <= lo THEN 3.0::DOUBLE - least(ppsqm::DOUBLE, lo) / greatest(lo, 1.0::DOUBLE)
       WHEN ppsqm <= hi THEN 2.0::DOUBLE - (ppsqm - lo) / greatest(hi - lo, 1.0::DOUBLE) * 2.0::DOUBLE
-      ELSE least(ppsqm - hi, hi * 0.2::DOUBLE) / greatest(hi * 0.2::DOUBLE, 1.0::DOUBLE) * -2.0::DOUBLE END, 2) END AS market_delta
+      ELSE least(ppsqm - hi, hi * 0.2::DOUBLE) / greatest(hi * 0.2::DOUBLE, 1.0::DOUBLE) * -2.0::DOUBLE END""", 2) + """ END AS market_delta
   FROM base
 )
 SELECT source, source_id, price, fair_price_estimate, ppsqm AS price_per_sqm, round(market_delta, 2) AS market_delta,
        CASE WHEN ppsqm > 0 THEN CASE WHEN ppsqm <= lo THEN 'below band' WHEN ppsqm <= hi THEN 'in band' ELSE 'above band' END END AS market_label,
-       greatest(1.0::DOUBLE, least(10.0::DOUBLE, round_even(5.0::DOUBLE + (coalesce(market_delta, 0) + CASE WHEN is_agent THEN -0.48::DOUBLE ELSE 0.72::DOUBLE END), 1))) AS score
+       greatest(1.0::DOUBLE, least(10.0::DOUBLE, """ + half_even_sql("5.0::DOUBLE + (coalesce(market_delta, 0) + CASE WHEN is_agent THEN -0.48::DOUBLE ELSE 0.72::DOUBLE END)", 1) + """)) AS score
 FROM delta
 """)
 def fair_price_score(spark: SparkSession, folder: str) -> DataFrame:

@@ -38,6 +38,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def half_even_sql(value: str, digits: int) -> str:
+    """Check-SQL twin of ``half_even``: exact ties in units of 10^-(digits+4)."""
+    return (
+        f"list_transform([round(({value}) * 1e{digits + 4})::BIGINT], lambda v: "
+        f"((v - ((v % 10000) + 10000) % 10000) // 10000 + CASE WHEN ((v % 10000) + 10000) % 10000 > 5000 "
+        f"OR (((v % 10000) + 10000) % 10000 = 5000 AND ((v - ((v % 10000) + 10000) % 10000) // 10000) % 2 <> 0) "
+        f"THEN 1 ELSE 0 END) / 1e{digits})[1]"
+    )
+
+
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     for module in MODULES:
         import_module(f"hearthline.plans.queries_{module}")
