@@ -430,18 +430,20 @@ def icon_flags(icons: Column, labels: Sequence[tuple[str, str]] | None = None) -
     short = F.filter(
         icons, lambda i: (F.length(i["label"]) > 0) & (F.length(i["label"]) <= lx.AMENITY_LABEL_MAX)
     )
-    first = [word for word, _ in labels]
-    out = {}
-    for flag in dict.fromkeys(f for _, f in labels):
-        def mine(i, flag=flag):
-            # the first label that occurs decides which flag an icon belongs to
-            chain = F.lit(None).cast("string")
-            for word, owner in reversed(labels):
-                chain = F.when(i["label"].contains(word), F.lit(owner)).otherwise(chain)
-            return chain == flag
-        hits = F.filter(short, mine)
-        out[flag] = F.when(F.size(hits) > 0, F.exists(hits, lambda i: i["checked"]))
-    return out
+    # the first label that occurs decides which flag an icon belongs to
+    owned = F.transform(
+        short,
+        lambda i: F.struct(
+            F.coalesce(*[F.when(i["label"].contains(w), flag) for w, flag in labels]).alias("flag"),
+            i["checked"].alias("checked"),
+        ),
+    )
+
+    def state(flag: str) -> Column:
+        hits = F.filter(owned, lambda i: i["flag"] == flag)
+        return F.when(F.size(hits) > 0, F.exists(hits, lambda i: i["checked"]))
+
+    return {flag: state(flag) for flag in dict.fromkeys(f for _, f in labels)}
 
 
 def property_type(c: Column, table: dict[str, str] | None = None) -> Column:
