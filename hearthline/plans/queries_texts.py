@@ -136,7 +136,7 @@ def parse_price(spark, folder):
         .when(kind == 1, F.concat(F.lit("₪"), F.floor(c("price") / 1000).cast("string"), F.lit("K")))
         .when(kind == 2, F.concat(
             F.floor(c("price") / 1000000).cast("string"), F.lit("."),
-            F.lpad((F.floor(c("price") / 10000) % 100).cast("string"), 2, "0"), F.lit("m"))))
+            F.lpad((F.floor(c("price") / 10000) % 100).cast("string"), 2, "0"), F.lit("m")))
         .when(kind == 3, "ask").otherwise("0 ₪")
     )
     return listings(spark, folder).select("source", "source_id", tx.parse_price(text).alias("price"))
