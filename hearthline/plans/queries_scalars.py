@@ -84,7 +84,7 @@ def lifecycle_dates(spark, folder):
 SELECT source, source_id, greatest(0, DATE '2000-01-01' - observed_at)::BIGINT AS age_days,
   (2001 - year_built)::BIGINT AS building_age,
   (date_trunc('month', observed_at - INTERVAL 540 DAY)::DATE)::VARCHAR AS cutoff_days,
-  (date_trunc('month', observed_at - INTERVAL 18 MONTH)::DATE)::VARCHAR AS cutoff_calendar,
+  make_date((year(observed_at) * 12 + month(observed_at) - 19) // 12, (year(observed_at) * 12 + month(observed_at) - 19) % 12 + 1, 1)::VARCHAR AS cutoff_calendar,
   (year(observed_at) * 12 + month(observed_at))::BIGINT AS month_index FROM listings
 """)
 def listing_age(spark, folder):
@@ -157,7 +157,7 @@ def bounded_cast(spark, folder):
 STORY_SQL = """
 CASE part_id % 8 WHEN 0 THEN 'בית עם ' || line_no || ' יחידות דיור, גינה של ' || sqm || ' מ"ר'
   WHEN 1 THEN 'מחולקת ל-' || line_no || ' דירות, מגרש ' || sqm * 4 || ' מ״ר. חצר'
-  WHEN 2 THEN line_no || ' יחידות דיור יחידות הורים'
+  WHEN 2 THEN line_no || ' יחידות דיוריחידות הורים'
   WHEN 3 THEN 'וילה יחידת דיור נפרדת ויחידת דיור נוספת ' || ' חצר ' || sqm || ' מ''ר'
   WHEN 4 THEN 'נבנה בשנת ' || year_built || ', ' || rooms || ' חדרים, קומה ' || line_no || ' , ' || sqm || ' מ"ר'
   WHEN 5 THEN 'אין יחידת דיור. נכס בן ' || p || ' שנים בקומת קרקע'
@@ -171,7 +171,7 @@ def story():
     return (
         F.when(k == 0, j("בית עם ", c("line_no"), " יחידות דיור, גינה של ", c("sqm"), ' מ"ר'))
         .when(k == 1, j("מחולקת ל-", c("line_no"), " דירות, מגרש ", c("sqm") * 4, " מ״ר. חצר"))
-        .when(k == 2, j(c("line_no"), " יחידות דיור יחידות הורים"))
+        .when(k == 2, j(c("line_no"), " יחידות דיוריחידות הורים"))
         .when(k == 3, j("וילה יחידת דיור נפרדת ויחידת דיור נוספת ", " חצר ", c("sqm"), " מ'ר"))
         .when(k == 4, j("נבנה בשנת ", c("year_built"), ", ", c("rooms"), " חדרים, קומה ", c("line_no"), " , ", c("sqm"), ' מ"ר'))
         .when(k == 5, j("אין יחידת דיור. נכס בן ", c("p"), " שנים בקומת קרקע"))
@@ -212,7 +212,7 @@ AREAS_SQL = rf"""
 SELECT source, source_id, CASE WHEN g BETWEEN 5 AND 9999 THEN g END::BIGINT AS garden, CASE WHEN l BETWEEN 20 AND 99999 THEN l END::BIGINT AS lot,
   CASE WHEN part_id % 8 = 4 THEN rooms END AS rooms, CASE WHEN part_id % 8 IN (0, 3, 4) THEN sqm WHEN part_id % 8 = 1 THEN sqm * 4 END::BIGINT AS sqm,
   CASE WHEN part_id % 8 = 4 THEN line_no WHEN part_id % 8 = 5 THEN 0 END::BIGINT AS floor,
-  CASE WHEN part_id % 8 IN (1, 3) THEN least(99999, CASE WHEN part_id % 8 = 1 THEN sqm * 4 END) END::BIGINT AS lot_loose FROM m
+  CASE WHEN part_id % 8 = 1 THEN sqm * 4 END::BIGINT AS lot_loose FROM m
 """)
 def text_measures(spark, folder):
     rows = stories(spark, folder)
