@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from hearthline.functions.text import let
+
 BITS = 61
 
 
@@ -17,43 +19,45 @@ def chars(c: Column) -> Column:
 
 def char_masks(c: Column) -> Column:
     """MAP(character -> bits of its positions); NULL for texts that do not fit."""
-    letters = chars(c)
-    places = F.transform(letters, lambda ch, i: F.struct(ch.alias("ch"), i.alias("i")))
-
-    def bits(ch: Column) -> Column:
-        return F.aggregate(
-            F.filter(places, lambda p: p["ch"] == ch),
-            F.lit(0).cast("bigint"),
-            lambda acc, p: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), p["i"])),
-        )
+    one = F.lit(1).cast("bigint")
+
+    def masks(places: Column) -> Column:
+        def bits(ch: Column) -> Column:
+            mine = F.filter(places, lambda p: p["ch"] == ch)
+            return F.aggregate(
+                mine, F.lit(0).cast("bigint"),
+                lambda acc, p: acc.bitwiseOR(F.call_function("shiftleft", one, p["i"])),
+            )
+        letters = F.array_distinct(F.transform(places, lambda p: p["ch"]))
+        return F.map_from_entries(F.transform(letters, lambda ch: F.struct(ch, bits(ch))))
 
-    entries = F.transform(F.array_distinct(letters), lambda ch: F.struct(ch, bits(ch)))
-    return F.when(F.char_length(c) <= BITS, F.map_from_entries(entries))
+    places = F.transform(chars(c), lambda ch, i: F.struct(ch.alias("ch"), i.alias("i")))
+    return F.when(F.char_length(c) <= BITS, let(places, masks))
 
 
 def _lcs_bits(masks: Column, length: Column, other: Column) -> Column:
-    full = F.call_function("shiftleft", F.lit(1).cast("bigint"), length) - 1
-
-    def step(v: Column, ch: Column) -> Column:
-        hit = v.bitwiseAND(F.coalesce(F.try_element_at(masks, ch), F.lit(0).cast("bigint")))
-        return (v + hit).bitwiseOR(v - hit).bitwiseAND(full)
+    def run(full: Column) -> Column:
+        def step(v: Column, ch: Column) -> Column:
+            hit = v.bitwiseAND(F.coalesce(F.try_element_at(masks, ch), F.lit(0).cast("bigint")))
+            return (v + hit).bitwiseOR(v - hit).bitwiseAND(full)
+        return F.bit_count(F.aggregate(chars(other), full, step))
 
-    return length - F.bit_count(F.aggregate(chars(other), full, step))
+    return length - let(F.call_function("shiftleft", F.lit(1).cast("bigint"), length) - 1, run)
 
 
 def _lcs_table(a: Column, b: Column) -> Column:
-    right = chars(b)
-    zero = F.array_repeat(F.lit(0), F.char_length(b) + 1)
-
-    def row(previous: Column, ch: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            value = F.when(F.get(right, j) == ch, F.get(previous, j) + 1).otherwise(
-                F.greatest(F.get(previous, j + 1), F.element_at(done, -1))
-            )
-            return F.array_append(done, value)
-        return F.aggregate(F.sequence(F.lit(0), F.char_length(b) - 1), F.array(F.lit(0)), cell)
-
-    return F.element_at(F.aggregate(chars(a), zero, row), -1)
+    def table(right: Column) -> Column:
+        def row(previous: Column, ch: Column) -> Column:
+            def cell(done: Column, j: Column) -> Column:
+                value = F.when(F.get(right, j) == ch, F.get(previous, j) + 1).otherwise(
+                    F.greatest(F.get(previous, j + 1), F.element_at(done, -1))
+                )
+                return F.array_append(done, value)
+            return F.aggregate(F.sequence(F.lit(0), F.size(right) - 1), F.array(F.lit(0)), cell)
+        zero = F.array_repeat(F.lit(0), F.size(right) + 1)
+        return F.element_at(F.aggregate(chars(a), zero, row), -1)
+
+    return let(chars(b), table)
 
 
 def lcs_length(a: Column, b: Column, masks: Column | None = None) -> Column:

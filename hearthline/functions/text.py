@@ -20,6 +20,11 @@ def literal_array(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it inside a lambda, where it would run per element."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -396,7 +401,7 @@ def standalone_word(c: Column, word: str, letters: str = r"\u0590-\u05ff") -> Co
 
 
 def phrase_hits(c: Column, phrases: Sequence[str]) -> Column:
-    return F.filter(literal_array(phrases), lambda p: c.contains(p))
+    return let(c, lambda text: F.filter(literal_array(phrases), lambda p: text.contains(p)))
 
 
 def keyword_flags(c: Column, words: dict[str, list[str]] | None = None) -> dict[str, Column]:
@@ -405,7 +410,7 @@ def keyword_flags(c: Column, words: dict[str, list[str]] | None = None) -> dict[
 
 
 def contains_all(c: Column, tokens: Column) -> Column:
-    return F.forall(tokens, lambda t: c.contains(t))
+    return let(c, lambda text: F.forall(tokens, lambda t: text.contains(t)))
 
 
 def detect_agent(

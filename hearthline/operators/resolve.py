@@ -16,13 +16,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthline.functions import similarity as sim
 from hearthline.functions.text import (
-    area_bucket, blank_to_null, canonical_id, canonicalize_address, rooms_bucket, street_number,
+    area_bucket, blank_to_null, canonical_id, canonicalize_address, let, rooms_bucket, street_number,
 )
 from hearthline.session import cut_lineage
 
 THRESHOLD = 85
 KNOWN_TOKENS = 4096
 SHARED = 2
+SMALL_BLOCK = 64
 
 
 def key_parts(df: DataFrame) -> DataFrame:
@@ -62,11 +63,14 @@ def representatives(grouped: DataFrame, order: Sequence[str] = ("first_seen_at",
 
 def _tokens(text: Column) -> Column:
     """Characters numbered by occurrence: 'anna' -> a1 n1 n2 a2, as a set."""
-    letters = sim.chars(text)
-    return F.transform(
-        letters,
-        lambda ch, i: F.concat(ch, F.size(F.filter(F.slice(letters, 1, i + 1), lambda x: x == ch)).cast("string")),
-    )
+    def numbered(letters: Column) -> Column:
+        return F.transform(
+            letters,
+            lambda ch, i: F.concat(
+                ch, F.size(F.filter(F.slice(letters, 1, i + 1), lambda x: x == ch)).cast("string")
+            ),
+        )
+    return let(sim.chars(text), numbered)
 
 
 def _token_ranks(nodes: DataFrame) -> DataFrame:
@@ -78,16 +82,21 @@ def _token_ranks(nodes: DataFrame) -> DataFrame:
     ).withColumn("_one", F.lit(1))
 
 
-def _signatures(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of tokens from the rare end of each text that any similar text must share.
+def _signatures(nodes: DataFrame, percent: int, block: Sequence[str]) -> DataFrame:
+    """Join keys such that two similar texts of a block share one.
 
     Two texts of similarity s share at least o = s*(la+lb)/2 tokens. With all tokens in one common
-    order, the first len-o+2 tokens of both then have two in common.
+    order, the first len-o+2 tokens of both then have two in common, so pairs of those tokens are
+    the keys. Blocks of at most SMALL_BLOCK texts use one key for all.
     """
     n = F.char_length("text")
     shortest = F.ceil(n * percent / (200 - percent))
     needed = F.ceil((n + shortest) * percent / 200)
-    spread = nodes.withColumn("_all", _tokens(F.col("text"))).withColumn("_city", _tokens(F.col("city_n")))
+    sizes = nodes.groupBy(*block).agg((F.count(F.lit(1)) <= SMALL_BLOCK).alias("_small"))
+    spread = nodes.join(sizes, list(block)).withColumns({
+        "_all": F.when(~F.col("_small"), _tokens(F.col("text"))),
+        "_city": F.when(~F.col("_small"), _tokens(F.col("city_n"))),
+    })
     ranked = spread.withColumn("_one", F.lit(1)).join(F.broadcast(_token_ranks(spread)), "_one", "left")
     # any order shared by the texts of a city is exact; rare tokens first makes it selective, and
     # the city's own characters, which every text of the city has, go last
@@ -102,8 +111,9 @@ def _signatures(nodes: DataFrame, percent: int) -> DataFrame:
     pairs = lambda a: F.flatten(F.transform(
         a, lambda x, i: F.transform(F.slice(a, i + 2, F.size(a)), lambda y: F.concat(x, F.lit("|"), y))
     ))
-    return ranked.withColumn("head", head).withColumn("signature", F.explode(pairs(F.col("head")))).drop(
-        "_all", "_city", "_ranks", "_one"
+    keys = F.when(F.col("_small"), F.array(F.lit("*"))).otherwise(let(F.col("head"), pairs))
+    return ranked.withColumn("head", head).withColumn("signature", F.explode(keys)).drop(
+        "_all", "_city", "_ranks", "_one", "_small"
     )
 
 
@@ -115,7 +125,7 @@ def similar_pairs(
     ``nodes``: id, text, city_n, seen (sortable) and the block columns; texts differ within a block.
     """
     cut = nodes.select("id", "text", "seen", *dict.fromkeys(["city_n", *block]))
-    signed = _signatures(cut.withColumn("masks", sim.char_masks(F.col("text"))), percent)
+    signed = _signatures(cut.withColumn("masks", sim.char_masks(F.col("text"))), percent, block)
     later, earlier = signed.alias("x"), signed.drop("masks").alias("y")
     x, y = lambda n: F.col(f"x.{n}"), lambda n: F.col(f"y.{n}")
     on = (x("signature") == y("signature")) & (x("seen") > y("seen"))
@@ -127,7 +137,7 @@ def similar_pairs(
     return (
         later.join(earlier, on)
         .filter(sim.length_gate(x("text"), y("text"), percent))
-        .filter(x("signature") == first_shared)  # each pair once
+        .filter((x("signature") == "*") | (x("signature") == first_shared))  # each pair once
         .filter(sim.levenshtein_gate(x("text"), y("text"), percent))
         .withColumn("lcs", lcs)
         .filter(sim.at_least(F.col("lcs"), x("text"), y("text"), percent))

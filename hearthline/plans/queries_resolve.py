@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hearthline.functions import similarity as sim
 from hearthline.operators import resolve as rs, state as st
 from hearthline.plans.registry import query
+from hearthline.session import cut_lineage
 from hearthline.sources.tables import listings, observations
 
 c = F.col
@@ -142,7 +143,7 @@ FROM pairs WHERE lcs * 200 >= total * 85 GROUP BY id
 """)
 def fuzzy_match(spark, folder):
     """Best earlier street text at or above the threshold."""
-    best = rs.best_parent(rs.similar_pairs(street_nodes(spark, folder)))
+    best = rs.best_parent(rs.similar_pairs(cut_lineage(street_nodes(spark, folder))))
     return best.select("id", "parent", F.round("similarity", 6).alias("similarity"))
 
 
