@@ -85,9 +85,18 @@ def units_count_brief(c: Column, patterns: tuple[str, str] = UNITS_BRIEF) -> Col
     return F.coalesce(F.regexp_extract(c, count, 1).try_cast("int"), F.when(c.rlike(bare), 1))
 
 
-def bounded_number(c: Column, patterns: tuple[str, ...], lo: int, hi: int, groups: int = 1) -> Column:
-    """First pattern that matches gives the number; NULL outside [lo, hi]."""
-    hits = [group_of(c, p, g) for p in patterns for g in range(1, groups + 1)]
+def bounded_number(
+    c: Column, patterns: tuple[str, ...], lo: int, hi: int, groups: int = 1, tail: str | None = None
+) -> Column:
+    """The first pattern that matches gives the number; NULL outside [lo, hi].
+
+    ``tail`` is the form of the number when it is the last one of the match: then each pattern runs
+    once, whatever its number of groups.
+    """
+    if tail:
+        hits = [group_of(F.regexp_extract(c, p, 0), f"({tail})[^0-9]*$") for p in patterns]
+    else:
+        hits = [group_of(c, p, g) for p in patterns for g in range(1, groups + 1)]
     value = F.coalesce(*hits).try_cast("int")
     return F.when(value.between(lo, hi), value)
 
@@ -102,7 +111,7 @@ LOT = (f"מגרש[^.\\n]{{0,30}}?([0-9]{{2,5}})\\s*{METRE}",)
 LOT_LOOSE = (
     "(?:מגרש|קרקע|המגרש|פינת[יי])(?:[^.\\n]{0,80}?([0-9]{3,5})\\s*(?:מ[״\"'׳]?ר|מטר)"
     "|\\s*מ[״\"'׳]?ר\\s*([0-9]{3,5})|[^.\\n]{0,40}?([0-9]{3,5})(?:[\\s,.]|$))",
-    "(?:דונם|חצי\\s+דונם)[^.]{0,40}?([0-9]{3,5})\\s*(?:מ[״\"'׳]?ר|מטר)()()",
+    "(?:דונם|חצי\\s+דונם)[^.]{0,40}?([0-9]{3,5})\\s*(?:מ[״\"'׳]?ר|מטר)",
 )
 _NOT_BUILT = "(?!(?:\\s*(?:מגרש|קרקע|גינ[הת]|חצר|מרפסת|מרפסות)))"
 BUILT = (
@@ -127,11 +136,11 @@ def lot_area(c: Column, patterns: tuple[str, ...] = LOT) -> Column:
 
 def lot_area_loose(c: Column) -> Column:
     """Plot size with or without a unit, or after a dunam mention."""
-    return bounded_number(c, LOT_LOOSE, 0, 99999, 3)
+    return bounded_number(c, LOT_LOOSE, 0, 99999, tail="[0-9]{3,5}")
 
 
 def built_area(c: Column, patterns: tuple[str, ...] = BUILT) -> Column:
-    return bounded_number(c, patterns, 10, 9999, 7)
+    return bounded_number(c, patterns, 10, 9999, tail="[0-9]{2,4}")
 
 
 @dataclass(frozen=True)
@@ -148,7 +157,6 @@ class YearLexicon:
         "|(?:בית|דירה|נכס|מבנה|קוטג|וילה)\\s+חדש[ה]?\\s*(?:מ(?:קבלן|ן\\s+היסוד))?\\s*(?:משנת\\s+)?(\\d{4})"
         "|חדש[ה]?\\s*(?:מ(?:קבלן|היסוד))?\\s*(?:משנת\\s+)?(\\d{4})"
     )
-    direct_groups: int = 7
     age: str = (
         "(?U)גיל\\s*[:\\-=]?\\s*(\\d{1,2})\\s*(?:שנה|שנים|שגיל)?"
         "|(?:נכס|בית|דירה|מבנה|קוטג|וילה|מבנה)\\s*(?:הוא\\s+)?בן\\s+(\\d{1,2})\\s*(?:שנה|שנים)?"
@@ -158,7 +166,6 @@ class YearLexicon:
         "|(\\d{1,2})\\s*(?:שנה|שנים)\\s*(?:גיל|ישן|ישנה)"
         "|בן\\s+שנתיים|בת\\s+שנתיים|בן\\s+שנה(?![ים])|בת\\s+שנה(?![ים])"
     )
-    age_groups: int = 6
     two_years: str = "שנתיים"
 
 
@@ -168,13 +175,9 @@ HEBREW_YEARS = YearLexicon()
 def year_built(c: Column, as_of_year: Column | int, lexicon: YearLexicon = HEBREW_YEARS) -> Column:
     """E-T6: a stated year within 1900-2100, else the year an age implies."""
     this_year = F.lit(as_of_year) if isinstance(as_of_year, int) else as_of_year
-    stated = F.coalesce(
-        *[group_of(c, lexicon.direct, i) for i in range(1, lexicon.direct_groups + 1)]
-    ).try_cast("int")
+    stated = group_of(F.regexp_extract(c, lexicon.direct, 0), r"([0-9]{4})[^0-9]*$").try_cast("int")
     hit = group_of(c, lexicon.age, 0)
-    counted = F.coalesce(
-        *[group_of(c, lexicon.age, i) for i in range(1, lexicon.age_groups + 1)]
-    ).try_cast("int")
+    counted = group_of(hit, r"([0-9]{1,2})[^0-9]*$").try_cast("int")
     age = F.coalesce(counted, F.when(hit.contains(lexicon.two_years), 2).when(hit.isNotNull(), 1))
     return F.coalesce(
         F.when(stated.between(1900, 2100), stated), F.when(age.between(0, 150), this_year - age)

@@ -142,3 +142,148 @@ def post_bodies(spark: SparkSession, folder: str) -> DataFrame:
         F.array(_nest("edge", _nest("node", node(c("text"))))).alias("edges"), node(F.upper("text")).alias("repeat"))))
     body = F.concat_ws("\n", lit("for (;;);"), deep, lit("{broken"), lit("[1]"))
     return posts(spark, folder).select(c("post_id").alias("body_no"), body.alias("body"))
+
+
+# ---- HTML: one page per part or customer, with a repeat of the card on a later page ------------
+
+def _text(*parts) -> Column:
+    return F.concat(*[lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Stored pages come in many files; a small test table comes in one."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def part_rows(spark: SparkSession, folder: str) -> DataFrame:
+    k = c("p_partkey")
+    return spread(read_table(spark, folder, "part")).select(
+        k.alias("k"), (k + 1000).alias("id"), c("p_type").alias("city"), c("p_name").alias("area"), c("p_brand").alias("street"),
+        c("p_size").alias("number"), F.floor(c("p_retailprice") * 1000).cast("bigint").alias("price"),
+        (lit(1) + (c("p_size") % 10) / lit(2.0)).alias("rooms"), (lit(30) + c("p_size")).alias("sqm"),
+    )
+
+
+def _paged(rows: DataFrame, html: Column, repeat: Column) -> DataFrame:
+    return rows.select(F.posexplode(F.array(html, repeat)).alias("page_no", "html"), "k").select(
+        (c("page_no") * 1_000_000_000_000 + c("k")).alias("page_id"), "html"
+    )
+
+
+def icon_card_pages(spark: SparkSession, folder: str) -> DataFrame:
+    def page(price: Column) -> Column:
+        shown = F.when(c("k") % 2 == 0, _text('<i class="fas fa-bed"></i> ', c("rooms"))).otherwise(_text("<b>", c("rooms"), " חד'</b>"))
+        return _text(
+            '<html><body><div class="card-block" data-id="', c("id"), '"><div class="card overflow-hidden">',
+            F.when(c("k") % 3 != 0, _text('<a href="/ad/', c("id"), '?x=1"><h2 class="card-title">', c("city"), " ", c("area"), "</h2></a>"))
+            .otherwise(_text('<h2 class="card-title">', c("city"), " ", c("area"), "</h2>")),
+            '<p class="card-text">', c("street"), " ", c("number"), '</p><div class="price">', F.format_number(price, 0), " &#8362;</div>",
+            "<span>", shown, '</span><span><i class="fas fa-expand-arrows-alt"></i>', c("sqm"), '</span><img src="//img.example/', c("id"), '.jpg">',
+            F.when(c("k") % 5 == 0, "<em>מקודם</em>").otherwise(""), F.when(c("k") % 7 == 0, "<br><small>רימקס צפון</small>").otherwise(""),
+            "</div></div></body></html>",
+        )
+    rows = part_rows(spark, folder)
+    return _paged(rows, page(c("price")), page(c("price") + 5))
+
+
+def table_card_pages(spark: SparkSession, folder: str) -> DataFrame:
+    def page(price: Column) -> Column:
+        floor = F.when(c("k") % 4 == 0, "קרקע").otherwise((c("k") % 4).cast("string"))
+        return _text(
+            '<div class="box ', F.when(c("k") % 2 == 0, "Private").otherwise("Office"), '"><table id="modaaRow', c("id"), '"><tr>',
+            '<td class="tdGallery"><img src="/i/', c("id"), '.jpg"></td><td><span class="LinkModaaTitle">', c("city"), ", ", c("area"), ", ", c("street"), " ", c("number"),
+            '</span></td><td class="tdPrice">', F.format_number(price, 0), "&#8362;</td>",
+            '<td class="tdMoreDetails">', F.when(c("k") % 9 != 0, _text("דירה ", c("rooms"), " חדרים (", c("sqm"), ' מ"ר) קומה: ', floor, " מתוך 8")).otherwise(""),
+            '</td></tr></table><div id="x" bigtitle="-"></div></div>',
+        )
+    rows = part_rows(spark, folder)
+    return _paged(rows, page(c("price")), page(c("price") + 5))
+
+
+def catalog_pages(spark: SparkSession, folder: str) -> DataFrame:
+    def page(price: Column) -> Column:
+        label = lambda text: F.when(c("k") % 3 == 0, "").otherwise(text)
+        return _text(
+            '<div id="Catalog"><div class="collection-item-3 w-dyn-item"><div class="filter-data"><div class="div-price"><div>₪', F.format_number(price, 0),
+            '</div></div><div class="asset-type"><div class="apartment-type">וילה</div></div><div class="div-tag"><div class="greentags">',
+            F.when(c("k") % 2 == 0, "חניה").otherwise("נוף"), '</div><div class="w-condition-invisible">מעלית</div></div></div>',
+            '<a class="hot-appartment-cards" href="/for-sale/home-', c("id"), '?a=1"></a><div class="apartment-card-photo" style="background:url(&quot;https://img.example/', c("id"), '.jpg&quot;)"></div>',
+            '<h4 class="address">', c("street"), " ", c("number"), ", ", c("city"), '</h4><div class="details-wrapper"><div class="info-numbers-2">', c("rooms"),
+            '</div><div class="apartment-details2">', label("חדרים"), '</div><div class="info-numbers-2">', c("sqm"), '</div><div class="apartment-details-2">', label('מ"ר'),
+            '</div></div><p class="apartment-text">בית שקט, קומה ', c("k") % 5, ", מגרש 450 מטר</p></div></div>",
+        )
+    rows = part_rows(spark, folder)
+    return _paged(rows, page(c("price")), page(c("price") + 5))
+
+
+def amenity_pages(spark: SparkSession, folder: str) -> DataFrame:
+    def page(price: Column) -> Column:
+        return _text(
+            '<div data-hz-id="hz-', c("id"), '" data-images="', F.when(c("k") % 2 == 0, _text("[{&quot;image&quot;:&quot;", c("id"), ".jpg&quot;},{&quot;other&quot;:1}]")).otherwise("[bad"),
+            '"><div class="listing-thumb"><a class="listing-featured-thumb" href="/home/', c("id"), '"><img class="wp-post-image" src="cover.jpg"></a></div>',
+            '<ul class="item-price-wrap"><li class="item-price"><span class="price">₪ ', F.format_number(price, 0), "</span></li></ul>",
+            '<ul class="item-amenities"><li class="h-type"><span>קוטג</span></li><li class="h-rooms"><span>', c("rooms"), '</span></li><li class="h-area"><span>', c("sqm"),
+            " מטר</span></li>", F.when(c("k") % 4 == 0, '<li class="h-floor"><span>קומת קרקע</span></li>').otherwise(_text('<li class="h-floor"><span>קומה ', c("k") % 4, "</span></li>")),
+            F.when(c("k") % 3 == 0, '<li class="h-cars"><span>1</span></li>').otherwise(""), '</ul><address class="item-address"><span>', c("city"), ", ", c("street"), " ", c("number"),
+            '</span></address><div class="labels-wrap"><a class="label-status">חדש</a><a class="hz-label">', c("area"), "</a></div></div>",
+        )
+    rows = part_rows(spark, folder)
+    return _paged(rows, page(c("price")), page(c("price") + 5))
+
+
+def article_pages(spark: SparkSession, folder: str) -> DataFrame:
+    def page(price: Column) -> Column:
+        fact = lambda icon, text: F.when(c("k") % 2 == 0, _text('<div><h3><img src="/i/', icon, '"><span>', text, "</span></h3></div>"))
+        plain = lambda text: _text("<h3>", text, "</h3>")
+        return _text(
+            '<article class="elementor-post ecs-post-loop post-', c("id"), ' entry" id="post-0"><h5>מחיר: ', F.format_number(price, 0), " ₪</h5>",
+            fact("032-plan.png", c("rooms").cast("string")).otherwise(plain(_text(c("rooms"), " חדרים"))),
+            fact("043-blueprint.png", c("sqm").cast("string")).otherwise(plain(_text(c("sqm"), ' מ"ר'))),
+            fact("022-elevator.png", F.when(c("k") % 4 == 0, "קרקע").otherwise("קומה 2")).otherwise(plain(lit("קומה -1"))),
+            '<h3><i class="fas fa-map-marker-alt"></i>', c("street"), " ", c("number"), ", ", c("area"), ", ", c("city"), '.</h3><a href="https://articles.example/2026/', c("id"),
+            '">more</a><img class="wp-post-image" src="https://articles.example/wp-content/uploads/', c("id"), '.jpg"><h3><a href="/category/garden">גינה</a></h3></article>',
+        )
+    rows = part_rows(spark, folder)
+    return _paged(rows, page(c("price")), page(c("price") + 5))
+
+
+def free_item_pages(spark: SparkSession, folder: str) -> DataFrame:
+    k = c("k")
+    def row(title: Column) -> Column:
+        return _text(
+            '<tr class="objectsTitleTr" onclick="showObjectDetails(\'2026-06\', ', k, ')"><td class="objectState"><span class="stateIcon condition', k % 4,
+            '"></span></td><td class="objectName"><a', F.when(k % 3 == 0, _text(' href="/item/', k, '"')).otherwise(""), "> ", title, ' </a></td><td class="area">', c("area"),
+            '</td><td class="photoIcon"><a href="', F.when(k % 2 == 0, "showPhoto.asp?id=").otherwise("none?"), k, '">p</a></td><td class="regDate" title="', F.when(k % 5 != 0, _text(k % 28 + 1, "/", k % 12 + 1, "/2025 21:43")).otherwise("soon"),
+            '">x</td></tr>',
+        )
+    rows = spread(read_table(spark, folder, "customer")).select(c("c_custkey").alias("k"), c("c_name").alias("name"), c("c_mktsegment").alias("area"))
+    html = _text("<table>", row(_text("<b>", c("name"), "</b> &amp; more")), row(lit("repeat")), "</table>")
+    return rows.select(k.alias("page_id"), html.alias("html"))
+
+
+def deal_pages(spark: SparkSession, folder: str) -> DataFrame:
+    k = c("k")
+    row = lambda price: _text(
+        "<tr><td>", c("area"), " street ", k, "/2</td><td>flat</td><td>&rlm;".replace("&rlm;", "‏"), F.lpad((k % 12 + 1).cast("string"), 2, "0"), "/2000</td><td>", k % 5 + 1, "½</td><td>", k % 100 + 40,
+        "&nbsp;</td><td>2</td><td>", F.when(k % 3 == 0, "-").otherwise((k % 60 + 1940).cast("string")), "</td><td>", price, "</td></tr>")
+    table = _text("<tbody>", row(_text(F.format_number(k * 1000 + 7, 0), " &#x20AA;")), row(lit("-")), "<tr><td>short</td></tr></tbody>")
+    html = F.when(k % 2 == 0, _text('<section data-testid="deals-history"><table>', table, "</table></section>")).otherwise(
+        _text("<h2>נכסים שנמכרו באזור</h2><table>", table, "</table>"))
+    rows = spread(read_table(spark, folder, "customer")).select(
+        c("c_custkey").alias("k"), c("c_mktsegment").alias("area"), c("c_nationkey").cast("string").alias("city"))
+    return rows.select(k.alias("page_id"), "city", c("area").alias("neighborhood"), html.alias("html"))
+
+
+def linked_pages(spark: SparkSession, folder: str) -> DataFrame:
+    k = c("k")
+    place = F.struct(
+        lit("Place").alias("@type"), c("name").alias("description"), _nest("price", k * 1000).alias("offers"), _nest("value", k % 200 + 20).alias("floorSize"),
+        F.when(k % 3 == 0, k % 6).alias("numberOfRooms"), lit(2).alias("numberOfBedrooms"),
+    )
+    one = F.struct(*[place[n].alias(n) for n in ("@type", "description", "offers", "floorSize", "numberOfRooms", "numberOfBedrooms")], lit("one.jpg").alias("image"))
+    many = F.struct(*[place[n].alias(n) for n in ("@type", "description", "offers", "floorSize", "numberOfRooms", "numberOfBedrooms")], F.array(lit("a.jpg"), lit("b.jpg")).alias("image"))
+    graph = _nest("@graph", F.array(F.struct(lit("Person").alias("@type"), lit("x").alias("description")), F.struct(lit("Place").alias("@type"), c("name").alias("description"))))
+    body = F.when(k % 4 == 0, F.to_json(many)).when(k % 4 == 1, F.to_json(one)).when(k % 4 == 2, F.to_json(graph)).otherwise('{"@type":"Thing"}')
+    html = _text('<html><script type="application/ld+json">{broken</script><script type="application/ld+json">', body, "</script></html>")
+    rows = spread(read_table(spark, folder, "customer")).select(c("c_custkey").alias("k"), c("c_name").alias("name"))
+    return rows.select(k.alias("page_id"), html.alias("html"))
