@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, functions as F
 
 from hearthline import lexicons as lx
-from hearthline.functions.text import any_of, blank_to_null, group_of
+from hearthline.functions.text import any_of, blank_to_null, group_of, let
 
 METRE = "מ[״\"'׳]?\\s*ר"
 
@@ -41,19 +41,23 @@ def _start(c: Column, pattern: str) -> Column:
     return F.when(at > 0, at - 1)
 
 
+def _positive(c: Column) -> Column:
+    """The number when it is positive, else NULL."""
+    return F.nullif(F.greatest(c, F.lit(0)), F.lit(0))
+
+
 def units_count(c: Column, lexicon: UnitLexicon = HEBREW_UNITS) -> Column:
     """E-T1: a stated count, else repeated mentions with a separating word, else one plain mention."""
-    stated = F.lit(None).cast("int")
-    for pattern in reversed(lexicon.counts):
-        value = F.regexp_extract(c, pattern, 1).try_cast("int")
-        accept = value > 0
-        if lexicon.veto:
-            begin = _start(c, pattern)
-            stop = begin + F.length(F.regexp_extract(c, pattern, 0))
-            veto = _start(c, lexicon.veto)
-            near = veto.isNotNull() & veto.between(begin - lexicon.veto_before, stop)
-            accept = accept & ~near
-        stated = F.when(accept, value).otherwise(stated)
+    def accepted(pattern: str) -> Column:
+        value = _positive(F.regexp_extract(c, pattern, 1).try_cast("int"))
+        if not lexicon.veto:
+            return value
+        begin, veto = _start(c, pattern), _start(c, lexicon.veto)
+        stop = begin + F.length(F.regexp_extract(c, pattern, 0))
+        near = veto.isNotNull() & veto.between(begin - lexicon.veto_before, stop)
+        return let(value, lambda v: F.when(v.isNotNull() & ~near, v))
+
+    stated = F.coalesce(*[accepted(p) for p in lexicon.counts])
     mentions = F.regexp_count(c, F.lit(lexicon.mention))
     repeated = (mentions >= 2) & any_of(c, lexicon.separators)
     single = mentions == 1
@@ -67,12 +71,10 @@ def units_count(c: Column, lexicon: UnitLexicon = HEBREW_UNITS) -> Column:
 
 def units_count_plain(c: Column, lexicon: UnitLexicon = HEBREW_UNITS) -> Column:
     """E-T2, scoring variant: no veto, a single mention says nothing."""
-    stated = F.coalesce(*[
-        F.when(F.regexp_extract(c, p, 1).try_cast("int") > 0, F.regexp_extract(c, p, 1).try_cast("int"))
-        for p in lexicon.counts
-    ])
+    stated = [_positive(F.regexp_extract(c, p, 1).try_cast("int")) for p in lexicon.counts]
     mentions = F.regexp_count(c, F.lit(lexicon.mention))
-    return F.coalesce(stated, F.when((mentions >= 2) & any_of(c, lexicon.separators), mentions)).cast("int")
+    several = F.nullif(F.greatest(mentions, F.lit(1)), F.lit(1))
+    return F.coalesce(*stated, F.when(any_of(c, lexicon.separators), several)).cast("int")
 
 
 # fixed values: count before the unit words, and a bare mention

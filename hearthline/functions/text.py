@@ -86,11 +86,10 @@ _HOUSE = r"^(?:(.*) )?([0-9]+[A-Za-zא-ת]?)$"
 
 def street_number(c: Column) -> Column:
     """STRUCT(street, number): the last token is the number when it starts with a digit."""
-    norm = normalize_text(c)
-    return F.struct(
+    return let(normalize_text(c), lambda norm: F.struct(
         F.when(norm.rlike(_HOUSE), F.regexp_extract(norm, _HOUSE, 1)).otherwise(norm).alias("street"),
         F.regexp_extract(norm, _HOUSE, 2).alias("number"),
-    )
+    ))
 
 
 def area_bucket(c: Column, size: int = 10) -> Column:

@@ -12,7 +12,7 @@ from hearthline.functions.mining import HEBREW_UNITS, UnitLexicon, units_count_p
 from hearthline.functions.numeric import (
     drop_percent, effective, half_even, haversine_km, price_per_area,
 )
-from hearthline.functions.text import any_of, phrase_hits, search_text, standalone_word
+from hearthline.functions.text import let, phrase_hits, search_text, standalone_word
 from hearthline.schema import SCORE_REASONS
 
 
@@ -88,22 +88,26 @@ def market_label(per_area: Column, lo: Column, hi: Column) -> Column:
     )
 
 
-def unit_bonus(text: Column, units: Column, config: ScoreConfig) -> Column:
-    """STRUCT(points, source, phrases)."""
-    counted = units_count_plain(text, config.units)
-    per_count = lambda n: F.least(F.lit(2.5), F.lit(0.5) * (n - 1))
-    words = config.unit_words
-    hits: list[tuple[str, float, Column]] = [(w, p, text.contains(w)) for w, p in words.plain]
+def unit_hits(text: Column, words: UnitWords) -> Column:
+    """The hint words a text contains, in rule order."""
+    hits: list[tuple[str, Column]] = [(w, text.contains(w)) for w, _ in words.plain]
     taken = F.lit(False)
-    for w, p in words.either:
-        hits.append((w, p, text.contains(w) & ~taken))
+    for w, _ in words.either:
+        hits.append((w, text.contains(w) & ~taken))
         taken = taken | text.contains(w)
-    hits += [(w, p, text.contains(w)) for w, p in words.latin]
-    hits += [(w, p, ~text.contains(full) & standalone_word(text, w)) for full, w, p in words.alone]
-    points = F.lit(0.0)
-    for _, p, hit in hits:
-        points = points + F.when(hit, p).otherwise(0.0)
-    found = F.array_compact(F.array(*[F.when(hit, w) for w, _, hit in hits]))
+    hits += [(w, text.contains(w)) for w, _ in words.latin]
+    # the plain test first: most texts do not contain the word at all
+    hits += [(w, text.contains(w) & ~text.contains(full) & standalone_word(text, w)) for full, w, _ in words.alone]
+    return F.array_compact(F.array(*[F.when(hit, w) for w, hit in hits]))
+
+
+def unit_bonus(hits: Column, units: Column, counted: Column, words: UnitWords) -> Column:
+    """STRUCT(points, source, phrases) from the known number, the number in the text or hints."""
+    per_count = lambda n: F.least(F.lit(2.5), F.lit(0.5) * (n - 1))
+    worth = {w: p for w, p in (*words.plain, *words.either, *words.latin)}
+    worth.update({w: p for _, w, p in words.alone})
+    table = F.create_map(*[F.lit(x) for pair in worth.items() for x in pair])
+    points = F.aggregate(hits, F.lit(0.0), lambda total, w: total + F.try_element_at(table, w))
     structured, from_text = units >= 2, counted >= 2
     label = lambda n, how: F.array(F.concat(n.cast("string"), F.lit(f" יחידות ({how})")))
     return F.struct(
@@ -112,7 +116,7 @@ def unit_bonus(text: Column, units: Column, config: ScoreConfig) -> Column:
         F.when(structured, "structured").when(from_text, "description_count")
         .otherwise("description").alias("source"),
         F.when(structured, label(units, "מפורש")).when(from_text, label(counted, "מהטקסט"))
-        .otherwise(found).alias("phrases"),
+        .otherwise(hits).alias("phrases"),
     )
 
 
@@ -122,13 +126,12 @@ def garden_bonus(text: Column, garden: Column, phrases: Sequence[str]) -> Column
     ramp = F.when(garden <= 30, 0.0).when(
         garden <= 300, F.lit(1.5) * (garden - 30) / 270
     ).otherwise(1.5)
-    found = phrase_hits(text, phrases)
-    return F.struct(
+    return let(phrase_hits(text, phrases), lambda found: F.struct(
         F.when(known, ramp).otherwise(F.least(F.lit(0.42), F.lit(0.14) * F.size(found))).alias("points"),
         F.when(known, "structured").otherwise("description").alias("source"),
         F.when(known, F.array(F.concat(F.lit("גינה "), garden.cast("string"), F.lit(' מ"ר'))))
         .otherwise(found).alias("phrases"),
-    )
+    ))
 
 
 def seller_points(is_agent: Column) -> Column:
@@ -178,9 +181,6 @@ def clamp_score(total: Column) -> Column:
     return F.greatest(F.lit(1.0), F.least(F.lit(10.0), half_even(F.lit(5.0) + total, 1)))
 
 
-_PARTS = "_units _garden _band _market _km _drop _age".split()
-
-
 def score_parts(df: DataFrame, as_of: Column, config: ScoreConfig | None = None) -> DataFrame:
     """Add the intermediate columns the score and its reasons share."""
     config = config or ScoreConfig()
@@ -201,8 +201,12 @@ def score_parts(df: DataFrame, as_of: Column, config: ScoreConfig | None = None)
             "_drop": drop_percent(c("price_before"), c("price")),
             "_age": F.when(c("year_built") != 0, F.year(as_of) - c("year_built")),
         })
+        # columns of their own, so that the texts are searched once however often a rule asks
+        .withColumns({
+            "_counted": units_count_plain(c("_text"), config.units), "_hits": unit_hits(c("_text"), config.unit_words),
+        })
         .withColumns({
-            "_units": unit_bonus(c("_text"), c("_n_units"), config),
+            "_units": unit_bonus(c("_hits"), c("_n_units"), c("_counted"), config.unit_words),
             "_garden": garden_bonus(c("_text"), c("_n_garden"), config.garden_phrases),
             "_market": market_delta(c("_ppsqm"), c("_band.lo"), c("_band.hi")),
         })

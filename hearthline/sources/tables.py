@@ -13,10 +13,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """A table in fewer splits than there are cores is dealt out; a large one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def observations(spark: SparkSession, folder: str) -> DataFrame:
     """One row per sighting of a listing: lineitem with part, supplier and nation."""
     c = F.col
-    item = read_table(spark, folder, "lineitem")
+    item = spread_small(read_table(spark, folder, "lineitem"))
     part = read_table(spark, folder, "part")
     place = read_table(spark, folder, "supplier").join(
         read_table(spark, folder, "nation"), c("s_nationkey") == c("n_nationkey")
