@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     # range joins grow their input: keep small intermediate results on several tasks
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # pages and bodies are large: keep the batches sent to Python small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     # split a hot join key even when that costs an extra exchange downstream
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }

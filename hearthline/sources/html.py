@@ -20,6 +20,7 @@ from hearthline.functions.numeric import price_per_area
 from hearthline.operators.windows import first_per_key
 from hearthline.schema import canonical
 
+CARDS_PER_BATCH = 256  # bounds the memory of a Python worker, not the result
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _NODE = pa.struct([
     ("i", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()),
@@ -75,8 +76,8 @@ def fragments(pages: DataFrame, tag: str, cls: str | None = None, attr: str | No
     out = pa.schema([("page_id", arrow_key), ("position", pa.int64()), ("nodes", pa.list_(_NODE)), ("above", pa.list_(_NODE))])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
         for batch in batches:
-            rows = []
             for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
                 page = _Elements()
                 page.feed(html or "")
@@ -93,7 +94,10 @@ def fragments(pages: DataFrame, tag: str, cls: str | None = None, attr: str | No
                         "page_id": page_id, "position": index, "above": above,
                         "nodes": [_node(page.rows[k], k, index) for k in range(index, row[0] + 1)],
                     })
-            yield pa.RecordBatch.from_pylist(rows, schema=out)
+                    if len(rows) >= CARDS_PER_BATCH:
+                        yield pa.RecordBatch.from_pylist(rows, schema=out)
+                        rows = []
+        yield pa.RecordBatch.from_pylist(rows, schema=out)
 
     return pages.select("page_id", "html").mapInArrow(
         parse, f"page_id {key_type}, position bigint, nodes array<{_NODE_DDL}>, above array<{_NODE_DDL}>"
