@@ -287,3 +287,44 @@ def linked_pages(spark: SparkSession, folder: str) -> DataFrame:
     html = _text('<html><script type="application/ld+json">{broken</script><script type="application/ld+json">', body, "</script></html>")
     rows = spread(read_table(spark, folder, "customer")).select(c("c_custkey").alias("k"), c("c_name").alias("name"))
     return rows.select(k.alias("page_id"), html.alias("html"))
+
+
+# ---- details ------------------------------------------------------------------------------------
+
+def nested_detail_rows(spark: SparkSession, folder: str) -> DataFrame:
+    stamp = F.concat(F.date_format("observed_at", "yyyy-MM-dd"), lit("T08:00:00"))
+    payload = F.to_json(F.struct(
+        F.when(c("line_no") % 2 == 0, _text("גוף &amp; ", c("street"), ", נבנה בשנת ", c("year_built"))).alias("furnitureInfo"),
+        _nest("description", c("street")).alias("metaData"),
+        F.struct(stamp.alias("createdAt"), F.when(c("line_no") == 1, "soon").alias("endsAt")).alias("dates"),
+        F.struct((c("part_id") % 2 == 0).alias("includeElevator"), (c("part_id") % 3 == 0).alias("includeParking")).alias("inProperty"),
+        F.struct((c("sqm") + 9).alias("squareMeterBuild"), (c("line_no") - 1).alias("parkingSpacesCount")).alias("additionalDetails"),
+    ))
+    return listings(spark, folder).select("source", "source_id", payload.alias("payload"))
+
+
+def agency_detail_rows(spark: SparkSession, folder: str) -> DataFrame:
+    photo = F.struct(F.when(c("line_no") % 2 == 0, "u.jpg").alias("url"), lit("full.jpg").alias("full"))
+    data = F.struct(
+        F.when(c("line_no") % 2 == 0, "גינה 80 מטר, מגרש 600, 2 יחידות דיור").otherwise("חצר 40 מ\"ר").alias("description"),
+        F.when(c("line_no") % 3 != 0, c("sqm") + lit(0.5)).alias("size"), lit(700).alias("field_size"), lit(0).alias("garden_size"),
+        c("floor"), (c("part_id") % 2 == 0).alias("elevator"), (c("part_id") % 5 == 0).alias("air_conditioner"), c("year_built").alias("build_year"),
+        F.array(photo).alias("photos"),
+    )
+    return listings(spark, folder).select("source", "source_id", F.to_json(_nest("body", _nest("data", data))).alias("payload"))
+
+
+def detail_html(spark: SparkSession, folder: str) -> DataFrame:
+    """One page per customer with icons, labelled rows, features, a dated label and contacts."""
+    k = c("k")
+    rows = spread(read_table(spark, folder, "customer")).select(c("c_custkey").alias("k"), c("c_name").alias("name"))
+    icon = lambda mark, label: _text('<div><i class="fas ', mark, '"></i> ', label, "</div>")
+    page = _text(
+        '<html><head><meta property="og:description" content=" ', c("name"), ' "></head><body><div><i class="fas fa-building"></i> קומה ', k % 9, "</div>",
+        icon(F.when(k % 2 == 0, "fa-check").otherwise("fa-times"), "חניה"), icon("fa-times", "מעלית"), icon("fa-check", "מרפסת שמש"),
+        '<div class="card-contacts">', F.when(k % 7 == 0, "נכסים בע\"מ").otherwise("דני"), '</div><p class="px-3">תאריך יצירה: ', k % 28 + 1, "/", k % 12 + 1, "/2025</p>",
+        "<ul><li><strong>מגרש:</strong> <span>", k % 500 + 100, " מטר</span></li><li><strong>שטח בנוי</strong><span>", k % 90 + 40, "</span></li><li><strong>חצר</strong><span>",
+        k % 3 * 20, "</span></li><li><strong>שנת בנייה</strong><span>", k % 60 + 1960, '</span></li></ul><div id="property-features-wrap"><a>מזגן</a><a>', F.when(k % 4 == 0, "ממ״ד").otherwise("נוף"),
+        '</a></div><img src="/p?picNum=', k, '"><img src="/logo.png"></body></html>',
+    )
+    return rows.select(k.alias("page_id"), lit("a").alias("source"), k.cast("string").alias("source_id"), page.alias("html"))

@@ -194,3 +194,39 @@ def grid_tiles(spark, folder):
     return counts.join(grid, ["tile_i", "tile_j"], "left_semi").select(
         "tile_i", "tile_j", "markers", c("over_cap").cast("int").alias("over_cap")
     )
+
+
+@query("json_details", """
+SELECT source, source_id, CASE WHEN line_no % 2 = 0 THEN 'גוף & ' || street || ', נבנה בשנת ' || year_built ELSE street END AS description,
+  observed_at::VARCHAR AS created_at, NULL::VARCHAR AS ends_at, (part_id % 3 = 0 OR line_no > 1)::INTEGER AS parking, (part_id % 2 = 0)::INTEGER AS elevator,
+  (sqm + 9)::INTEGER AS sqm_build, round_even(price::DOUBLE / (sqm + 9)::DOUBLE, 0)::BIGINT AS price_per_sqm, CASE WHEN line_no % 2 = 0 THEN year_built END AS year_built FROM listings
+""")
+def json_details(spark, folder):
+    """A12/A13/E-D5: nested item details merged into listings by the feed's rules."""
+    from hearthline.schema import canonical
+    from hearthline.sources.feeds import builtin_feeds
+
+    spec = builtin_feeds(2001)["nested"]
+    rows = canonical(listings(spark, folder).drop("year_built"))
+    merged = details.merge_details(rows, spec.details(bronze.nested_detail_rows(spark, folder)), spec.detail_rules)
+    day = lambda n: c(n).cast("string").alias(n)
+    return merged.select(
+        "source", "source_id", "description", day("created_at"), day("ends_at"), c("parking").cast("int").alias("parking"),
+        c("elevator").cast("int").alias("elevator"), "sqm_build", "price_per_sqm", "year_built",
+    )
+
+
+@query("json_agency_details", """
+SELECT source, source_id, CASE WHEN line_no % 3 <> 0 THEN sqm END AS sqm, CASE WHEN line_no % 2 = 0 THEN 600 ELSE 700 END AS lot_sqm,
+  CASE WHEN line_no % 2 = 0 THEN NULL ELSE 40 END::INTEGER AS garden_sqm, CASE WHEN line_no % 2 = 0 THEN 2 END::INTEGER AS units_count, floor,
+  CASE WHEN part_id % 2 = 0 THEN 1 END AS elevator, CASE WHEN part_id % 5 = 0 THEN 1 END AS ac, year_built,
+  CASE WHEN line_no % 2 = 0 THEN 'u.jpg' ELSE 'full.jpg' END AS images FROM listings
+""")
+def json_agency_details(spark, folder):
+    from hearthline.sources.detail_pages import agency_details
+
+    rows = agency_details(bronze.agency_detail_rows(spark, folder), 2001)
+    return rows.select(
+        "source", "source_id", "sqm", "lot_sqm", "garden_sqm", "units_count", "floor", c("elevator").cast("int").alias("elevator"),
+        c("ac").cast("int").alias("ac"), "year_built", F.array_join("images", ",").alias("images"),
+    )

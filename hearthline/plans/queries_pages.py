@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hearthline.plans import bronze
 from hearthline.plans.registry import query
-from hearthline.sources import html
+from hearthline.sources import detail_pages as dp, html
 from hearthline.sources.tables import read_table
 
 c = F.col
@@ -138,3 +138,34 @@ def html_list_items(spark, folder):
         F.size(html.elements(n, "p")).cast("bigint").alias("paragraphs"),
     )
     return rows
+
+
+@query("html_details", """
+SELECT c_custkey::VARCHAR AS source_id, c_name AS description, (c_custkey % 9)::INTEGER AS floor, (c_custkey % 2 = 0)::INTEGER AS parking, 0 AS elevator, 1 AS balcony,
+  CASE WHEN c_custkey % 7 = 0 THEN 1 END AS is_agent, make_date(2025, (c_custkey % 12 + 1)::INTEGER, (c_custkey % 28 + 1)::INTEGER)::VARCHAR AS first_listed_date FROM customer
+""")
+def html_details(spark, folder):
+    """A12/D28/E-D8: floor, icon flags, description, contact words and date label of a detail page."""
+    rows = dp.icon_details(bronze.detail_html(spark, folder), 2026)
+    return flat(rows, "source_id", "description", "floor", "parking", "elevator", "balcony", "is_agent", "first_listed_date",
+                flags=["parking", "elevator", "balcony", "is_agent"], dates=["first_listed_date"])
+
+
+@query("html_labelled_details", """
+SELECT c_custkey::VARCHAR AS source_id, (c_custkey % 500 + 100)::INTEGER AS lot_sqm, (c_custkey % 90 + 40)::INTEGER AS sqm,
+  CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 3 * 20 END::INTEGER AS garden_sqm, (c_custkey % 60 + 1960)::INTEGER AS year_built,
+  1 AS ac, CASE WHEN c_custkey % 4 = 0 THEN 1 END AS mamad, 1 AS balcony, 'מזגן,' || CASE WHEN c_custkey % 4 = 0 THEN 'ממ״ד' ELSE 'נוף' END AS tags FROM customer
+""")
+def html_labelled_details(spark, folder):
+    rows = dp.labelled_details(bronze.detail_html(spark, folder), 2026)
+    return flat(rows, "source_id", "lot_sqm", "sqm", "garden_sqm", "year_built", "ac", "mamad", "balcony", "tags",
+                flags=["ac", "mamad", "balcony"], lists=["tags"])
+
+
+@query("html_text_details", """
+SELECT c_custkey::VARCHAR AS source_id, (c_custkey % 9)::INTEGER AS floor, 1 AS parking, 1 AS elevator, 1 AS ac, CASE WHEN c_custkey % 4 = 0 THEN 1 END AS mamad,
+  '/p?picNum=' || c_custkey AS images FROM customer
+""")
+def html_text_details(spark, folder):
+    rows = dp.text_details(bronze.detail_html(spark, folder), 2026)
+    return flat(rows, "source_id", "floor", "parking", "elevator", "ac", "mamad", "images", flags=["parking", "elevator", "ac", "mamad"], lists=["images"])

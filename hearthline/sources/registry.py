@@ -17,6 +17,7 @@ class FeedSpec:
     details: Callable[[DataFrame], DataFrame] | None = None
     rule_order: list[str] = field(default_factory=list)
     always_enrich: bool = False
+    detail_rules: dict[str, str] | None = None
 
 
 @dataclass(frozen=True)

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,6 +14,7 @@ def spark():
     session = build_session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
         "spark.ui.showConsoleProgress": "false",
+        "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="hearthline-warehouse-"),
     })
     session.sparkContext.setLogLevel("ERROR")
     yield session

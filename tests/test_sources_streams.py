@@ -155,3 +155,40 @@ def test_comp_cells_bound_both_sides(spark):
         F.lit("c").alias("city"), F.lit("n").alias("neighborhood"), F.lit(3.0).alias("comp_rooms"), (F.col("id") % 3 + 100).cast("int").alias("comp_sqm"),
         F.col("id").alias("price"), F.lit("2024-01-01").cast("date").alias("deal_date"), F.col("id").cast("string").alias("address_hash"))
     assert va.comp_cells(deals, ["city"], 50).count() == 150
+
+
+def test_bucketed_state_needs_no_exchange(spark):
+    from hearthline.operators import state as st
+
+    df = spark.range(200).select(F.lit("a").alias("source"), F.col("id").cast("string").alias("source_id"), F.col("id").alias("price"))
+    st.save_snapshot(df, "hearthline_state", 4)
+    stored, batch = spark.table("hearthline_state"), df.limit(20).repartition(4, "source", "source_id")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = st.upsert(stored, batch, F.lit("2026-01-01").cast("timestamp"))
+        assert merged.count() == 200
+        text = merged._jdf.queryExecution().executedPlan().toString()
+        state_side = text[: text.index("hearthline_state")].rsplit("SortMergeJoin", 1)[1] if "SortMergeJoin" in text else text
+        assert "Exchange" not in state_side.split("Scan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP TABLE hearthline_state")
+
+
+def test_tracker_folders(spark):
+    from hearthline.operators.lifecycle import write_tracker
+
+    out = tempfile.mkdtemp(prefix="hearthline-tracker-") + "/t"
+    write_tracker(spark.createDataFrame([("x", 1), (None, 2), ("y", 3)], "city string, n int"), out, ["x"])
+    assert {(r.n, r.is_archive) for r in spark.read.parquet(out).collect()} == {(1, True), (2, False), (3, False)}
+
+
+def test_builtin_feeds_have_known_rules():
+    from hearthline.sources.details import RULES
+    from hearthline.sources.feeds import builtin_feeds
+
+    specs = builtin_feeds(2026)
+    assert len(specs) == 8
+    for spec in specs.values():
+        assert set((spec.detail_rules or {}).values()) <= set(RULES)
