@@ -117,7 +117,7 @@ def city_key(c: Column, groups: Sequence[Sequence[str]] | None = None) -> Column
 # ---- markup and numbers (D9-D13) --------------------------------------------
 
 _ENTITIES = [
-    ("&nbsp;|&#160;|&#[xX][aA]0;", " "), ("&lt;", "<"), ("&gt;", ">"),
+    ("&nbsp;|&#160;|&#[xX][aA]0;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"),
     ("&quot;|&#34;", '"'), ("&#39;|&apos;|&#[xX]27;", "'"),
     ("&#8362;|&#[xX]20[aA][aA];", "₪"), ("&frac12;|&#189;", "½"),
     ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&amp;", "&"),

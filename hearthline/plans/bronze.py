@@ -264,7 +264,7 @@ def free_item_pages(spark: SparkSession, folder: str) -> DataFrame:
 def deal_pages(spark: SparkSession, folder: str) -> DataFrame:
     k = c("k")
     row = lambda price: _text(
-        "<tr><td>", c("area"), " street ", k, "/2</td><td>flat</td><td>&rlm;".replace("&rlm;", "‏"), F.lpad((k % 12 + 1).cast("string"), 2, "0"), "/2000</td><td>", k % 5 + 1, "½</td><td>", k % 100 + 40,
+        "<tr><td>", c("area"), " street ", k, "/2</td><td>flat</td><td>\u200f", F.lpad((k % 12 + 1).cast("string"), 2, "0"), "/2000</td><td>", k % 5 + 1, "½</td><td>", k % 100 + 40,
         "&nbsp;</td><td>2</td><td>", F.when(k % 3 == 0, "-").otherwise((k % 60 + 1940).cast("string")), "</td><td>", price, "</td></tr>")
     table = _text("<tbody>", row(_text(F.format_number(k * 1000 + 7, 0), " &#x20AA;")), row(lit("-")), "<tr><td>short</td></tr></tbody>")
     html = F.when(k % 2 == 0, _text('<section data-testid="deals-history"><table>', table, "</table></section>")).otherwise(

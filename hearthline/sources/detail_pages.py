@@ -12,7 +12,7 @@ from hearthline import lexicons as lx
 from hearthline.functions import dates as dt, mining as mn, text as tx
 from hearthline.sources import html
 
-_LABEL_DATE = r"תאריך\s*יצירה\s*[:\s‏‪‬]*\s*([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})"
+_LABEL_DATE = r"תאריך\s*יצירה\s*[:\s\u200f\u202a\u202c]*\s*([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})"
 
 NESTED_DETAIL = " ".join("""struct<furnitureInfo:string, description:string,
  metaData:struct<description:string>,

@@ -37,7 +37,7 @@ def test_parse_price(value):
 
 
 def test_clean_cell(value):
-    assert value(tx.clean_cell, "<b>2,300,000&nbsp;&#x20AA;</b>", "‏03/2024‎ ") == ["2,300,000₪", "03/2024"]
+    assert value(tx.clean_cell, "<b>2,300,000&nbsp;&#x20AA;</b>", "\u200f03/2024\u200e ") == ["2,300,000₪", "03/2024"]
 
 
 def test_split_addresses(value):
