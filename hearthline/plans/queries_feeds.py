@@ -154,7 +154,7 @@ def event_props(spark, folder):
 
 
 @query("merge_details", """
-SELECT l.source, l.source_id, CASE WHEN d.doc_id IS NOT NULL AND length(trim(left(d.text, 40))) > length(l.street) THEN sha256(trim(left(d.text, 40))) ELSE sha256(l.street) END AS description,
+SELECT l.source, l.source_id, CASE WHEN d.doc_id IS NOT NULL AND length(trim(d.text)) > length(l.street) THEN sha256(trim(d.text)) ELSE sha256(l.street) END AS description,
   (l.is_agent OR coalesce(d.doc_id % 2 = 0, false))::INTEGER AS parking, coalesce(l.floor, (d.doc_id % 5)::INTEGER) AS floor,
   coalesce((d.doc_id % 90)::INTEGER + 20, NULL) AS sqm_build,
   CASE WHEN d.doc_id IS NULL THEN round_even(l.price::DOUBLE / l.sqm::DOUBLE, 0) ELSE round_even(l.price::DOUBLE / (d.doc_id % 90 + 20)::DOUBLE, 0) END::BIGINT AS price_per_sqm,
@@ -170,7 +170,7 @@ def merge_details(spark, folder):
     doc = c("doc_id")
     found = texts(spark, folder).select(
         F.lit("A").alias("source"), F.concat_ws("-", F.floor(doc / 10).cast("string"), (doc % 10).cast("string")).alias("source_id"),
-        F.left("description", F.lit(40)).alias("description"), (doc % 2 == 0).alias("parking"), (doc % 5).cast("int").alias("floor"),
+        "description", (doc % 2 == 0).alias("parking"), (doc % 5).cast("int").alias("floor"),
         (doc % 90 + 20).cast("int").alias("sqm_build"), F.array("lang").alias("tags"), F.lit("1998-06-01").cast("date").alias("first_listed_date"),
     )
     merged = details.merge_details(rows, found)

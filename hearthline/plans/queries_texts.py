@@ -143,20 +143,17 @@ def parse_price(spark, folder):
 
 
 @query("parse_numbers", r"""
-SELECT doc_id, md5(coalesce(nullif(left(regexp_replace(description, '[^0-9]', '', 'g'), 12), ''), '-')) AS digits,
-       try_cast(nullif(left(regexp_replace(description, '[^0-9]', '', 'g'), 12), '') AS BIGINT) AS digit_value,
-       try_cast(nullif(regexp_extract(replace(description, ',', ''), '([0-9]{1,15})', 1), '') AS BIGINT) AS first_int,
-       try_cast(nullif(regexp_extract(description, '([0-9]{1,9}(?:\.[0-9]{1,6})?)', 1), '') AS DOUBLE) AS first_float,
-       regexp_extract(trim(left(description, 40)), '([0-9]+[A-Za-z]?)\s*$', 1) AS trailing FROM texts
+SELECT doc_id, md5(regexp_replace(description, '[^0-9]', '', 'g')) AS digits,
+       try_cast(nullif(regexp_replace(description, '[^0-9]', '', 'g'), '') AS BIGINT) AS digit_value,
+       try_cast(nullif(regexp_extract(replace(description, ',', ''), '([0-9]+)', 1), '') AS BIGINT) AS first_int,
+       try_cast(nullif(regexp_extract(description, '([0-9]+(?:\.[0-9]+)?)', 1), '') AS DOUBLE) AS first_float,
+       regexp_extract(description, '([0-9]+[A-Za-z]?)\s*$', 1) AS trailing FROM texts
 """)
 def parse_numbers(spark, folder):
-    twelve = F.left(F.regexp_replace("description", "[^0-9]", ""), F.lit(12))
+    text = c("description")
     return texts(spark, folder).select(
-        "doc_id", F.md5(F.coalesce(tx.blank_to_null(twelve), F.lit("-"))).alias("digits"),
-        tx.digits(twelve).alias("digit_value"),
-        tx.first_int(F.regexp_extract(F.regexp_replace("description", ",", ""), "([0-9]{1,15})", 1)).alias("first_int"),
-        tx.first_float(F.regexp_extract("description", r"([0-9]{1,9}(?:\.[0-9]{1,6})?)", 1)).alias("first_float"),
-        tx.trailing_number(F.trim(F.left("description", F.lit(40)))).alias("trailing"),
+        "doc_id", F.md5(F.regexp_replace(text, "[^0-9]", "")).alias("digits"), tx.digits(text).alias("digit_value"),
+        tx.first_int(text).alias("first_int"), tx.first_float(text).alias("first_float"), tx.trailing_number(text).alias("trailing"),
     )
 
 
@@ -419,12 +416,12 @@ def prompt_batches(spark, folder):
 @query("longest_text", r"""
 SELECT doc_id, sha256(CASE WHEN length(b) > length(CASE WHEN length(a) >= length(l) THEN a ELSE l END) THEN b
    WHEN length(a) >= length(l) THEN a ELSE l END) AS longest
-FROM (SELECT d.doc_id, trim(left(d.text, 120)) AS a, trim(coalesce(b.text, '')) AS b, d.lang AS l
+FROM (SELECT d.doc_id, trim(d.text) AS a, trim(coalesce(b.text, '')) AS b, d.lang AS l
       FROM documents d LEFT JOIN benchmark b ON d.doc_id = b.item_id)
 """)
 def longest_text(spark, folder):
     docs = read_table(spark, folder, "documents")
     bench = read_table(spark, folder, "benchmark").select(c("item_id").alias("doc_id"), c("text").alias("other"))
     return docs.join(bench, "doc_id", "left").select(
-        "doc_id", F.sha2(tx.longest_of(F.left("text", F.lit(120)), c("lang"), c("other")), 256).alias("longest")
+        "doc_id", F.sha2(tx.longest_of(c("text"), c("lang"), c("other")), 256).alias("longest")
     )
