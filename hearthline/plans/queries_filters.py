@@ -174,13 +174,13 @@ TOPICS = [
 
 @query("topic_match", r"""
 SELECT post_id, array_to_string(list_filter([
-  CASE WHEN regexp_matches(text, '(?i)tion\b|mouve') THEN 'motion' END,
+  CASE WHEN regexp_matches(text, '(?i)tion([^\p{L}\p{M}\p{N}_]|$)|mouve') THEN 'motion' END,
   CASE WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{M}\p{N}_])(que|und)([^\p{L}\p{M}\p{N}_]|$)') THEN 'language' END,
   CASE WHEN regexp_matches(text, '(?i)É[a-z]+|ñ') THEN 'accents' END], lambda x: x IS NOT NULL), ', ') AS topics
-FROM posts WHERE regexp_matches(text, '(?i)tion\b|mouve')
+FROM posts WHERE regexp_matches(text, '(?i)tion([^\p{L}\p{M}\p{N}_]|$)|mouve')
   OR regexp_matches(text, '(?i)(^|[^\p{L}\p{M}\p{N}_])(que|und)([^\p{L}\p{M}\p{N}_]|$)')
   OR regexp_matches(text, '(?i)É[a-z]+|ñ')
-""".replace(r"tion\b", r"tion([^\p{L}\p{M}\p{N}_]|$)"))
+""")
 def topic_match(spark, folder):
     tagged = posts(spark, folder).withColumn("topics", flt.match_topics(c("text"), TOPICS))
     return tagged.filter((F.size("topics") > 0) & flt.has_identity(c("group_id"), c("post_id"))).select(

@@ -175,10 +175,10 @@ def table_head(spark, folder):
 
 @query("user_edits", """
 SELECT source, source_id, CASE WHEN line_no IN (1, 2) THEN true ELSE part_id % 2 = 0 END::INTEGER AS is_favorite,
-  CASE WHEN line_no = 1 THEN left(repeat(street || ' ', 400), 2000) ELSE 'old' END AS user_notes,
+  sha256(CASE WHEN line_no = 1 THEN left(repeat(street || ' ', 400), 2000) ELSE 'old' END) AS notes_hash,
   CASE WHEN line_no = 2 THEN NULL WHEN line_no = 3 THEN 4.5 ELSE 2.0 END::DOUBLE AS rooms_user,
   (line_no <= 3)::INTEGER AS matched FROM listings
-""".replace("'old' END AS user_notes", "'old' END AS user_notes_raw").replace("CASE WHEN line_no = 1 THEN left(repeat(street || ' ', 400), 2000) ELSE 'old' END AS user_notes_raw", "sha256(CASE WHEN line_no = 1 THEN left(repeat(street || ' ', 400), 2000) ELSE 'old' END) AS notes_hash"))
+""")
 def user_edits(spark, folder):
     rows = listings(spark, folder)
     state = rows.select(
