@@ -10,9 +10,10 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 from check import TABLES, rows_of  # noqa: E402
 
 import __spark_entry__ as entry_module  # noqa: E402
+from hearthline.plans import registry  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLES = registry.load()
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +38,11 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_entry_module_has_the_registry():
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLES) <= set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
 def test_entry(spark):
     frame = entry_module.entry(spark)
     assert frame.columns[:2] == ["source", "source_id"]
