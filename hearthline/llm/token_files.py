@@ -9,6 +9,9 @@ and one range of a shard. The document table keeps each row's shard, place and l
 from __future__ import annotations
 
 import io
+import json
+import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -23,45 +26,74 @@ from hearthline.llm.perfect_hash import PerfectHash
 
 #: Keys of an index bucket, on average: bounds the memory of the task that builds or reads it.
 KEYS_PER_BUCKET = 100_000
-#: Chunks whose ids a Python worker remembers, over all tasks that it runs.
+#: Pieces whose ids a Python worker remembers, over all tasks that it runs.
 REMEMBERED = 1 << 19
 #: Ids of a document that are read at once.
 READ_IDS = 1 << 20
 END_ID = 1
+#: Split of the supported tokenizers, a fixed value.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Encoder:
-    """Ids of a text by a tokenizer file of the tokenizers library.
+    """Ids of a text by a tokenizer file of the tokenizers library, remembered by piece.
 
-    The tokenizer drops white space and never joins what it separates, so a text is encoded as its
-    chunks between spaces, tabs and line ends, and the ids of chunks seen before are remembered. A chunk goes to
-    the library whole.
+    For tokenizers that lower-case, drop white space and split words by ``WORD_PATTERN``. Texts of ASCII and Latin-1
+    letters are split by that pattern here (normal forms leave them as they are); other texts, and texts that may hold
+    a special token, go to the library as whole chunks between blanks, which no piece crosses. The library encodes
+    every piece or chunk that isn't remembered.
     """
 
+    SIMPLE = re.compile(r"[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\x09-\x0d\x20a-z0-9\xdf-\xf6\xf8-\xff]+")
+
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        state = json.loads(self.tokenizer.to_str())
+        splits = [x["pattern"].get("Regex") for x in (state["pre_tokenizer"] or {}).get("pretokenizers", []) if "pattern" in x]
+        lowers = any(x["type"] == "Lowercase" for x in (state["normalizer"] or {}).get("normalizers", []))
+        if splits != [WORD_PATTERN] or not lowers:
+            raise ValueError("this encoder knows lower-casing word tokenizers only")
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned integers of ``dtype``, without an end id."""
-        chunks = text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
-        known = self.known
+        if self.SIMPLE.fullmatch(text) and "<|" not in text:
+            return self._joined(self.PIECES.findall(text.lower()), self.pieces, self._encode_pieces)
+        blanks = text.replace("\t", " ").replace("\n", " ").replace("\r", " ")
+        return self._joined(blanks.split(" "), self.chunks, self._encode_chunks)
+
+    def _joined(self, parts: list[str], known: dict[str, bytes], encode: Callable[[list[str]], None]) -> bytes:
         try:
-            return b"".join([known[c] for c in chunks])
+            return b"".join([known[p] for p in parts])
         except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[c] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join([known[c] for c in chunks])
-
-    @property
-    def dtype(self) -> str:
-        return "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+            if len(known) > REMEMBERED:
+                known.clear()
+            encode([p for p in dict.fromkeys(parts) if p not in known])
+            return b"".join([known[p] for p in parts])
+
+    def _encode_pieces(self, new: list[str]) -> None:
+        """Pieces side by side between blanks are words of their own to the tokenizer."""
+        for at in range(0, len(new), 256):
+            some = new[at:at + 256]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            words, ids = np.array(found.word_ids, np.int64), np.array(found.ids, self.dtype)
+            cuts = np.searchsorted(words, np.arange(len(some) + 1))
+            if len(words) and words[-1] + 1 == len(some) and (np.diff(cuts) > 0).all():
+                for k, p in enumerate(some):
+                    self.pieces[p] = ids[cuts[k]:cuts[k + 1]].tobytes()
+            else:
+                for p in some:
+                    self.pieces[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _encode_chunks(self, new: list[str]) -> None:
+        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
+            self.chunks[p] = np.array(e.ids, self.dtype).tobytes()
 
 
 @cache
