@@ -189,21 +189,31 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    for batch in batches:
-        by: dict[str, list] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            for packed in grams(text.as_py()):
-                by.setdefault(lang, []).append(packed)
-        for lang, parts in by.items():
+    waiting: dict[str, list] = {}
+    n_waiting = 0
+
+    def count() -> Iterator[pa.RecordBatch]:
+        nonlocal held, size, waiting, n_waiting
+        for lang, parts in waiting.items():
             codes, keys = pd.factorize(np.concatenate(parts))
             held.setdefault(lang, []).append((keys, np.bincount(codes, minlength=len(keys))))
             size += len(keys)
+        waiting, n_waiting = {}, 0
         if size > HELD:
             held = {lang: [merged(lang)] for lang in held}
             size = sum(len(p[0][0]) for p in held.values())
             if size > HELD // 2:
                 yield from rows()
                 held, size = {}, 0
+
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for packed in grams(text.as_py()):
+                waiting.setdefault(lang, []).append(packed)
+                n_waiting += len(packed)
+                if n_waiting >= PIECE:
+                    yield from count()
+    yield from count()
     yield from rows()
 
 
@@ -277,7 +287,7 @@ def length_class(n_grams: Column) -> Column:
 def identify(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Columns ``keep`` with held_out, lang_pred, score, entropy, n_grams, rejected.
 
-    Models learn from text and non-null lang of the rows whose id's crc32 modulo 4 is 0 or 1, their
+    One pass counts, one scores the calibration rows, one scores all rows; nothing wide is written. Models learn from text and non-null lang of the rows whose id's crc32 modulo 4 is 0 or 1, their
     rejection from those where it is 3; rows where it is 2 are held out, rows with a null id neither teach
     nor are held out. Texts that are null or without a letter are "und" with score 0 and are rejected; so is
     every text if nothing can be learned. All others get a learned language. The score falls from 1 as the
@@ -286,27 +296,28 @@ def identify(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text: str
     """
     spark = docs.sparkSession
     fold_ = fold_of(id_col)
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & fold_.isin(0, 1))
+    labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), fold_.alias("fold")
+    )
     folder = scratch(spark, "language-models")
-    models = save(train(rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))), folder)
+    models = save(train(labelled.filter(F.col("fold").isin(0, 1))), folder)
     shared = spark.sparkContext.broadcast(sorted((r.lang, bytes(r.model)) for r in models.collect()))
     remove(spark, folder)
-    kept = docs.select(*keep)
-    data, own, is_fold = (free_name(kept, n) for n in ("data", "own_lang", "fold"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    scored = saved(docs.select(
-        F.col(text).alias(data), *keep, F.col(lang).cast("string").alias(own), fold_.cast("int").alias(is_fold),
-    ).mapInArrow(
-        lambda b: _score_batches(b, shared),
-        f"{schema}, `{own}` string, `{is_fold}` int, lang_pred string, score double, entropy double, n_grams long",
-    ), "scored")
-    known = scored.filter((F.col(is_fold) == CALIBRATION_FOLD) & (F.col(own) == F.col("lang_pred"))).select(
-        F.col("lang_pred").alias("c_lang"), length_class(F.col("n_grams")).alias("c_class"), "entropy"
-    )
+
+    def scored(rows: DataFrame, text_: str, others: list[str]) -> DataFrame:
+        kept = rows.select(*others)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+        return rows.select(F.col(text_).alias(free_name(kept, "data")), *others).mapInArrow(
+            lambda b: _score_batches(b, shared), f"{schema}, lang_pred string, score double, entropy double, n_grams long")
+
+    known = saved(scored(labelled.filter(F.col("fold") == CALIBRATION_FOLD), "text", ["lang"]).filter("lang = lang_pred").select(
+        F.col("lang").alias("c_lang"), length_class(F.col("n_grams")).alias("c_class"), "entropy"
+    ), "calibration")
     limit = (F.avg("entropy") + DEVIATIONS * F.greatest(F.stddev_pop("entropy"), F.lit(LEAST_SPREAD))).alias("c_limit")
     of_class = known.groupBy("c_lang", "c_class").agg(limit)
     of_lang = known.groupBy(F.col("c_lang").alias("l_lang")).agg(limit.alias("l_limit"))
-    out = scored.join(
+    is_fold = free_name(docs.select(*keep), "fold")
+    out = scored(docs.withColumn(is_fold, fold_.cast("int")), text, [*keep, is_fold]).join(
         F.broadcast(of_class),
         (F.col("lang_pred") == F.col("c_lang")) & (length_class(F.col("n_grams")) == F.col("c_class")), "left",
     ).join(F.broadcast(of_lang), F.col("lang_pred") == F.col("l_lang"), "left")
