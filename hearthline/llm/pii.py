@@ -31,7 +31,7 @@ PATTERNS = {
 }
 BASE = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
-PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Characters before a span in which a context labeler looks for its cue.
 CONTEXT = 40
 CUES = {
