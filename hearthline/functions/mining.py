@@ -36,9 +36,8 @@ HEBREW_UNITS = UnitLexicon()
 
 
 def _start(c: Column, pattern: str) -> Column:
-    """0-based start of the first match, NULL without one."""
-    at = F.regexp_instr(c, F.lit(pattern))
-    return F.when(at > 0, at - 1)
+    """0-based start of the first match in code points, as substr and length count, NULL without one."""
+    return F.when(c.rlike(pattern), F.length(F.regexp_extract(c, f"^((?s:.*?))(?:{pattern})", 1)))
 
 
 def _positive(c: Column) -> Column:

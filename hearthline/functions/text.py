@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
 
@@ -116,19 +118,25 @@ def city_key(c: Column, groups: Sequence[Sequence[str]] | None = None) -> Column
 
 # ---- markup and numbers (D9-D13) --------------------------------------------
 
-_ENTITIES = [
-    ("&nbsp;|&#160;|&#[xX][aA]0;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"),
-    ("&quot;|&#34;", '"'), ("&#39;|&apos;|&#[xX]27;", "'"),
-    ("&#8362;|&#[xX]20[aA][aA];", "₪"), ("&frac12;|&#189;", "½"),
-    ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&amp;", "&"),
-]
+_ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
+
+
+def _entity_text(e: Column) -> Column:
+    """Text of one character reference; unknown names stay, impossible numbers become U+FFFD."""
+    decimal = F.regexp_extract(e, "^&#([0-9]+);$", 1).try_cast("bigint")
+    hexadecimal = F.conv(F.nullif(F.regexp_extract(e, "^&#[xX]([0-9a-fA-F]+);$", 1), F.lit("")), 16, 10).try_cast("bigint")
+    point = F.coalesce(decimal, hexadecimal)
+    fine = F.when((point < 1) | (point > 0x10FFFF) | point.between(0xD800, 0xDFFF), 0xFFFD).otherwise(point)
+    char = F.decode(F.unhex(F.lpad(F.hex(fine), 8, "0")), "UTF-32")
+    names = literal_map({f"&{name};": chr(p) for name, p in sorted(name2codepoint.items())} | {"&apos;": "'"})
+    return F.when(point.isNotNull(), char).otherwise(F.coalesce(F.try_element_at(names, e), e))
 
 
 def unescape_markup(c: Column) -> Column:
-    """The entities listing boards use, without leaving the JVM; '&amp;' goes last."""
-    for pattern, text in _ENTITIES:
-        c = F.regexp_replace(c, pattern, text)
-    return c
+    """Numeric and named character references, decoded once, without leaving the JVM."""
+    decoded = F.transform(F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(0)), _entity_text)
+    parts = F.zip_with(F.split(c, _ENTITY, -1), decoded, lambda gap, e: F.concat(gap, F.coalesce(e, F.lit(""))))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(parts, "")).otherwise(c)
 
 
 def strip_tags(c: Column) -> Column:
@@ -396,7 +404,9 @@ def search_text(description: Column, tags: Column) -> Column:
 
 
 def standalone_word(c: Column, word: str, letters: str = r"\u0590-\u05ff") -> Column:
-    return c.rlike(f"(?<![{letters}]){word}(?![{letters}])")
+    """The word as it stands, signs of regular expressions included, between other characters than letters."""
+    quoted = re.sub(r"([^\w\s])", r"\\\1", word)
+    return c.rlike(f"(?<![{letters}]){quoted}(?![{letters}])")
 
 
 def phrase_hits(c: Column, phrases: Sequence[str]) -> Column:

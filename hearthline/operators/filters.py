@@ -154,7 +154,7 @@ def match_topics(text: Column, topics: Sequence[Topic]) -> Column:
     for topic in topics:
         hit = F.lit(False)
         for pattern in topic.patterns:
-            hit = hit | text.rlike("(?iu)" + pattern)
+            hit = hit | text.rlike("(?iU)" + pattern)
         labels.append(F.when(hit, topic.label))
     return F.array_compact(F.array(*labels))
 

@@ -62,7 +62,7 @@ def json_bilingual(spark, folder):
 SELECT (order_id * 10 + line_no)::VARCHAR AS source_id, city, CASE WHEN line_no % 2 = 0 THEN street || ' ' || city ELSE street || ', ' || neighborhood || ', ' || city END AS address,
   rooms, sqm, floor, price, CASE WHEN line_no = 1 THEN 'קוטג''' ELSE neighborhood END AS listing_type, (line_no % 2)::INTEGER AS parking,
   CASE WHEN line_no % 3 = 0 THEN 600 END::INTEGER AS lot_sqm, CASE WHEN line_no % 3 <> 0 THEN sqm END AS garden_sqm,
-  CASE WHEN line_no % 3 <> 0 THEN 2 END::INTEGER AS units_count FROM listings WHERE source = 'A'
+  CASE WHEN line_no % 3 <> 0 THEN 2 END::INTEGER AS units_count FROM listings
 """)
 def json_agency(spark, folder):
     return jf.parse_agency(bronze.agency_pages(spark, folder), 2001).select(

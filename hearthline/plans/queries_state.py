@@ -332,7 +332,7 @@ def cap_per_source(spark, folder):
 
 @query("union_sources", """
 SELECT 'item:' || source AS source, source_id, price, neighborhood AS listing_type FROM listings WHERE source = 'A'
-UNION ALL SELECT 'item:' || source, source_id, price, '' FROM listings WHERE source = 'N'
+UNION ALL SELECT 'item:' || source, source_id, price, '' FROM listings WHERE source <> 'A'
 UNION ALL SELECT 'event:' || source, event_id::VARCHAR, floor(price)::BIGINT, '' FROM history
 """)
 def union_sources(spark, folder):
@@ -340,7 +340,7 @@ def union_sources(spark, folder):
     rows = listings(spark, folder)
     a = rows.filter(c("source") == "A").select(
         F.concat(F.lit("item:"), "source").alias("source"), "source_id", "price", c("neighborhood").alias("listing_type"))
-    n = rows.filter(c("source") == "N").select(F.concat(F.lit("item:"), "source").alias("source"), "source_id", "price")
+    n = rows.filter(c("source") != "A").select(F.concat(F.lit("item:"), "source").alias("source"), "source_id", "price")
     e = price_history(spark, folder).select(
         F.concat(F.lit("event:"), "source").alias("source"), c("event_id").cast("string").alias("source_id"),
         F.floor("price").cast("bigint").alias("price"))

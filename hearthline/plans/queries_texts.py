@@ -425,3 +425,23 @@ def longest_text(spark, folder):
     return docs.join(bench, "doc_id", "left").select(
         "doc_id", F.sha2(tx.longest_of(c("text"), c("lang"), c("other")), 256).alias("longest")
     )
+
+
+@query("text_edges", """
+SELECT post_id, chr(1488 + turn::INTEGER % 27) || 'é&lt;' AS decoded, NULL::INTEGER AS negated, 1 AS units,
+  turn % 2 = 0 AS topic, turn % 3 = 0 AS word FROM posts
+""")
+def text_edges(spark, folder):
+    """D9/D25/E-T1/C11: character references, signs beyond 16 bits before a negation, letters of other scripts, quoted words."""
+    from hearthline.functions import mining as mn
+    from hearthline.operators.filters import Topic, match_topics
+
+    faces = F.repeat(F.lit("😀"), (c("turn") % 60).cast("int"))
+    written = F.when(c("turn") % 2 == 0, "שולחנות").otherwise("שולח")
+    word = F.when(c("turn") % 3 == 0, "x a+b").otherwise("x aab")
+    return posts(spark, folder).select(
+        "post_id", tx.unescape_markup(F.concat(F.lit("&#"), (c("turn") % 27 + 1488).cast("string"), F.lit(";&eacute;&amp;lt;"))).alias("decoded"),
+        mn.units_count(F.concat(faces, F.lit("ללא יחידת דיור"))).alias("negated"),
+        mn.units_count(F.concat(faces, F.lit(" יחידת דיור"))).alias("units"),
+        (F.size(match_topics(written, [Topic("t", ["שולח\\w+"])])) == 1).alias("topic"), tx.standalone_word(word, "a+b").alias("word"),
+    )

@@ -10,8 +10,6 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # range joins grow their input: keep small intermediate results on several tasks
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # pages and bodies are large: keep the batches sent to Python small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",

@@ -84,8 +84,15 @@ def _whole_page(pages: DataFrame) -> DataFrame:
     return html.fragments(pages, "html").join(keys, "page_id")
 
 
-def icon_details(pages: DataFrame, as_of_year: int) -> DataFrame:
-    """Floor icon, check/times amenity icons, description tag, creation date label, agency words."""
+def _limited(text: Column, limit: int | None) -> Column:
+    return text if limit is None else F.left(text, F.lit(limit))
+
+
+def icon_details(pages: DataFrame, as_of_year: int, description_limit: int | None = None) -> DataFrame:
+    """Floor icon, check/times amenity icons, description tag, creation date label, agency words.
+
+    ``description_limit`` cuts the description for a feed that asks for it; by default it is whole.
+    """
     n = "nodes"
     page = _whole_page(pages).withColumn("_text", F.get(n, F.lit(0))["text"])
     icons = F.transform(
@@ -98,7 +105,7 @@ def icon_details(pages: DataFrame, as_of_year: int) -> DataFrame:
     description = tx.blank_to_null(html.attr_of(html.elements(n, "meta", attr="property", like="^og:description$"), "content"))
     measures = mn.text_measures(F.col("_text"))
     return page.select(
-        "source", "source_id", F.left(F.trim(description), F.lit(2000)).alias("description"),
+        "source", "source_id", _limited(F.trim(description), description_limit).alias("description"),
         F.coalesce(floor(html.icon_text(n, "fa-building")), floor(F.col("_text"))).alias("floor"),
         *[flag.alias(name) for name, flag in flags.items()], measures["rooms"].alias("rooms"), measures["sqm"].alias("sqm"),
         _yes(tx.any_of(html.text_of(html.elements(n, None, attr="class", like="card-contacts")), lx.AGENT_NAMES)).alias("is_agent"),
@@ -107,13 +114,16 @@ def icon_details(pages: DataFrame, as_of_year: int) -> DataFrame:
     )
 
 
-def text_details(pages: DataFrame, as_of_year: int) -> DataFrame:
-    """Everything from the page's running text: flags, floor, year, picture links."""
+def text_details(pages: DataFrame, as_of_year: int, description_limit: int | None = None) -> DataFrame:
+    """Everything from the page's running text: flags, floor, year, picture links.
+
+    ``description_limit`` cuts the description for a feed that asks for it; by default it is whole.
+    """
     text = F.col("_text")
     page = _whole_page(pages).withColumn("_text", F.get("nodes", F.lit(0))["text"])
     images = F.transform(html.elements("nodes", "img", attr="src", like="picNum"), lambda x: F.try_element_at(x["attrs"], F.lit("src")))
     return page.select(
-        "source", "source_id", F.left(text, F.lit(2000)).alias("description"),
+        "source", "source_id", _limited(text, description_limit).alias("description"),
         *[_yes(flag).alias(name) for name, flag in tx.keyword_flags(F.lower(text)).items()],
         mn.text_measures(text)["floor"].alias("floor"), images.alias("images"), mn.year_built(text, as_of_year).alias("year_built"),
     )

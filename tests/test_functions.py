@@ -139,3 +139,23 @@ def test_lcs_short_and_long(value):
     pairs = [("kitten", "sitting"), ("", "a"), ("אבגד", "אגד"), ("ab" * 40, "ba" * 45), ("x" * 62, "x" * 61), ("😀a", "a😀")]
     got = value(lambda a, b: sim.lcs_length(a, b), *pairs, schema="a string, b string")
     assert got == [_lcs(a, b) for a, b in pairs]
+
+
+def test_negation_window_counts_characters_not_code_units(value):
+    assert value(mn.units_count, "😀" * 45 + "ללא יחידת דיור", "😀" * 45 + " יחידת דיור") == [None, 1]
+
+
+def test_character_references(value):
+    got = value(tx.unescape_markup, "&#1488;&#x5D1; &eacute; &ndash; &amp;lt; &nosuch; &#0; &#55296; a&b", "plain", None)
+    assert got == ["אב é – &lt; &nosuch; � � a&b", "plain", None]
+
+
+def test_standalone_word_is_quoted(value):
+    assert value(lambda c: tx.standalone_word(c, "a+b"), "x a+b c", "aab", "א a+b") == [True, False, True]
+
+
+def test_topic_patterns_know_letters_of_all_scripts(value):
+    from hearthline.operators.filters import Topic, match_topics
+
+    topics = [Topic("desk", [r"שולח\w+"])]
+    assert value(lambda c: match_topics(c, topics), "שולחנות", "שולח ישן") == [["desk"], []]

@@ -110,6 +110,21 @@ def test_stream_equals_batch_over_several_files(spark):
     assert last[("a", "1")] == ("2026-01-01", "2026-01-04", 9.0) and len(last) == 3
 
 
+def test_stream_without_new_rows_returns_what_it_had(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    schema = "source string, source_id string, ts timestamp, price double, event_id long"
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    run = lambda: ch.scan_stream(stream(), str(tmp_path / "run"), lambda: F.to_date("ts"))
+    found, state = run()
+    assert spark.read.parquet(found).count() == 0 and spark.read.parquet(state).count() == 0
+    spark.sql("SELECT 'a' AS source, '1' AS source_id, timestamp'2026-01-01' AS ts, 5.0D AS price, 1L AS event_id").write.mode(
+        "append").parquet(str(tmp_path / "in"))
+    first, again = run(), run()
+    assert first == again and [r.price for r in spark.read.parquet(again[1]).collect()] == [5.0]
+    outbox = ch.alert_once(spark.readStream.schema(schema).parquet(str(tmp_path / "in")).filter("price > 9"), str(tmp_path / "out"))
+    assert spark.read.parquet(outbox).count() == 0
+
+
 def test_alerts_go_out_once(spark):
     folder, out = feed_files(spark, BATCHES[:2]), ch.run_folder(spark)
     keys = lambda path: sorted((r.source, r.source_id) for r in spark.read.parquet(path).collect())
