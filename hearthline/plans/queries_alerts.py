@@ -97,11 +97,32 @@ FROM (SELECT *, row_number() OVER (PARTITION BY watch_label, known ORDER BY post
 """)
 def watch_scan(spark, folder):
     """L6/B7/AG10: match, merge into the stored items, count per watch; 20 alerts per watch at most."""
+    return runs.free_item_counters(watch_run(spark, folder))
+
+
+@query("free_scan_log", ITEMS_SQL + """
+SELECT '2026-01-01' AS day, watch_label, 1 AS fetched, 0 AS new, 0 AS alerted, 'timeout' AS errors FROM (SELECT DISTINCT watch_label FROM watch)
+UNION ALL
+SELECT '2026-01-02', watch_label, count(*), count(*) FILTER (NOT known), count(*) FILTER (NOT known AND rn <= 20), ''
+FROM (SELECT *, row_number() OVER (PARTITION BY watch_label, known ORDER BY post_id) AS rn FROM watch) GROUP BY watch_label
+""")
+def free_scan_log(spark, folder):
+    """A run's rows appended to the log of the runs before."""
+    seen = watch_run(spark, folder)
+    at = lambda day: F.lit(f"{day} 00:00:00").cast("timestamp")
+    before = seen.select("watch_label").distinct().select(
+        at("2026-01-01").alias("ts"), "watch_label", F.lit(1).cast("bigint").alias("fetched"), F.lit(0).cast("bigint").alias("new"),
+        F.lit(0).cast("bigint").alias("alerted"), F.lit("timeout").alias("errors"))
+    log = runs.append_log(before, runs.free_scan_rows(seen, at("2026-01-02")))
+    return log.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "watch_label", "fetched", "new", "alerted", "errors")
+
+
+def watch_run(spark: SparkSession, folder: str) -> DataFrame:
     merged = watch_merge(spark, folder)
     fresh = al.outbox(merged.filter("is_new"), al.free_item_message(), ["watch_label"], [F.asc("source_id")], 20)
     sent = fresh.select("source", "source_id", F.lit(True).alias("alerted"))
     flagged = merged.join(sent, ["source", "source_id"], "left").withColumn("alerted", F.coalesce("alerted", F.lit(False)))
-    return runs.free_item_counters(flagged.filter("seen"))
+    return flagged.filter("seen")
 
 
 def watch_merge(spark: SparkSession, folder: str, seed_only: bool = False) -> DataFrame:

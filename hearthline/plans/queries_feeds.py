@@ -230,3 +230,22 @@ def json_agency_details(spark, folder):
         "source", "source_id", "sqm", "lot_sqm", "garden_sqm", "units_count", "floor", c("elevator").cast("int").alias("elevator"),
         c("ac").cast("int").alias("ac"), "year_built", F.array_join("images", ",").alias("images"),
     )
+
+
+@query("deal_providers", TREND_SQL + """
+SELECT 'deals_table' AS provider, c_nationkey::VARCHAR AS city, make_date(2000, (c_custkey % 12 + 1)::INTEGER, 1)::VARCHAR AS deal_date,
+  (c_custkey % 5 + 1.5)::DOUBLE AS rooms, (c_custkey * 1000 + 7)::BIGINT AS price FROM customer
+UNION ALL SELECT 'trends', city, deal_date::VARCHAR, rooms, price FROM comps
+""")
+def deal_providers(spark, folder):
+    """M2: closed deals of every provider, each through its DealSpec."""
+    from hearthline.sources.feeds import builtin_deals
+
+    pages = {"deals_table": bronze.deal_pages(spark, folder), "trends": bronze.trend_pages(spark, folder)}
+    parts = [
+        spec.parse(pages[name]).select(
+            F.lit(name).alias("provider"), "city", c("deal_date").cast("string").alias("deal_date"), c("rooms").cast("double").alias("rooms"),
+            c("price").cast("bigint").alias("price"))
+        for name, spec in builtin_deals(F.lit("2001-08-01").cast("date")).items()
+    ]
+    return parts[0].unionByName(parts[1])

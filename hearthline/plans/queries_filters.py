@@ -186,3 +186,15 @@ def topic_match(spark, folder):
     return tagged.filter((F.size("topics") > 0) & flt.has_identity(c("group_id"), c("post_id"))).select(
         "post_id", F.array_join("topics", ", ").alias("topics")
     )
+
+
+@query("city_mismatch_rejects", """
+SELECT source, source_id, CASE WHEN rooms NOT BETWEEN 1.5 AND 5.0 THEN 'rooms_out_of_range' WHEN price NOT BETWEEN 300000 AND 2500000 THEN 'price_out_of_range'
+  WHEN city <> 'NATION_7' THEN 'city_mismatch' WHEN sqm < 40 THEN 'sqm_too_small' END AS reject_reason FROM listings
+""")
+def city_mismatch_rejects(spark, folder):
+    """C4: a feed asked for one city rejects what it returns from others, in the rule order of the nested feed."""
+    cfg = flt.SearchConfig(rooms_min=1.5, rooms_max=5.0, price_min=300_000, price_max=2_500_000, min_sqm=40)
+    rules = flt.rule_set(cfg, F.lit("1997-01-31").cast("date"), flt.FEED_RULES["nested"],
+                         expected_city=F.lit("NATION_7"), publish_date=F.lit("1997-01-31").cast("date"))
+    return listings(spark, folder).select("source", "source_id", flt.reject_reason(rules).alias("reject_reason"))

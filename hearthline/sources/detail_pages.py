@@ -79,9 +79,8 @@ def agency_details(raw: DataFrame, as_of_year: int) -> DataFrame:
 
 
 def _whole_page(pages: DataFrame) -> DataFrame:
-    """The page's root element with its listing key."""
-    keys = pages.select("page_id", "source", "source_id")
-    return html.fragments(pages, "html").join(keys, "page_id")
+    """The page's root element with its listing key; a page without a root tag is its own root."""
+    return html.fragments(pages, "html", carry=("source", "source_id"), whole=True)
 
 
 def _limited(text: Column, limit: int | None) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import partial
 
+from pyspark.sql import Column, functions as F
+
 from hearthline.operators.filters import FEED_RULES
 from hearthline.sources import detail_pages as dp, html, json_feeds as jf
 from hearthline.sources.details import DETAIL_RULES
@@ -39,8 +41,16 @@ def builtin_feeds(as_of_year: int, base: str = "https://board.example") -> dict[
     )}
 
 
-def register_builtin(as_of_year: int, base: str = "https://board.example") -> None:
+def builtin_deals(as_of: Column) -> dict[str, DealSpec]:
+    """Providers of closed deals; pages carry their own city and neighbourhood."""
+    return {spec.name: spec for spec in (
+        DealSpec("deals_table", lambda pages: html.deals_table(pages, F.col("city"), F.col("neighborhood"))),
+        DealSpec("trends", lambda raw: jf.trends_to_comps(raw, as_of)),
+    )}
+
+
+def register_builtin(as_of_year: int, base: str = "https://board.example", as_of: Column | None = None) -> None:
     for spec in builtin_feeds(as_of_year, base).values():
         register_feed(spec)
-    register_deals(DealSpec("deals_table", html.deals_table))
-    register_deals(DealSpec("trends", jf.trends_to_comps))
+    for spec in builtin_deals(F.current_date() if as_of is None else as_of).values():
+        register_deals(spec)

@@ -8,7 +8,7 @@ expressions in the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -68,19 +68,27 @@ def _node(row: list, index: int, base: int) -> dict:
     }
 
 
-def fragments(pages: DataFrame, tag: str, cls: str | None = None, attr: str | None = None) -> DataFrame:
+def fragments(
+    pages: DataFrame, tag: str, cls: str | None = None, attr: str | None = None, carry: Sequence[str] = (), whole: bool = False,
+) -> DataFrame:
     """One row per matching element: page_id, position, nodes (itself first), above (its ancestors,
-    nearest first)."""
+    nearest first), and the text columns ``carry`` of its page. With ``whole`` a page without the tag
+    counts as one element of it."""
     key_type = pages.schema["page_id"].dataType.simpleString()
     arrow_key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[key_type]
-    out = pa.schema([("page_id", arrow_key), ("position", pa.int64()), ("nodes", pa.list_(_NODE)), ("above", pa.list_(_NODE))])
+    out = pa.schema([("page_id", arrow_key), ("position", pa.int64()), ("nodes", pa.list_(_NODE)), ("above", pa.list_(_NODE)),
+                     *[(name, pa.string()) for name in carry]])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         for batch in batches:
-            for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
+            carried = [batch.column(name).to_pylist() for name in carry]
+            for place, (page_id, html) in enumerate(zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist())):
+                html = html or ""
+                if whole and f"<{tag}" not in html.lower():
+                    html = f"<{tag}>{html}</{tag}>"
                 page = _Elements()
-                page.feed(html or "")
+                page.feed(html)
                 page.close()
                 for index, row in enumerate(page.rows):
                     attrs = row[3]
@@ -93,14 +101,16 @@ def fragments(pages: DataFrame, tag: str, cls: str | None = None, attr: str | No
                     rows.append({
                         "page_id": page_id, "position": index, "above": above,
                         "nodes": [_node(page.rows[k], k, index) for k in range(index, row[0] + 1)],
+                        **{name: values[place] for name, values in zip(carry, carried)},
                     })
                     if len(rows) >= CARDS_PER_BATCH:
                         yield pa.RecordBatch.from_pylist(rows, schema=out)
                         rows = []
         yield pa.RecordBatch.from_pylist(rows, schema=out)
 
-    return pages.select("page_id", "html").mapInArrow(
-        parse, f"page_id {key_type}, position bigint, nodes array<{_NODE_DDL}>, above array<{_NODE_DDL}>"
+    more = "".join(f", {name} string" for name in carry)
+    return pages.select("page_id", "html", *carry).mapInArrow(
+        parse, f"page_id {key_type}, position bigint, nodes array<{_NODE_DDL}>, above array<{_NODE_DDL}>{more}"
     )
 
 

@@ -216,3 +216,15 @@ def test_builtin_feeds_have_known_rules():
     assert len(specs) == 8
     for spec in specs.values():
         assert set((spec.detail_rules or {}).values()) <= set(RULES)
+
+
+def test_pages_without_a_root_tag_are_kept(spark):
+    from hearthline.sources import detail_pages as dp
+
+    pages = spark.createDataFrame(
+        [(1, "s", "a", "<html><body><p>מעלית " + "x" * 3000 + "</p></body></html>"), (2, "s", "b", "<p>מעלית</p>"), (3, "s", "c", None)],
+        "page_id long, source string, source_id string, html string")
+    rows = {r.source_id: r for r in dp.text_details(pages, 2026).collect()}
+    assert set(rows) == {"a", "b", "c"} and len(rows["a"].description) > 3000 and "מעלית" in rows["b"].description
+    plan = dp.text_details(pages, 2026)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
