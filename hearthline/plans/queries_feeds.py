@@ -249,3 +249,23 @@ def deal_providers(spark, folder):
         for name, spec in builtin_deals(F.lit("2001-08-01").cast("date")).items()
     ]
     return parts[0].unionByName(parts[1])
+
+
+@query("json_tolerant", """
+SELECT source || '-' || source_id AS source_id, price, sqm, sqm AS sqm_build,
+  round_even(price::DOUBLE / (sqm + 0.5)::DOUBLE, 0)::BIGINT AS price_per_sqm, (line_no % 5 < 4)::INTEGER AS is_agent FROM listings
+""")
+def json_tolerant(spark, folder):
+    """Fractional prices and areas, and the other names of the agent fields."""
+    line = c("line_no") % 5
+    item = F.to_json(F.struct(
+        F.concat_ws("-", "source", "source_id").alias("token"), (c("price") + 0.25).alias("price"),
+        F.when(line == 0, "Broker").alias("ad_type"), F.lit("").alias("adType"), F.when(line == 1, "A").alias("agencyName"), F.lit("").alias("agency"),
+        F.struct(F.when(line == 2, "AGENCY").alias("contactType"), F.when(line == 3, "משרד תיווך").alias("contactName")).alias("contact"),
+        F.struct((c("sqm") + 0.5).alias("squareMeter")).alias("additionalDetails"), F.struct((c("sqm") + 0.5).alias("squareMeterBuild")).alias("metaData"),
+    ))
+    start, end = '{"pageProps":{"dehydratedState":{"queries":[{"state":{"data":{"private":[', "]}}}]}}}"
+    raw = listings(spark, folder).select(
+        F.lit("feed").alias("source"), F.lit(1).alias("page_no"), F.concat(F.lit(start), item, F.lit(end)).alias("payload"))
+    return jf.normalize_nested(jf.flatten_sections(raw), 2001).select(
+        "source_id", "price", "sqm", "sqm_build", "price_per_sqm", c("is_agent").cast("int").alias("is_agent"))
