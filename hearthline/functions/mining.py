@@ -9,6 +9,7 @@ from pyspark.sql import Column, functions as F
 from hearthline import lexicons as lx
 from hearthline.functions.text import any_of, blank_to_null, group_of, let
 
+# fixed value: the spellings of square metres end in this
 METRE = "מ[״\"'׳]?\\s*ר"
 
 

@@ -56,6 +56,7 @@ MULTIWORD_CITIES = [
     "הוד השרון", "רמת השרון", "רמת הגולן", "מעלה אדומים", "יד בנימין", "אור יהודה", "אור עקיבא",
 ]
 
+# default of the caller's parameter: city of addresses that name none, and known city names
 DEFAULT_CITY = "אריאל"
 CITY_PREFIXES = ["אריאל", "ברקן", "נופים"]
 
@@ -82,6 +83,7 @@ AMENITY_LABELS = [
     ("מעלית", "elevator"), ("חניה", "parking"), ("מרפסת", "balcony"), ("מרפסת שמש", "balcony"),
     ('ממ"ד', "mamad"), ("ממד", "mamad"), ("מזגן", "ac"), ("משופצת", "renovated"),
 ]
+# fixed value: longest label read as an amenity
 AMENITY_LABEL_MAX = 30
 
 # fixed values: signs of an agency
@@ -94,6 +96,7 @@ AGENT_NAMES = [
     "רימקס", "RE/MAX", "קולדוול", "century", "סנצ'ורי",
 ]
 
+# fixed values: lists of the nested feed, in order of precedence
 FEED_SECTIONS = ["private", "agency", "platinum", "items", "feed_items"]
 
 # ---- scoring ----------------------------------------------------------------
@@ -112,6 +115,7 @@ MARKET_BANDS = [
     ("בית שמש", "", 15_000, 22_000),
     ("אור יהודה", "", 28_000, 38_000),
 ]
+# fixed value: band of cities without their own
 FALLBACK_BAND = (25_000, 40_000)
 
 # fixed values: point of interest and its distance bands (below km, points)
@@ -119,6 +123,7 @@ POI = (32.025982, 34.864421)
 POI_BANDS = [(0.5, 1.5), (1.0, 1.0), (1.5, 0.6), (2.5, 0.2), (4.0, 0.0)]
 POI_FAR = -0.5
 
+# fixed values: points of the score
 FEATURE_POINTS = {"parking": 0.3, "balcony": 0.2, "renovated": 0.4}
 SELLER_POINTS = {"agent": -0.48, "private": 0.72}
 
@@ -126,12 +131,15 @@ SELLER_POINTS = {"agent": -0.48, "private": 0.72}
 AGE_BANDS = [
     (5, 0.3, "new_construction"), (15, 0.1, "modern"), (35, 0.0, "standard"), (50, -0.2, "older"),
 ]
+# fixed value: points beyond the last age
 AGE_OLDEST = (-0.4, "very_old")
 
+# fixed values: phrases of a large garden
 GARDEN_PHRASES = [
     "גינה גדולה", "גינה ענקית", "גינה עשירה", "גינה רחבה",
     "חצר גדולה", "חצר ענקית", "שטח גינה", "מגרש גדול",
 ]
+# fixed values: words that separate repeated units
 UNIT_SEPARATORS = ["נוספת", "נוסף", "נפרדת", "נפרד", "סטודיו", "שנייה", "אחרת"]
 
 # ---- bounds -----------------------------------------------------------------
@@ -140,6 +148,7 @@ NUMBER_BOUNDS = {
     "rooms": (0.5, 30), "sqm": (10, 10000), "sqm_build": (10, 10000), "floor": (-10, 200),
     "units_count": (1, 100), "garden_sqm": (5, 9999), "lot_sqm": (5, 99999),
 }
+# fixed values: flags an extraction may set
 EXTRACTED_FLAGS = ["parking", "balcony", "elevator", "renovated", "ac"]
 
 # ---- tracker ----------------------------------------------------------------
