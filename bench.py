@@ -15,7 +15,7 @@ import time
 HEADLINE = [
     "fair_price_score", "fair_price", "rule_score", "reject_histogram", "upsert_listings", "price_changes",
     "dup_groups", "fuzzy_match", "change_log", "top_alerts", "address_key", "extract_features",
-    "json_flatten", "html_icon_cards", "watch_scan", "stream_scan",
+    "json_flatten", "html_icon_cards", "watch_scan", "stream_scan", "resolve_units",
 ]
 
 

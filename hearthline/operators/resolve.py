@@ -3,8 +3,10 @@
 1. Listings with the same exact key form a group (partial aggregation, so copies cost nothing).
 2. Groups with the same address text join the earliest of them.
 3. The earliest group of each distinct text looks for its most similar *earlier* text in the same
-   city. Candidates share two of their rarest characters; this is an exact filter for the
-   similarity threshold, not a sample: nothing above the threshold is missed.
+   city, in two levels. Texts with their digits masked ("herzl 00") are few; similar ones are found
+   by an exact filter and compared first, and bound the similarity of the texts behind them. Texts
+   of equal masks are then compared, and other pairs only where the bound can still match what a
+   text has found. Nothing at or above the threshold is missed.
 4. Links point from later to earlier, so they form trees; pointer jumping finds the roots.
 """
 
@@ -21,9 +23,7 @@ from hearthline.functions.text import (
 from hearthline.session import cut_lineage
 
 THRESHOLD = 85
-KNOWN_TOKENS = 4096
 SHARED = 2
-SMALL_BLOCK = 64
 
 
 def key_parts(df: DataFrame) -> DataFrame:
@@ -62,98 +62,139 @@ def representatives(grouped: DataFrame, order: Sequence[str] = ("first_seen_at",
 # ---- similarity join --------------------------------------------------------
 
 def _tokens(text: Column) -> Column:
-    """Characters numbered by occurrence: 'anna' -> a1 n1 n2 a2, as a set."""
+    """Characters with the number of their occurrence, as a set: 'anna' -> a1 n1 n2 a2, each one BIGINT."""
     def numbered(letters: Column) -> Column:
-        return F.transform(
-            letters,
-            lambda ch, i: F.concat(
-                ch, F.size(F.filter(F.slice(letters, 1, i + 1), lambda x: x == ch)).cast("string")
-            ),
-        )
+        return F.transform(letters, lambda ch, i: (
+            F.size(F.filter(F.slice(letters, 1, i + 1), lambda x: x == ch)).cast("bigint") * (1 << 21) + F.ascii(ch)
+        ))
     return let(sim.chars(text), numbered)
 
 
-def _token_ranks(nodes: DataFrame) -> DataFrame:
-    """One row: MAP(token -> rank, rare first) of the most frequent tokens, at most KNOWN_TOKENS."""
-    counts = nodes.select(F.explode("_all").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "t").limit(KNOWN_TOKENS)
-    return top.agg(
-        F.map_from_entries(F.collect_list(F.struct("t", F.col("n")))).alias("_ranks")
-    ).withColumn("_one", F.lit(1))
-
-
-def _signatures(nodes: DataFrame, percent: int, block: Sequence[str]) -> DataFrame:
-    """Join keys such that two similar texts of a block share one.
+def _head(text: Column, city: Column, percent: int) -> Column:
+    """First tokens of a text in an order that all texts of its city share.
 
-    Two texts of similarity s share at least o = s*(la+lb)/2 tokens. With all tokens in one common
-    order, the first len-o+2 tokens of both then have two in common, so pairs of those tokens are
-    the keys. Blocks of at most SMALL_BLOCK texts use one key for all.
+    Two texts of similarity s share at least o = s*(la+lb)/2 tokens, so the first len-o+2 tokens of both have
+    two in common; one token that every text has stands last for texts that need a single common one. The
+    city's own tokens go last, later occurrences of a character, which fewer texts have, first.
     """
-    n = F.char_length("text")
+    n = F.char_length(text)
     shortest = F.ceil(n * percent / (200 - percent))
     needed = F.ceil((n + shortest) * percent / 200)
-    sizes = nodes.groupBy(*block).agg((F.count(F.lit(1)) <= SMALL_BLOCK).alias("_small"))
-    spread = nodes.join(sizes, list(block)).withColumns({
-        "_all": F.when(~F.col("_small"), _tokens(F.col("text"))),
-        "_city": F.when(~F.col("_small"), _tokens(F.col("city_n"))),
-    })
-    ranked = spread.withColumn("_one", F.lit(1)).join(F.broadcast(_token_ranks(spread)), "_one", "left")
-    # any order shared by the texts of a city is exact; rare tokens first makes it selective, and
-    # the city's own characters, which every text of the city has, go last
-    order = F.transform(
-        "_all",
-        lambda t: F.struct(
-            F.array_contains("_city", t).alias("of_city"),
-            F.coalesce(F.try_element_at("_ranks", t), F.lit(0)).alias("rank"), t.alias("t"),
-        ),
-    )
-    head = F.transform(F.slice(F.array_sort(order), F.lit(1), (n - needed + SHARED).cast("int")), lambda s: s["t"])
+
+    def ordered(of_city: Column) -> Column:
+        rank = lambda t: F.struct(
+            F.array_contains(of_city, t).alias("of_city"), (-F.shiftright(t, 21)).alias("nth"), F.xxhash64(t).alias("h"), t.alias("t"))
+        own = F.transform(F.array_sort(F.transform(_tokens(text), rank)), lambda t: t["t"])
+        return F.slice(F.array_append(own, F.lit(0).cast("bigint")), F.lit(1), (n - needed + SHARED).cast("int"))
+
+    return let(_tokens(city), ordered)
+
+
+def candidates(nodes: DataFrame, percent: int, keep: Sequence[str] = ()) -> DataFrame:
+    """Pairs of distinct texts of a city, columns (city_n, x, y) with x and y structs of ``keep`` and text.
+
+    Each pair that reaches the similarity is among them, once in either order of its texts (x.text > y.text).
+    The join key is a pair of head tokens; cities of every size go the same way. ``nodes``: text, city_n, keep.
+    """
+    heads = nodes.select("city_n", F.struct("text", *keep).alias("node"), _head(F.col("text"), F.col("city_n"), percent).alias("head"))
     pairs = lambda a: F.flatten(F.transform(
-        a, lambda x, i: F.transform(F.slice(a, i + 2, F.size(a)), lambda y: F.concat(x, F.lit("|"), y))
+        a, lambda x, i: F.transform(F.slice(a, i + 2, F.size(a)), lambda y: F.struct(x.alias("t1"), y.alias("t2")))
     ))
-    keys = F.when(F.col("_small"), F.array(F.lit("*"))).otherwise(let(F.col("head"), pairs))
-    return ranked.withColumn("head", head).withColumn("signature", F.explode(keys)).drop(
-        "_all", "_city", "_ranks", "_one", "_small"
+    signed = heads.select("city_n", "node", "head", F.inline(let(F.col("head"), pairs)))
+    x = _spread(signed.withColumnsRenamed({"node": "x", "head": "x_head"}), "city_n", "t1", "t2")
+    y = _spread(signed.withColumnsRenamed({"node": "y", "head": "y_head"}), "city_n", "t1", "t2")
+    common = F.array_intersect("x_head", "y_head")
+    return (
+        x.join(y, ["city_n", "t1", "t2"])
+        .filter((F.col("x.text") > F.col("y.text")) & sim.length_gate(F.col("x.text"), F.col("y.text"), percent))
+        .filter(let(common, lambda both: (F.get(both, F.lit(0)) == F.col("t1")) & (F.get(both, F.lit(1)) == F.col("t2"))))  # once
+        .select("city_n", "x", "y")
     )
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """One exchange by key into the session's number of partitions: a join of pairs is far larger than the input
+    by which partitions would be coalesced."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _masked(text: Column) -> Column:
+    """Text with its digits alike: common subsequences only grow, lengths stay."""
+    return F.translate(text, "0123456789", "0" * 10)
+
+
+def _above(a: Column, b: Column, percent: int, bits: Column | None = None) -> Column:
+    """Similarity of two texts as an array, empty below the threshold: explode it to filter and evaluate once."""
+    total = F.char_length(a) + F.char_length(b)
+    return F.transform(
+        F.filter(F.array(sim.lcs_length(a, b, bits)), lambda lcs: lcs * 200 >= total * percent), lambda lcs: lcs * 2 / total)
+
+
+def _mask_pairs(nodes: DataFrame, percent: int) -> DataFrame:
+    """(city_n, mask, other, bound): similar masks of a city in both orders; a mask and itself are left out."""
+    a, b = F.col("x.text"), F.col("y.text")
+    masks = nodes.select("city_n", F.col("mask").alias("text")).distinct()
+    found = candidates(masks, percent).filter(sim.levenshtein_gate(a, b, percent)).select(
+        "city_n", a.alias("a"), b.alias("b"), F.explode(_above(a, b, percent)).alias("bound"))
+    both = F.array(F.struct(F.col("a").alias("mask"), F.col("b").alias("other")), F.struct(F.col("b").alias("mask"), F.col("a").alias("other")))
+    return found.select("city_n", "bound", F.inline(both))
+
+
+def _compared(pairs: DataFrame, percent: int) -> DataFrame:
+    """(id, parent, parent_seen, similarity) of the pairs (id, text, bits, y_id, y_text, y_seen) above the threshold."""
+    a, b = F.col("text"), F.col("y_text")
+    return pairs.filter(sim.length_gate(a, b, percent)).filter(sim.levenshtein_gate(a, b, percent)).select(
+        "id", F.col("y_id").alias("parent"), F.col("y_seen").alias("parent_seen"),
+        F.explode(_above(a, b, percent, F.col("bits"))).alias("similarity"))
+
+
+def _levels(nodes: DataFrame, percent: int, block: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(later texts, earlier texts, pairs of equal masks, pairs of masks) of the two-level join."""
+    cut = nodes.select("id", "text", "seen", *dict.fromkeys(["city_n", *block])).withColumn("mask", _masked(F.col("text")))
+    later = cut_lineage(_spread(cut, "id").withColumn("bits", sim.char_masks(F.col("text"))))
+    earlier = later.select(*block, F.col("mask").alias("other"), F.col("id").alias("y_id"), F.col("text").alias("y_text"),
+                           F.col("seen").alias("y_seen"))
+    alike = later.join(earlier.withColumnRenamed("other", "mask").hint("merge"), [*block, "mask"]).filter(F.col("seen") > F.col("y_seen"))
+    return later, earlier, alike, cut_lineage(_mask_pairs(cut, percent))
+
+
 def similar_pairs(
     nodes: DataFrame, percent: int = THRESHOLD, block: Sequence[str] = ("city_n",)
 ) -> DataFrame:
     """All (later, earlier) pairs of distinct texts in a block at or above the threshold.
 
-    ``nodes``: id, text, city_n, seen (sortable) and the block columns; texts differ within a block.
+    ``nodes``: id, text, city_n, seen (sortable) and the block columns, city_n among them; texts differ within
+    a block. ``best_earlier`` is the cheaper way to the best partner of each text.
     """
-    cut = nodes.select("id", "text", "seen", *dict.fromkeys(["city_n", *block]))
-    signed = _signatures(cut.withColumn("masks", sim.char_masks(F.col("text"))), percent, block)
-    later, earlier = signed.alias("x"), signed.drop("masks").alias("y")
-    x, y = lambda n: F.col(f"x.{n}"), lambda n: F.col(f"y.{n}")
-    on = (x("signature") == y("signature")) & (x("seen") > y("seen"))
-    for name in block:
-        on = on & (x(name) == y(name))
-    common = F.array_intersect(x("head"), y("head"))
-    first_shared = F.concat(F.get(common, F.lit(0)), F.lit("|"), F.get(common, F.lit(1)))
-    lcs = sim.lcs_length(x("text"), y("text"), x("masks"))
-    return (
-        later.join(earlier, on)
-        .filter(sim.length_gate(x("text"), y("text"), percent))
-        .filter((x("signature") == "*") | (x("signature") == first_shared))  # each pair once
-        .filter(sim.levenshtein_gate(x("text"), y("text"), percent))
-        .withColumn("lcs", lcs)
-        .filter(sim.at_least(F.col("lcs"), x("text"), y("text"), percent))
-        .select(
-            x("id").alias("id"), y("id").alias("parent"), y("seen").alias("parent_seen"),
-            (F.col("lcs") * 2 / (F.char_length(x("text")) + F.char_length(y("text")))).alias("similarity"),
-        )
-    )
+    later, earlier, alike, masks = _levels(nodes, percent, block)
+    others = later.join(masks, ["city_n", "mask"]).join(earlier.hint("merge"), [*block, "other"]).filter(F.col("seen") > F.col("y_seen"))
+    return _compared(alike, percent).unionByName(_compared(others, percent))
 
 
-def best_parent(pairs: DataFrame) -> DataFrame:
-    """Most similar earlier text; the earliest wins ties. Aggregates before the shuffle."""
+def best_earlier(
+    nodes: DataFrame, percent: int = THRESHOLD, block: Sequence[str] = ("city_n",)
+) -> DataFrame:
+    """(id, parent, similarity): most similar earlier text of each text; the earliest wins ties.
+
+    Texts of equal masks are compared first. Another mask is only looked at if its bound is not below what a
+    text has found, so a text with a near neighbour in its own street is not compared with other streets.
+    """
+    later, earlier, alike, masks = _levels(nodes, percent, block)
+    near = cut_lineage(_best(_compared(alike, percent)))
+    found = near.select("id", F.col("_b.s").alias("least"))
+    open_ = later.join(found, "id", "left").join(masks, ["city_n", "mask"]).filter(
+        F.col("bound") >= F.coalesce(-F.col("least"), F.lit(0.0)))
+    others = open_.join(earlier.hint("merge"), [*block, "other"]).filter(F.col("seen") > F.col("y_seen"))
+    return _chosen(near.unionByName(_best(_compared(others, percent))).groupBy("id").agg(F.min("_b").alias("_b")))
+
+
+def _best(pairs: DataFrame) -> DataFrame:
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "parent_seen", "parent"))
-    return pairs.groupBy("id").agg(best.alias("_b")).select(
-        "id", F.col("_b.parent").alias("parent"), (-F.col("_b.s")).alias("similarity")
-    )
+    return pairs.groupBy("id").agg(best.alias("_b"))
+
+
+def _chosen(best: DataFrame) -> DataFrame:
+    return best.select("id", F.col("_b.parent").alias("parent"), (-F.col("_b.s")).alias("similarity"))
 
 
 def roots(links: DataFrame) -> DataFrame:
@@ -203,7 +244,7 @@ def resolve(
         *node_key, F.col("_f.seen").alias("seen"), F.col("_f.canonical_id").alias("id")
     ).filter(F.col("text") != "")
     nodes = nodes.withColumn("is_stored", F.col("seen.order") == 0)
-    links = best_parent(similar_pairs(nodes, percent, block)).join(
+    links = best_earlier(cut_lineage(nodes), percent, block).join(
         nodes.filter(~F.col("is_stored")).select("id"), "id", "left_semi"
     )
     top = roots(links)

@@ -124,13 +124,18 @@ WHERE least(length(x.text), length(y.text)) * 200 >= (length(x.text) + length(y.
   AND levenshtein(x.text, y.text) <= (length(x.text) + length(y.text)) * 15 // 100
 """)
 def fuzzy_prefilter(spark, folder):
-    """Sound gates of the similarity join: length, then Levenshtein distance, within a city's streets."""
-    nodes = street_nodes(spark, folder)
-    x, y = nodes.alias("x"), nodes.alias("y")
+    """Sound gates of the similarity join: length, then Levenshtein distance, within a city's streets.
+
+    A Levenshtein distance of up to 15 per cent of both lengths leaves a similarity of 70 per cent in common tokens.
+    """
+    nodes = cut_lineage(street_nodes(spark, folder))
     a, b = c("x.text"), c("y.text")
-    pairs = x.join(y, (c("x.city_n") == c("y.city_n")) & (c("x.seen") > c("y.seen")) & sim.length_gate(a, b, 85))
-    return pairs.filter(sim.levenshtein_gate(a, b, 85)).select(
-        a.alias("id"), b.alias("parent"), F.levenshtein(a, b).cast("bigint").alias("distance")
+    close = rs.candidates(nodes, 70, ["seen"]).filter(
+        sim.length_gate(a, b, 85) & sim.levenshtein_gate(a, b, 85))
+    first = c("x.seen") > c("y.seen")
+    return close.select(
+        F.when(first, a).otherwise(b).alias("id"), F.when(first, b).otherwise(a).alias("parent"),
+        F.levenshtein(a, b).cast("bigint").alias("distance")
     )
 
 
@@ -143,7 +148,26 @@ FROM pairs WHERE lcs * 200 >= total * 85 GROUP BY id
 """)
 def fuzzy_match(spark, folder):
     """Best earlier street text at or above the threshold."""
-    best = rs.best_parent(rs.similar_pairs(cut_lineage(street_nodes(spark, folder))))
+    best = rs.best_earlier(cut_lineage(street_nodes(spark, folder)))
+    return best.select("id", "parent", F.round("similarity", 6).alias("similarity"))
+
+
+@query("fuzzy_addresses", f"""
+, nodes AS MATERIALIZED (SELECT city AS city_n, city || ' ' || street || ' ' || house_number AS text, min(observed_at) AS seen FROM obs GROUP BY ALL),
+  close AS MATERIALIZED (SELECT x.text AS id, y.text AS parent, y.seen AS pseen, length(x.text) + length(y.text) AS total
+    FROM nodes x JOIN nodes y ON x.city_n = y.city_n AND (x.seen, x.text) > (y.seen, y.text)
+    WHERE least(length(x.text), length(y.text)) * 200 >= (length(x.text) + length(y.text)) * 85
+      AND levenshtein(x.text, y.text) <= (length(x.text) + length(y.text)) * 15 // 100),
+  pairs AS (SELECT id, parent, pseen, total, {LCS_SQL} AS lcs FROM (SELECT *, {{'text': id}} AS x, {{'text': parent}} AS y FROM close))
+SELECT id, arg_min(parent, (-lcs * 2.0 / total, pseen, parent)) AS parent, round(max(lcs * 2.0::DOUBLE / total), 6) AS similarity
+FROM pairs WHERE lcs * 200 >= total * 85 GROUP BY id
+""")
+def fuzzy_addresses(spark, folder):
+    """Best earlier address with its house number, of all addresses of a city."""
+    text = F.concat_ws(" ", "city", "street", "house_number")
+    nodes = observations(spark, folder).groupBy("city", text.alias("text")).agg(F.min("observed_at").alias("first")).select(
+        c("text").alias("id"), "text", c("city").alias("city_n"), F.struct("first", c("text").alias("t")).alias("seen"))
+    best = rs.best_earlier(cut_lineage(nodes))
     return best.select("id", "parent", F.round("similarity", 6).alias("similarity"))
 
 

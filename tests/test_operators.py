@@ -267,6 +267,27 @@ def test_similar_pairs_equal_brute_force(spark, percent, size):
     assert set(got) == set(brute_pairs(nodes, percent))
 
 
+def test_best_earlier_equals_brute_force_with_short_and_long_texts(spark):
+    rng = random.Random(5)
+    words = ["גפן", "תמר", "רימון", "herzl", "h" * 70]
+    texts = {"1", "2", "a", "ab", "ח", "חו", "חול 1"}
+    while len(texts) < 120:
+        t = list("חולון " + " ".join(rng.choice(words) for _ in range(rng.randrange(1, 4))) + f" {rng.randrange(3000)}")
+        if rng.random() < 0.5:
+            t[rng.randrange(len(t))] = rng.choice("אב🙂7")
+        texts.add("".join(t))
+    nodes = [(f"n{i}", t, i) for i, t in enumerate(sorted(texts, key=lambda t: (len(t) % 7, t)))]
+    df = spark.createDataFrame([(i, t, "חולון", s) for i, t, s in nodes], "id string, text string, city_n string, seen bigint")
+    for percent in (85, 50):
+        want = {}
+        text = {i: t for i, t, _ in nodes}
+        for (i, j), lcs in brute_pairs(nodes, percent).items():
+            score = (-lcs * 2 / (len(text[i]) + len(text[j])), int(j[1:]), j)
+            want[i] = min(want.get(i, score), score)
+        got = {r.id: (-r.similarity, int(r.parent[1:]), r.parent) for r in rs.best_earlier(df, percent).collect()}
+        assert got == want
+
+
 def resolve_rows(spark, rows, **kw):
     names = ["source", "source_id", "city", "street", "house_number", "address", "rooms", "sqm", "price", "first_seen_at"]
     df = spark.createDataFrame([tuple(r.get(n, "") for n in names) for r in rows],
