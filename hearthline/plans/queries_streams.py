@@ -52,6 +52,16 @@ def stream_alert_once(spark, folder):
     return spark.read.parquet(ch.alert_once(hot, ch.run_folder(spark))).select("source", "source_id")
 
 
+@query("stream_first_alert", """
+SELECT source, source_id, min(event_id) FILTER (WHERE nth = 1) AS event_id, min(price) FILTER (WHERE nth = 1) AS price
+FROM (SELECT *, row_number() OVER (PARTITION BY source, source_id ORDER BY ts, event_id) AS nth FROM history WHERE price > 60) GROUP BY ALL
+""")
+def stream_first_alert(spark, folder):
+    """The alert of a key is its earliest row."""
+    hot = price_stream(spark, folder).filter(c("price") > 60)
+    return spark.read.parquet(ch.alert_once(hot, ch.run_folder(spark))).select("source", "source_id", "event_id", "price")
+
+
 CYCLE = ScanConfig(
     search=SearchConfig(rooms_min=1.5, rooms_max=5.0, price_min=300_000, price_max=2_500_000, min_sqm=40),
     scoring=ScoreConfig(), score_threshold=6.0,

@@ -137,6 +137,18 @@ def test_alerts_go_out_once(spark):
     assert spark.read.parquet(seeded).filter("sent").count() == 0
 
 
+def test_the_first_row_of_a_batch_is_sent(spark):
+    schema = "source string, source_id string, price double, event_id bigint, ts string"
+    late = [("a", "9", 3.0, 5, "2026-01-03"), ("a", "9", 1.0, 2, "2026-01-01"), ("a", "9", 2.0, 1, "2026-01-02")]
+    folder = f"{ch.run_folder(spark)}/in"
+    write = lambda rows, part: spark.createDataFrame(rows, schema).select(
+        "source", "source_id", F.col("ts").cast("timestamp").alias("ts"), "price", "event_id").coalesce(1).write.parquet(f"{folder}/part={part}")
+    write(late, 0)
+    write([("a", "9", 4.0, 0, "2025-01-01"), ("b", "1", 1.0, 7, "2026-01-01")], 1)
+    sent = ch.alert_once(read_feed(spark, folder), ch.run_folder(spark))
+    assert sorted((r.source, r.event_id) for r in spark.read.parquet(sent).collect()) == [("a", 2), ("b", 7)]
+
+
 # ---- plans ------------------------------------------------------------------
 
 def plan(df):
