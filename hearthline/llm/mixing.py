@@ -2,32 +2,39 @@
 
 A source of weight w gets block number i (from 1) released at slot floor((i - 1) / w) and due by slot
 ceil(i / w). Earliest deadline first over the released blocks gives one block a slot and keeps each
-source within less than one block of its weight at every slot. Weights are shares of a whole number of
-slots, so the schedule repeats: one period is worked out once, and each row finds its slot by
-arithmetic. When a source runs out, the others go on with their weights scaled up (a new phase).
+source within less than one block of its weight at every slot. When a source runs out, the others go on
+with their weights scaled up: releases and deadlines follow the slots T(v), the sum over sources of
+min(weight * v, blocks), at v = i / weight. Weights are taken as exact fractions; every source has its own.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from bisect import bisect_left
+from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hearthline.llm.files import free_name, saved
+from hearthline.llm.files import NewFile, free_name, open_store, saved, scratch
 
-#: Slots of a period. Weights are rounded to multiples of its inverse, at least one slot a source.
+#: Slots of a period of ``slots_of``.
 PERIOD = 1_000
 #: Rows of a block.
 BLOCK = 16
-#: Sources with a smaller share of the rows are mixed as one stream, so there are fewer streams than its inverse.
-LEAST_SHARE = 0.005
 #: Stream of the sources without a weight of their own.
 REST = "(rest)"
+#: Blocks, as a power of two, whose slots stand in one file.
+CHUNK = 20
 
 
 def slots_of(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole slots of a period for each source, by largest remainder; at least one each."""
+    """Whole slots of a period for each source, by largest remainder; at least one each. ``mix`` takes weights as they are."""
     total = sum(weights.values())
     if not weights or total <= 0 or min(weights.values()) <= 0 or len(weights) > period:
         raise ValueError("weights must be positive, and fewer than the slots of a period")
@@ -40,46 +47,50 @@ def slots_of(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return out
 
 
-def schedule(counts: dict[str, int]) -> list[tuple[str, int]]:
-    """(source, number of its block from 0) of each slot of a period with the given blocks per source.
+def whole(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    if not all(math.isfinite(w) and w > 0 for w in weights):
+        raise ValueError("weights must be positive and finite")
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*(x.denominator for x in exact))
+    return [int(x * scale) for x in exact]
 
-    Among equal deadlines the source that sorts first goes first.
+
+def slots(blocks: list[int], weights: list[int]) -> Iterator[tuple[int, int]]:
+    """(source, number of its block from 0) of each slot, for sources with the given blocks and whole weights.
+
+    Among equal deadlines the earlier source goes first. Memory is in proportion to the sources.
     """
-    period = sum(counts.values())
-    waiting: list[tuple[int, str, int]] = [(0, s, 0) for s in sorted(counts)]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(period):
+    shift = 2 * max(weights, default=1).bit_length() + 1  # tells any two different i / weight apart
+    ends, gone, live = [], [0], [sum(weights)]
+    for end, s in sorted(((n << shift) // weights[s], s) for s, n in enumerate(blocks)):
+        ends.append(end)
+        gone.append(gone[-1] + blocks[s])
+        live.append(live[-1] - weights[s])
+    waiting = [(0, s, 0) for s in range(len(blocks))]
+    ready: list[tuple[int, int, int, int]] = []
+    for slot in range(sum(blocks)):
         while waiting and waiting[0][0] <= slot:
             _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * period // counts[s]), s, i))
-        deadline, s, i = heapq.heappop(ready)
+            k = bisect_left(ends, ((i + 1) << shift) // weights[s])
+            full, part = divmod(live[k] * (i + 1), weights[s])
+            heapq.heappush(ready, (gone[k] + full + (part > 0), s, i, gone[k] + full))
+        deadline, s, i, release = heapq.heappop(ready)
         if slot >= deadline:
             raise AssertionError("a block missed its deadline")
-        out.append((s, i))
-        if i + 1 < counts[s]:
-            heapq.heappush(waiting, ((i + 1) * period // counts[s], s, i + 1))
-    return out
+        yield s, i
+        if i + 1 < blocks[s]:
+            heapq.heappush(waiting, (release, s, i + 1))
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[dict]:
-    """Phases of a mix, each until its first source is out of blocks.
+def schedule(counts: dict[str, int]) -> list[tuple[str, int]]:
+    """(source, number of its block from 0) of each slot of a period with the given blocks per source.
 
-    A phase has: first slot, slots of a period by source, blocks used up before by source, and the order of a
-    period. Every phase but the last ends with the period in which a source runs out; its slots beyond a
-    source's supply stay empty, so positions have gaps but keep their order.
+    Among equal deadlines the source that sorts first goes first.
     """
-    used, start, out = dict.fromkeys(blocks, 0), 0, []
-    while live := [s for s in blocks if used[s] < blocks[s]]:
-        counts = slots_of({s: weights[s] for s in live}, period)
-        periods = min(Fraction(blocks[s] - used[s], counts[s]) for s in live)
-        whole = max(1, -(-periods.numerator // periods.denominator))
-        out.append({"start": start, "counts": counts, "used": dict(used), "periods": whole, "order": schedule(counts)})
-        for s in live:
-            used[s] += whole * counts[s]
-        start += whole * period
-    return out
+    names = sorted(counts)
+    sizes = [counts[s] for s in names]
+    return [(names[s], i) for s, i in slots(sizes, sizes)]
 
 
 def numbered(rows: DataFrame, by: str, order: list[Column], into: str) -> DataFrame:
@@ -103,65 +114,125 @@ def numbered(rows: DataFrame, by: str, order: list[Column], into: str) -> DataFr
     ).drop(place, by2, slice_, least, before)
 
 
-def named_streams(docs: DataFrame, source: str, least_share: float = LEAST_SHARE) -> dict[str, int]:
-    """Row counts of the sources with at least ``least_share`` of all rows: fewer than its inverse."""
-    counts = docs.groupBy(F.col(source).cast("string").alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return {r.s: r.n for r in counts.filter((F.col("n") >= least_share * total) & F.col("s").isNotNull()).collect()}
-
-
 def tempered(counts: dict[str, int], power: float = 0.5) -> dict[str, float]:
     """Weights in proportion to a power of the sizes; below one it lifts small sources."""
     return {s: n ** power for s, n in counts.items()}
 
 
+def stream_weights(sizes: dict[str, int], weights: dict[str, float] | None) -> dict[str, float]:
+    """Weight of each stream; REST has its share of the rows unless given."""
+    if weights is None:
+        return tempered(sizes)
+    out = {s: weights[s] for s in sizes if s in weights}
+    if REST in sizes and REST not in weights:
+        named = sum(sizes[s] for s in out)
+        out[REST] = sizes[REST] * sum(out.values()) / named if named else 1.0
+    return out
+
+
+def placed_blocks(sizes: DataFrame, weights: dict[str, float] | None, block: int) -> tuple[DataFrame, list[str]]:
+    """(mix_stream, base) per stream of ``sizes`` (mix_stream, n), and the files with the slots of base + block number.
+
+    One task schedules all blocks in order of their slots, and passes them on as they come; the slots are then
+    brought into the order of the blocks and written in files of 2 ** CHUNK.
+    """
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            known.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        if not known:
+            return
+        share = stream_weights(known, weights)
+        blocks = [-(-n // block) for n in known.values()]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(list(known)), pa.array(np.cumsum([0, *blocks[:-1]])), pa.array(blocks, pa.int64()),
+            pa.array([share[s] for s in known], pa.float64()),
+        ], ["mix_stream", "base", "blocks", "weight"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, blocks, share = ([x for part in column for x in part] for column in zip(
+            *([c.to_pylist() for c in batch.columns] for batch in batches))) if (batches := list(batches)) else ([], [], [])
+        at, start = [], 0
+        for s, i in slots(blocks, whole(share)) if blocks else ():
+            at.append(base[s] + i)
+            if len(at) == 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.arange(start, start + len(at)))], ["at", "slot"])
+                at, start = [], start + len(at)
+        if at:
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.arange(start, start + len(at)))], ["at", "slot"])
+
+    folder = scratch(sizes.sparkSession, "slots")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, chunk = None, None
+        for batch in batches:
+            at, slot = (c.to_numpy() for c in batch.columns)
+            for own in np.unique(at >> CHUNK).tolist():
+                if own != chunk:
+                    if file:
+                        file.close()
+                        yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([file.uri])], ["chunk", "uri"])
+                    file, chunk = NewFile(folder, ".slots"), own
+                file.write(slot[at >> CHUNK == own].astype("<i8").tobytes())
+        if file:
+            file.close()
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([file.uri])], ["chunk", "uri"])
+
+    plans = saved(sizes.select("mix_stream", "n").repartition(1).sortWithinPartitions("mix_stream").mapInArrow(
+        plan, "mix_stream string, base long, blocks long, weight double"), "streams")
+    placed = plans.select("base", "blocks", "weight").repartition(1).sortWithinPartitions("base").mapInArrow(place, "at long, slot long")
+    files = placed.repartition(F.shiftright("at", CHUNK)).sortWithinPartitions("at").mapInArrow(write, "chunk long, uri string")
+    return plans.select("mix_stream", "base"), [r.uri for r in sorted(files.collect())]
+
+
+@lru_cache(maxsize=4)
+def slots_in(uri: str) -> np.ndarray:
+    store, path = open_store(uri)
+    with store.open_input_stream(path, compression=None) as stream:
+        return np.frombuffer(stream.read(), "<i8")
+
+
 def mix(
     docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", id_col: str = "doc_id",
-    block: int = BLOCK, period: int = PERIOD,
+    block: int = BLOCK,
 ) -> DataFrame:
     """``docs`` with mix_stream, mix_slot, mix_position (replacing columns of those names).
 
-    Every row gets a position; ascending positions are the mix. Rows of sources without a weight, null
-    sources included, form one stream "(rest)", weighted by its share of the rows unless given. Without
-    ``weights`` the sources of at least half a per cent of the rows are weighted by the square root of
-    their sizes. In a source, rows are taken in order of a hash of their id, null ids too; repeated rows
-    are rows of their own. Positions are unique but not gapless: slots of a source that has just run
-    out stay empty. An empty table gives an empty result; rows are never dropped or repeated.
+    Every row gets a position; ascending positions are the mix. Without ``weights`` every source, however
+    small, is a stream weighted by the square root of its size; null sources form the stream "(rest)". With
+    ``weights`` the rows of sources without one, null sources included, form "(rest)", weighted by its share
+    of the rows unless given. In a source, rows are taken in order of a hash of their id, null ids too;
+    repeated rows are rows of their own. Positions are unique but not gapless: the last block of a source
+    may not be full. An empty table gives an empty result; rows are never dropped or repeated.
     """
     plain = docs.drop(*[c for c in docs.columns if c.lower() in ("mix_stream", "mix_slot", "mix_position")])
-    if weights is None:
-        weights = tempered(named_streams(plain, source))
-    known = [s for s in sorted(weights) if s != REST]
     name = F.col(source).cast("string")
-    stream = F.when(name.isin(known), name).otherwise(REST) if known else F.lit(REST)
-    number = free_name(plain, "number")
+    if weights is None:
+        stream = F.coalesce(name, F.lit(REST))
+    else:
+        whole(list(weights.values()))  # raises on weights that cannot be followed
+        known = [s for s in sorted(weights) if s != REST]
+        stream = F.when(name.isin(known), name).otherwise(REST) if known else F.lit(REST)
+    number, base = free_name(plain, "number"), free_name(plain, "base")
     order = [F.xxhash64(id_col), F.col(id_col)]
     rows = numbered(plain.withColumn("mix_stream", stream), "mix_stream", order, number)
-    sizes = {r[0]: r[1] for r in rows.groupBy("mix_stream").agg(F.count(F.lit(1))).collect()}
-    if sizes and REST in sizes and REST not in weights:
-        named = sum(n for s, n in sizes.items() if s != REST)
-        scale = sum(weights[s] for s in sizes if s != REST)
-        weights = weights | {REST: sizes[REST] * scale / named if named else 1.0}
-    blocks = {s: -(-n // block) for s, n in sizes.items()}
-    phase_rows, slot_rows = [], []
-    for k, phase in enumerate(phases(blocks, weights, period)):
-        for s, c in phase["counts"].items():
-            phase_rows.append((s, k, phase["used"][s], phase["used"][s] + phase["periods"] * c, c, phase["start"]))
-        slot_rows += [(s, k, i, slot) for slot, (s, i) in enumerate(phase["order"])]
-    spark = docs.sparkSession
-    ph = spark.createDataFrame(phase_rows, "ps string, pk int, pfrom long, pto long, pcount int, pstart long")
-    sl = spark.createDataFrame(slot_rows, "ss string, sk int, si int, sslot int")
-    boxed = rows.select(
-        F.struct(*[F.col(c) for c in plain.columns]).alias("row"), "mix_stream", F.col(number).alias("number"),
-        F.floor(F.col(number) / block).alias("nblock"),
-    )
-    placed = boxed.join(F.broadcast(ph), F.expr("mix_stream = ps AND nblock >= pfrom AND nblock < pto")).join(
-        F.broadcast(sl), F.expr("ps = ss AND pk = sk AND cast((nblock - pfrom) % pcount AS int) = si")
-    )
-    slot = F.expr(f"pstart + (nblock - pfrom) DIV pcount * {period} + sslot")
-    return placed.select(
-        "row.*", "mix_stream", slot.alias("mix_slot"),
-        (slot * block + F.col("number") % block).alias("mix_position"),
+    streams, files = placed_blocks(rows.groupBy("mix_stream").agg(F.count(F.lit(1)).alias("n")), weights, block)
+
+    @F.pandas_udf("long")
+    def slot_at(at: pd.Series) -> pd.Series:
+        places = at.to_numpy()
+        out = np.empty(len(places), np.int64)
+        for chunk in np.unique(places >> CHUNK).tolist():
+            own = places >> CHUNK == chunk
+            out[own] = slots_in(files[chunk])[places[own] & ((1 << CHUNK) - 1)]
+        return pd.Series(out)
+
+    starts = streams.select(F.col("mix_stream").alias(free_name(rows, "stream2")), F.col("base").alias(base))
+    slotted = rows.join(F.broadcast(starts), F.col("mix_stream") == F.col(starts.columns[0])).withColumn(
+        "mix_slot", slot_at(F.col(base) + F.floor(F.col(number) / block)))
+    return slotted.select(
+        *[F.col(c) for c in plain.columns], "mix_stream", "mix_slot",
+        (F.col("mix_slot") * block + F.col(number) % block).alias("mix_position"),
     )
 
 

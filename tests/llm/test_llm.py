@@ -7,7 +7,8 @@ import re
 import sys
 import unicodedata
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -203,6 +204,35 @@ def test_mix_keeps_every_row_and_the_weights(docs, hard, empty):
     assert ordered.columns == docs.columns and ordered.count() == docs.count()
 
 
+def fluid(blocks, weights, slot):
+    """Blocks each source is due by its weight after ``slot`` slots, weights scaled up when sources run out."""
+    due, left = dict.fromkeys(blocks, Fraction(0)), Fraction(slot)
+    while left and (live := [s for s in blocks if due[s] < blocks[s]]):
+        total = sum(Fraction(weights[s]) for s in live)
+        step = min(left, *((blocks[s] - due[s]) * total / Fraction(weights[s]) for s in live))
+        for s in live:
+            due[s] += step * Fraction(weights[s]) / total
+        left -= step
+    return due
+
+
+def test_every_source_has_its_own_weight(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 6)  # the driver's; more than one file of slots
+    sizes = {f"s{k:04d}": 1 + k % 5 for k in range(1_200)} | {"big": 900, None: 40}
+    rows = [(s, k * 10_000 + i) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
+    frame = spark.createDataFrame(rows, "source string, doc_id long")
+    for weights in (None, {s: 1.0 + (s == "big") for s in sizes if s}):
+        mixed = sorted(mixing.mix(frame, weights, block=1).collect(), key=lambda r: r.mix_position)
+        assert sorted((r.source or "", r.doc_id) for r in mixed) == sorted((s or "", d) for s, d in rows)
+        assert [r.mix_position for r in mixed] == list(range(len(rows)))
+        assert all(r.mix_stream == (r.source or mixing.REST) for r in mixed)
+        blocks = {s or mixing.REST: n for s, n in sizes.items()}
+        share = mixing.stream_weights(blocks, weights)
+        for t in (1, 50, 333, 1_500, 3_000, len(rows)):
+            due, given = fluid(blocks, share, t), Counter(r.mix_stream for r in mixed[:t])
+            assert all(abs(given[s] - due[s]) < 1 for s in blocks)
+
+
 def test_templates():
     scanner = licenses.Scanner({
         "t": "must <<opt>>may <<opt>>even<</opt>><</opt>> hold <<var:2>> end", "u": "a a b",
