@@ -216,6 +216,22 @@ def fluid(blocks, weights, slot):
     return due
 
 
+def test_slots_follow_the_target_weights():
+    rng = random.Random(5)
+    cases = [({0: 1_200, **dict.fromkeys(range(1, 20), 130)}, {0: 1 / 3, **dict.fromkeys(range(1, 20), 2 / 57)})]
+    cases += [(b := {s: rng.randrange(1, 60) for s in range(12)}, {s: n ** 0.5 for s, n in b.items()}) for _ in range(3)]
+    cases += [({s: rng.randrange(1, 9) for s in range(9)}, {s: rng.random() for s in range(9)}) for _ in range(3)]
+    for blocks, weights in cases:
+        given = dict.fromkeys(blocks, 0)
+        for t, (s, i) in enumerate(mixing.slots(list(blocks.values()), mixing.whole(list(weights.values()))), 1):
+            assert given[s] == i
+            given[s] += 1
+            if t % 7 == 0 or t < 300:
+                due = fluid(blocks, weights, t)
+                assert all(abs(given[x] - due[x]) < 1 for x in blocks)
+        assert given == blocks
+
+
 def test_every_source_has_its_own_weight(spark, monkeypatch):
     monkeypatch.setattr(mixing, "CHUNK", 6)  # the driver's; more than one file of slots
     sizes = {f"s{k:04d}": 1 + k % 5 for k in range(1_200)} | {"big": 900, None: 40}
