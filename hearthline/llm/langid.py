@@ -1,14 +1,17 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Texts are folded to lower-case letters and single blanks. A context and its next character pack into 64
-bits, 16 a character. Each language has a model of order four in sorted arrays of mixed hash keys; a text
-gets the language of the lowest cross-entropy per character. Cross-entropies of labelled texts that the
+bits, 16 a character. Each language has a model of order four, made by joins from all its n-grams: sorted
+arrays of mixed hash keys in files by range of the hash, of which a task holds a bounded part at a time. A
+text gets the language of the lowest cross-entropy per character. Cross-entropies of labelled texts that the
 models have not seen calibrate, by language and length, from which value on a text is rejected.
 """
 
 from __future__ import annotations
 
 import io
+import math
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import cache
 
@@ -17,16 +20,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthline.llm.files import free_name, remove, saved, scratch, save
+from hearthline.llm.files import NewFile, free_name, open_store, saved, scratch
 
 ORDER = 4
 #: Folds of the training rows whose entropies calibrate the rejection; the others give the counts.
 FOLDS, CALIBRATION_FOLD = 4, 3
 #: Absolute discount.
 DISCOUNT = 0.75
-#: A model keeps the n-grams that make up at least this share of its language's, hence at most its
-#: inverse of each order: the proven size of a model, whatever the corpus.
-LEAST_SHARE = 2e-6
+#: N-grams of one order and language in a range of hashes, about; a range is read at once.
+PART = 1 << 17
+#: Bytes of ranges that a task's process keeps.
+KEPT = 192 << 20
 #: A text is rejected above the mean entropy of its language and length by more standard deviations.
 DEVIATIONS = 10.0
 #: Least standard deviation, bits a character.
@@ -139,19 +143,24 @@ class Model:
         found, at = find(self.keys[n - 1], mixed(grams_ & np.uint64((1 << 16 * (n - 1)) - 1)))
         return np.where(found, self.probs[n - 1][at], self.floor)
 
+    def lookup(self, name: str, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hash keys of order n are stored under ``name``, and their values."""
+        found, at = find(getattr(self, name)[n], keys)
+        return found, (self.probs if name == "keys" else self.gammas)[n][at]
+
     def log_probs(self, packed: np.ndarray) -> np.ndarray:
         """log2 of the interpolated probability of each n-gram's last character."""
         out = np.ones(len(packed))
         rest = np.arange(len(packed))
         for n in range(ORDER, 0, -1):
             own = packed[rest] & np.uint64((1 << 16 * n) - 1) if n < ORDER else packed[rest]
-            found, at = find(self.keys[n], mixed(own))
-            out[rest[found]] *= self.probs[n][at[found]]
+            found, prob = self.lookup("keys", n, mixed(own))
+            out[rest[found]] *= prob[found]
             rest, own = rest[~found], own[~found]
             if not len(rest):
                 break
-            known, at = find(self.contexts[n], mixed(own >> np.uint64(16)))
-            out[rest] *= np.where(known, self.gammas[n][at], 1.0)
+            known, gamma = self.lookup("contexts", n, mixed(own >> np.uint64(16)))
+            out[rest] *= np.where(known, gamma, 1.0)
         out[rest] *= self.floor
         return np.log2(out)
 
@@ -174,6 +183,47 @@ def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return table[at] == keys, at
 
 
+class StoredModel(Model):
+    """A model in files: ``places[name, n, part]`` is (uri, offset, entries) of a range of the top ``bits`` of the hash."""
+
+    def __init__(self, places: dict[tuple[str, int, int], tuple[str, int, int]], bits: int):
+        self.places, self.bits, self.floor = places, bits, 1.0 / (1 << 16)
+
+    def lookup(self, name: str, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, values = np.zeros(len(keys), bool), np.zeros(len(keys))
+        part = part_of(keys, self.bits)
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[order])) + 1
+        for own in np.split(order, cuts) if len(keys) else ():
+            place = self.places.get((name, n, int(part[own[0]])))
+            if place:
+                table, stored = entries(*place)
+                found[own], at = find(table, keys[own])
+                values[own] = stored[at]
+        return found, values
+
+
+def part_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+_kept: OrderedDict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = OrderedDict()
+
+
+def entries(uri: str, offset: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hash keys and values at a place of a file; the last ones read are kept up to KEPT bytes."""
+    if (uri, offset) in _kept:
+        _kept.move_to_end((uri, offset))
+        return _kept[uri, offset]
+    store, path = open_store(uri)
+    with store.open_input_file(path) as file:
+        data = file.read_at(16 * n, offset)
+    _kept[uri, offset] = out = np.frombuffer(data, "<u8", n), np.frombuffer(data, "<f8", n, 8 * n)
+    while len(_kept) > 1 and sum(16 * len(k) for k, _ in _kept.values()) > KEPT:
+        _kept.popitem(last=False)
+    return out
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list] = {}
     size = 0
@@ -221,25 +271,97 @@ def fold_of(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
 
 
-def train(rows: DataFrame) -> DataFrame:
-    """(lang, model) from rows (lang, text): counts of all n-grams of all rows, then one model a language."""
+def tables(counted: DataFrame) -> DataFrame:
+    """(lang, name, n, key, value) of the models of all languages from (lang, gram, n) of the highest order.
+
+    Every n-gram counts in every order: each lower order has as counts how many characters come before.
+    """
+    level = counted.select("lang", "gram", F.col("n").alias("c"))
+    levels = {ORDER: level}
+    for n in range(ORDER - 1, 0, -1):
+        level = saved(level.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 16 * n) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("c")), "level")
+        levels[n] = level
+    out, lower = [], None
+    for n in range(1, ORDER + 1):
+        of = levels[n].withColumn("context", F.shiftrightunsigned("gram", 16) if n > 1 else F.lit(0).cast("long"))
+        contexts = saved(of.groupBy("lang", "context").agg(F.sum("c").alias("total"), (DISCOUNT * F.count(F.lit(1)) / F.sum("c")).alias("gamma")), "contexts")
+        rows = of.join(contexts, ["lang", "context"])
+        if n == 1:
+            below = F.lit(1.0 / (1 << 16))
+        else:
+            rows = rows.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 16 * (n - 1)) - 1))).join(
+                lower.select("lang", F.col("gram").alias("suffix"), F.col("prob").alias("below")), ["lang", "suffix"])
+            below = F.col("below")
+        lower = saved(rows.select("lang", "gram", ((F.col("c") - DISCOUNT) / F.col("total") + F.col("gamma") * below).alias("prob")), "probs")
+        out += [lower.select("lang", F.lit("keys").alias("name"), F.lit(n).alias("n"), F.col("gram").alias("key"), F.col("prob").alias("value")),
+                contexts.select("lang", F.lit("contexts").alias("name"), F.lit(n).alias("n"), F.col("context").alias("key"), F.col("gamma").alias("value"))]
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionAll(more)
+    return whole
+
+
+def train(rows: DataFrame) -> tuple[list[tuple[str, dict]], int]:
+    """Places of the models by language, and bits of their hash ranges, from rows (lang, text): counts of all n-grams of all rows."""
     counted = saved(
         rows.select("lang", "text").mapInArrow(_count_batches, "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams",
     )
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = counted.join(F.broadcast(totals), "lang").filter(F.col("n") >= LEAST_SHARE * F.col("total")).select("lang", "gram", "n")
-
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(group.gram.to_numpy().view(np.uint64))
-        model = Model(group.gram.to_numpy().view(np.uint64)[order], group.n.to_numpy()[order])
-        return pd.DataFrame({"lang": [group.lang.iloc[0]], "model": [model.dump()]})
-
-    return kept.groupBy("lang").applyInPandas(build, "lang string, model binary")
+    most = counted.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
+    bits = max(0, math.ceil(math.log2(most / PART)))
+    folder = scratch(rows.sparkSession, "language-models")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, name, n, key, value = batch.columns
+            keys = mixed(key.to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [lang, name, n, pa.array(part_of(keys, bits)), pa.array(keys.view(np.int64)), value], ["lang", "name", "n", "part", "key", "value"])
+
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["lang", "name", "n", "part"]
+        file, held, of = None, [], None
+
+        def put() -> pa.RecordBatch:
+            nonlocal file
+            file = file or NewFile(folder, ".model")
+            keys = np.concatenate([k for k, _ in held]).view(np.uint64)
+            order = np.argsort(keys)
+            at = file.write(keys[order].astype("<u8").tobytes())
+            file.write(np.concatenate([v for _, v in held])[order].astype("<f8").tobytes())
+            return pa.RecordBatch.from_pylist([dict(zip(names, of), uri=file.uri, offset=at, entries=len(keys))], schema=pa.schema([
+                ("lang", pa.string()), ("name", pa.string()), ("n", pa.int32()), ("part", pa.int64()), ("uri", pa.string()),
+                ("offset", pa.int64()), ("entries", pa.int64())]))
+
+        done = []
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).select(names).to_pandas()
+            starts = np.flatnonzero((table != table.shift()).any(axis=1)).tolist()
+            for start, end in zip(starts, [*starts[1:], len(table)]):
+                own = tuple(table.iloc[start])
+                if held and own != of:
+                    done.append(put())
+                    held = []
+                of = own
+                held.append((batch.column(4).to_numpy()[start:end], batch.column(5).to_numpy()[start:end]))
+        if held:
+            done.append(put())
+        if file:
+            file.close()
+        yield from done
+
+    parts = tables(counted).mapInArrow(hashed, "lang string, name string, n int, part long, key long, value double").repartition(
+        "lang", "name", "n", "part").sortWithinPartitions("lang", "name", "n", "part").mapInArrow(
+        stored, "lang string, name string, n int, part long, uri string, offset long, entries long")
+    places: dict[str, dict] = {}
+    for r in parts.collect():
+        places.setdefault(r.lang, {})[r.name, r.n, r.part] = r.uri, r.offset, r.entries
+    return sorted(places.items()), bits
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    models = [(lang, Model.load(data)) for lang, data in shared.value]
+    places, bits_ = shared.value
+    models = [(lang, StoredModel(own, bits_)) for lang, own in places]
     for batch in batches:
         n = batch.num_rows
         bits = np.zeros((n, len(models)))
@@ -299,10 +421,7 @@ def identify(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text: str
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), fold_.alias("fold")
     )
-    folder = scratch(spark, "language-models")
-    models = save(train(labelled.filter(F.col("fold").isin(0, 1))), folder)
-    shared = spark.sparkContext.broadcast(sorted((r.lang, bytes(r.model)) for r in models.collect()))
-    remove(spark, folder)
+    shared = spark.sparkContext.broadcast(train(labelled.filter(F.col("fold").isin(0, 1))))
 
     def scored(rows: DataFrame, text_: str, others: list[str]) -> DataFrame:
         kept = rows.select(*others)

@@ -397,6 +397,24 @@ def test_kneser_ney_sums_to_one():
     assert (again.log_probs(packed) == model.log_probs(packed)).all()
 
 
+def test_stored_models_keep_every_gram(spark, monkeypatch):
+    texts = {"en": "the cat and the hat " * 60_000 + "quiz q", "xx": "ab ba 𐐀x 你好 abba", "yy": "z"}
+    monkeypatch.setattr(langid, "PART", 8)  # the driver's; many ranges of hashes
+    monkeypatch.setattr(langid, "KEPT", 200)
+    places, bits = langid.train(spark.createDataFrame([(k, v) for k, v in texts.items()], "lang string, text string"))
+    assert [k for k, _ in places] == sorted(texts) and bits > 0
+    for lang, own in places:
+        grams = np.concatenate(list(langid.grams(texts[lang])))
+        packed, counts = np.unique(grams, return_counts=True)
+        model, stored = langid.Model(packed, counts), langid.StoredModel(own, bits)
+        for n in range(1, 5):
+            for name, keys in (("keys", model.keys), ("contexts", model.contexts)):
+                assert sum(e for (a, b, _), (_, _, e) in own.items() if (a, b) == (name, n)) == len(keys[n])
+        odd = np.random.default_rng(1).integers(0, 1 << 63, 50).astype(np.uint64)
+        probe = np.concatenate([packed, odd, packed ^ np.uint64(1), *langid.grams("quiz the zebra")])
+        assert np.allclose(stored.log_probs(probe), model.log_probs(probe), rtol=1e-9)
+
+
 def test_grams_do_not_depend_on_pieces(monkeypatch):
     texts = ["", "12 !", "Ab c", " a  b", "ab, cd? ÉÈ 😀 x𐐀y ", "a" * 9]
     whole = [np.concatenate([*langid.grams(t), np.zeros(0, np.uint64)]) for t in texts]
