@@ -32,9 +32,12 @@ PART = 1 << 17
 #: Bytes of ranges that a task's process keeps.
 KEPT = 192 << 20
 #: A text is rejected above the mean entropy of its language and length by more standard deviations.
-DEVIATIONS = 10.0
-#: Least standard deviation, bits a character.
-LEAST_SPREAD = 0.5
+DEVIATIONS = 8.0
+#: Least standard deviation, bits a character: of documents of any length, and of one character, which falls
+#: with the root of the length.
+LEAST_SPREAD, CHARACTER_SPREAD = 0.2, 2.0
+#: Calibration rows from which a language at a length, or a language, has a limit of its own.
+LEAST_ROWS = 30
 #: Characters folded and looked up at once; longer texts go through in pieces.
 PIECE = 1 << 20
 #: Distinct n-grams a task counts before it passes them on.
@@ -412,7 +415,9 @@ def identify(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text: str
     One pass counts, one scores the calibration rows, one scores all rows; nothing wide is written. Models learn from text and non-null lang of the rows whose id's crc32 modulo 4 is 0 or 1, their
     rejection from those where it is 3; rows where it is 2 are held out, rows with a null id neither teach
     nor are held out. Texts that are null or without a letter are "und" with score 0 and are rejected; so is
-    every text if nothing can be learned. All others get a learned language. The score falls from 1 as the
+    every text if nothing can be learned. Limits are a language's at a length, its own, or with few rows to calibrate
+    on the greater of its own and that of all languages; without any such row only texts without a letter are
+    rejected. All others get a learned language. The score falls from 1 as the
     best language's lead in bits a character shrinks. Whole texts are scored, whatever their length;
     repeated rows are scored alike. Equal entropies go to the language that sorts first.
     """
@@ -432,15 +437,24 @@ def identify(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text: str
     known = saved(scored(labelled.filter(F.col("fold") == CALIBRATION_FOLD), "text", ["lang"]).filter("lang = lang_pred").select(
         F.col("lang").alias("c_lang"), length_class(F.col("n_grams")).alias("c_class"), "entropy"
     ), "calibration")
-    limit = (F.avg("entropy") + DEVIATIONS * F.greatest(F.stddev_pop("entropy"), F.lit(LEAST_SPREAD))).alias("c_limit")
-    of_class = known.groupBy("c_lang", "c_class").agg(limit)
-    of_lang = known.groupBy(F.col("c_lang").alias("l_lang")).agg(limit.alias("l_limit"))
+    def spread(prefix: str) -> list[Column]:
+        return [F.avg("entropy").alias(f"{prefix}_mean"), F.stddev_pop("entropy").alias(f"{prefix}_sd"), F.count(F.lit(1)).alias(f"{prefix}_n")]
+
+    of_class = known.groupBy("c_lang", "c_class").agg(*spread("c")).filter(F.col("c_n") >= LEAST_ROWS)
+    of_lang = known.groupBy(F.col("c_lang").alias("l_lang")).agg(*spread("l"))
+    of_all = known.agg(*spread("a"))
     is_fold = free_name(docs.select(*keep), "fold")
     out = scored(docs.withColumn(is_fold, fold_.cast("int")), text, [*keep, is_fold]).join(
         F.broadcast(of_class),
         (F.col("lang_pred") == F.col("c_lang")) & (length_class(F.col("n_grams")) == F.col("c_class")), "left",
-    ).join(F.broadcast(of_lang), F.col("lang_pred") == F.col("l_lang"), "left")
-    above = F.coalesce(F.col("entropy") > F.greatest("c_limit", "l_limit"), F.lit(False))
+    ).join(F.broadcast(of_lang), F.col("lang_pred") == F.col("l_lang"), "left").crossJoin(F.broadcast(of_all))
+    least = F.greatest(F.lit(LEAST_SPREAD), CHARACTER_SPREAD / F.sqrt(F.greatest("n_grams", F.lit(1))))
+
+    def limit(prefix: str) -> Column:
+        return F.col(f"{prefix}_mean") + DEVIATIONS * F.greatest(F.col(f"{prefix}_sd"), least)
+
+    above = F.coalesce(F.col("entropy") > F.when(F.col("c_n").isNotNull(), limit("c")).when(
+        F.col("l_n") >= LEAST_ROWS, limit("l")).otherwise(F.greatest(limit("l"), limit("a"))), F.lit(False))
     return out.select(
         *keep, F.coalesce(F.col(is_fold) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "entropy",
         "n_grams", ((F.col("n_grams") == 0) | above).alias("rejected"),

@@ -439,6 +439,35 @@ def test_language_of_held_out_rows(spark, hard, empty):
     assert langid.keep_known(hard).columns == hard.columns
 
 
+UNLEARNED = {
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on "
+          "toimittava toisiaan kohtaan veljeyden hengessä. Kylmä tuuli puhalsi järven yli koko pitkän talven ajan.",
+    "id": "Semua orang dilahirkan merdeka dan mempunyai martabat dan hak yang sama. Mereka dikaruniai akal dan hati nurani dan hendaknya "
+          "bergaul satu sama lain dalam semangat persaudaraan. Kami pergi ke pasar pagi untuk membeli sayur.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni "
+          "postępować wobec innych w duchu braterstwa. Zimny wiatr wiał nad jeziorem przez całą zimę.",
+    "random": "".join(random.Random(8).choices("abcdefghijklmnopqrstuvwxyz ", k=400)),
+    "keys": "asdf jklö qwer uiop zxcv bnm, dfgh tzui wert xcvb yxcv hjkl poiu lkjh mnbv fdsa rewq vcxy gfds trew " * 3,
+}
+
+
+def test_unlearned_languages_are_rejected(spark):
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    planted = spark.createDataFrame([(-k - 1, t, None) for k, t in enumerate(UNLEARNED.values())], known.schema)
+    both = langid.identify(known.unionByName(planted), ["doc_id", "text", "lang"]).collect()
+    assert all(r.rejected for r in both if r.doc_id < 0), [(r.text[:20], r.entropy) for r in both if r.doc_id < 0 and not r.rejected]
+    assert sum(r.rejected for r in both if r.doc_id >= 0) <= 0.002 * len(both)
+
+
+def test_language_without_calibration_rows_has_a_limit(spark):
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").filter(
+        (F.col("lang") != "es") | (langid.fold_of("doc_id") != 3))
+    planted = spark.createDataFrame([(-1, UNLEARNED["fi"], None)], known.schema)
+    rows = langid.identify(known.unionByName(planted), ["doc_id", "lang"]).collect()
+    assert all(r.rejected for r in rows if r.doc_id < 0)
+    assert sum(r.rejected for r in rows if r.lang == "es") <= 0.02 * sum(r.lang == "es" for r in rows)
+
+
 PII = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
