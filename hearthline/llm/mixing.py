@@ -182,7 +182,8 @@ def placed_blocks(sizes: DataFrame, weights: dict[str, float] | None, block: int
         plan, "mix_stream string, base long, blocks long, weight double"), "streams")
     placed = plans.select("base", "blocks", "weight").repartition(1).sortWithinPartitions("base").mapInArrow(place, "at long, slot long")
     files = placed.repartition(F.shiftright("at", CHUNK)).sortWithinPartitions("at").mapInArrow(write, "chunk long, uri string")
-    return plans.select("mix_stream", "base"), [r.uri for r in sorted(files.collect())]
+    # grouped: a table without file metadata of its own, which would make that of the rows ambiguous
+    return plans.groupBy("mix_stream").agg(F.min("base").alias("base")), [r.uri for r in sorted(files.collect())]
 
 
 @lru_cache(maxsize=4)
