@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hearthline.llm import (
-    decontaminate, langid, licenses, mixing, pii, quality, sharding, simhash, token_files, warc,
+    decontaminate, langid, licenses, mixing, pieces, pii, quality, resampling, sharding, simhash, spelling, token_files, warc,
 )
 
 #: Shards that documents are placed on.
@@ -81,6 +81,28 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(table(spark, folder, "documents"), ["doc_id"])
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents, in which every 97th run is spelt wrong, with their neighbours and forms."""
+    return spelling.variants(spelling.vocabulary(table(spark, folder, "documents"), every=97))
+
+
+def op12_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of every document, their ends in its bytes, and the text decoded from them."""
+    import public_tokenizers
+
+    found = pieces.encode(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), F.crc32(F.array_join("ends", " ")).alias("ends_crc32"),
+    )
+
+
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Importance weight of every document towards the benchmark, and the ranks of those drawn."""
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
     import corpus_pipeline
@@ -91,7 +113,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash, op2_warc, op3_mixing, op4_licenses, op5_token_files, op6_decontamination, op7_quality, op8_sharding,
-        op9_language, op10_personal_data, pipeline,
+        op9_language, op10_personal_data, op11_spelling, op12_pieces, op13_resampling, pipeline,
     )
 }
 
