@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hearthline.llm.files import saved
 
-RUN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\xbf])+")
+RUN = re.compile("[a-z\u00c0-\u00ff]+")
 #: Code points of a word, and occurrences, at least.
 LEAST_LENGTH = 5
 LEAST_COUNT = 3
@@ -42,20 +42,6 @@ PRIME = (1 << 61) - 1
 BASE = 1_318_712_069_438_221_587
 SALT = 907_193_517_006_142_741
 
-EDGES = "node long, free int, label long, child long"
-STATES = "id long, node long, free int, label long, rest array<long>"
-ENDS = "node long, target long"
-
-
-def damaged(run: bytes, doc: bytes, every: int) -> bytes:
-    """The run, less one code point if ``every`` divides the checksum of ``doc`` and the run."""
-    h = zlib.crc32(run, zlib.crc32(doc))
-    if h % every:
-        return run
-    points = run.decode()
-    at = h % len(points)
-    return (points[:at] + points[at + 1:]).encode()
-
 
 def _count(least: int, every: int | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +49,7 @@ def _count(least: int, every: int | None) -> Callable:
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([
-                pa.array([w.decode() for w in held], pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
+                pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -71,10 +57,13 @@ def _count(least: int, every: int | None) -> Callable:
                 if not data:
                     continue
                 start = zlib.crc32(f"{'' if doc is None else doc}:".encode())
-                for w, n in Counter(RUN.findall(data.lower())).items():
-                    if every and zlib.crc32(w, start) % every == 0:
-                        w = damaged(w, f"{'' if doc is None else doc}:".encode(), every)
-                    if len(w) >= least and (len(w) >= 2 * least or w.isascii() or len(w.decode()) >= least):
+                for w, n in Counter(RUN.findall(data.lower().decode("utf-8", "replace"))).items():
+                    if every:
+                        h = zlib.crc32(w.encode(), start)
+                        if h % every == 0:
+                            at = h % len(w)
+                            w = w[:at] + w[at + 1:]
+                    if len(w) >= least:
                         held[w] += n
                 if len(held) > HELD:
                     yield out()
@@ -98,64 +87,91 @@ def vocabulary(
     return counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
 
 
+#: Powers of the base by the power of two that a label's length is.
+POWERS = [BASE]
+while len(POWERS) < 40:
+    POWERS.append(POWERS[-1] * POWERS[-1] % PRIME)
+
+
 class Path:
-    """Nodes and labels along a word, in one direction."""
+    """Nodes and labels along the second half of a word, in one direction."""
 
     def __init__(self, letters: str, backward: bool):
         self.letters, self.size, self.side = letters, len(letters), int(backward)
-        self.prefix = [0]
-        for c in letters:
-            self.prefix.append((self.prefix[-1] * BASE + ord(c) + 1) % PRIME)
-        #: From each position: the labels that read the rest.
-        self.labels: list[tuple[int, ...]] = [()] * (self.size + 1)
-        self.stops = [self.size] * (self.size + 1)
-        for at in range(self.size - 1, -1, -1):
-            step = 1 << ((self.size - at).bit_length() - 1)
-            label = (self.prefix[at + step] - self.prefix[at] * pow(BASE, step, PRIME)) % PRIME
-            self.labels[at] = (label, *self.labels[at + step])
-            self.stops[at] = at + step
-
-    def node(self, at: int, size: int | None = None) -> int:
-        """Node of the prefix before ``at`` in the trie of words of ``size`` code points, by default of this one's."""
-        return (self.prefix[at] + (2 * (size or self.size) + self.side) * SALT) % PRIME
-
-    def first(self) -> int:
-        """Least position of an edit that this direction looks for: the halves meet, but share no position."""
-        return self.size - self.size // 2 if self.side else self.size // 2
-
-
-def edges_of(path: Path) -> Iterator[tuple]:
-    """Edges that a word offers: plain ones past the first half, and those with a free code point."""
-    for at in range(path.size // 2, path.size):
-        yield path.node(at), None, path.labels[at][0], path.node(path.stops[at])
-    for at in range(path.first(), path.size):
-        after = at + 1
-        yield path.node(at), ord(path.letters[at]), path.labels[after][0] if path.labels[after] else 0, path.node(path.stops[after])
-
-
-def states_of(word: int, path: Path) -> Iterator[tuple]:
-    """States of a word that have spent their edit but not yet read on.
-
-    ``free`` is the code point that another, larger one has to replace, and null where it was left out. ``label`` is what
-    comes next (0: nothing does).
-    """
-    letters, size = path.letters, path.size
-    for at in range(path.first(), size):
+        self.points = [ord(c) for c in letters]
+        self.prefix = prefix = [0]
+        now = 0
+        for c in self.points:
+            now = (now * BASE + c + 1) % PRIME
+            prefix.append(now)
+        size = self.size
+        #: From each position of the half: the labels that read the rest, and where the first of them ends.
+        self.labels: list[tuple[int, ...]] = [()] * (size + 1)
+        self.stops = [size] * (size + 1)
+        for at in range(size - 1, size // 2 - 1, -1):
+            power = (size - at).bit_length() - 1
+            stop = at + (1 << power)
+            self.labels[at] = ((prefix[stop] - prefix[at] * POWERS[power]) % PRIME, *self.labels[stop])
+            self.stops[at] = stop
+        #: Least position of an edit that this direction looks for: the halves meet, but share no position.
+        self.first = size - size // 2 if backward else size // 2
+
+    def salt(self, size: int) -> int:
+        """What tells the trie of words of one length and direction from others."""
+        return (2 * size + self.side) * SALT % PRIME
+
+
+def plain_edges(word: int, path: Path) -> list[tuple]:
+    """Edges past the first half of a word: (node, label, child)."""
+    prefix, salt = path.prefix, path.salt(path.size)
+    return [((prefix[at] + salt) % PRIME, path.labels[at][0], (prefix[path.stops[at]] + salt) % PRIME)
+            for at in range(path.size // 2, path.size)]
+
+
+def free_edges(word: int, path: Path) -> list[tuple]:
+    """Edges that read any code point and then a label: (node, label, code point, child). Label 0 reads nothing."""
+    prefix, salt = path.prefix, path.salt(path.size)
+    return [((prefix[at] + salt) % PRIME, path.labels[at + 1][0] if at + 1 < path.size else 0, path.points[at],
+             (prefix[path.stops[at + 1]] + salt) % PRIME) for at in range(path.first, path.size)]
+
+
+def replaced_states(word: int, path: Path) -> list[tuple]:
+    """States whose code point a larger one is to replace: (id, node, label, code point, rest), label 0 if nothing follows."""
+    prefix, salt, out = path.prefix, path.salt(path.size), []
+    for at in range(path.first, path.size):
         labels = path.labels[at + 1]
-        label, rest = (labels[0], labels[1:]) if labels else (0, ())
-        yield word, path.node(at), ord(letters[at]), label, rest or None
+        out.append((word, (prefix[at] + salt) % PRIME, labels[0] if labels else 0, path.points[at], labels[1:] or None))
+    return out
+
+
+def left_out_states(word: int, path: Path) -> list[tuple]:
+    """States that have left out a code point, the first of equal ones in a row: (id, node, label, rest)."""
+    prefix, salt, points, out = path.prefix, path.salt(path.size - 1), path.points, []
+    for at in range(path.first, path.size):
         before = at + 1 if path.side else at - 1  # the code point before it in the word
-        if not 0 <= before < size or letters[before] != letters[at]:
-            yield word, path.node(at, size - 1), None, label, rest or None
+        if not 0 <= before < path.size or points[before] != points[at]:
+            labels = path.labels[at + 1]
+            out.append((word, (prefix[at] + salt) % PRIME, labels[0] if labels else 0, labels[1:] or None))
+    return out
+
+
+def word_end(word: int, path: Path) -> list[tuple]:
+    return [((path.prefix[path.size] + path.salt(path.size)) % PRIME, word)]
+
+
+ARROW = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
+
 
+def _rows(make: Callable, schema: list[str]) -> Callable:
+    """Rows of every word, forward and backward, in batches of bounded size."""
+    names, types = zip(*(field.split() for field in schema))
 
-def _rows(make: Callable, types: list[pa.DataType], names: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*rows)) or [()] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, ARROW[t]) for c, t in zip(columns, types)], list(names))
 
         for batch in batches:
             for word, letters in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -180,18 +196,15 @@ def neighbours(words: DataFrame) -> DataFrame:
     longest = held.agg(F.max(F.length("word"))).first()[0] or 0
     if not longest:
         return words.sparkSession.createDataFrame([], "a long, b long")
-    int64, int32 = pa.int64(), pa.int32()
-    edges = held.mapInArrow(_rows(lambda _, p: edges_of(p), [int64, int32, int64, int64], ["node", "free", "label", "child"]), EDGES)
-    states = held.mapInArrow(_rows(
-        states_of, [int64, int64, int32, int64, pa.list_(int64)], ["id", "node", "free", "label", "rest"]), STATES)
-    ends = held.mapInArrow(_rows(lambda w, p: [(p.node(p.size), w)], [int64, int64], ["node", "target"]), ENDS)
+    walk = lambda make, schema: held.mapInArrow(_rows(make, schema), ", ".join(schema))
     # dealt by the join key before the doubles go, so that one exchange serves both
-    free = edges.filter("free is not null").repartition("node", "label").distinct()
-    plain = saved(edges.filter("free is null").repartition("node", "label").distinct(), "trie")
+    free = walk(free_edges, ["node long", "label long", "larger int", "child long"]).repartition("node", "label").distinct()
+    plain = saved(walk(plain_edges, ["node long", "label long", "child long"]).repartition("node", "label").distinct(), "trie")
+    ends = walk(word_end, ["node long", "target long"])
 
-    other = free.select("node", "label", F.col("free").alias("larger"), "child")
-    replaced = states.filter("free is not null").join(other, ["node", "label"]).filter("larger > free").select("id", "child", "rest")
-    left_out = states.filter("free is null")
+    replaced = walk(replaced_states, ["id long", "node long", "label long", "point int", "rest array<long>"]).join(
+        free, ["node", "label"]).filter("larger > point").select("id", "child", "rest")
+    left_out = walk(left_out_states, ["id long", "node long", "label long", "rest array<long>"])
     # the end of a word is reached without a further edge
     over = left_out.filter("label = 0").select("id", F.col("node").alias("child"), "rest")
     moved = left_out.filter("label <> 0").join(plain, ["node", "label"]).select("id", "child", "rest")
