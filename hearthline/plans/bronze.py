@@ -143,6 +143,21 @@ def post_bodies(spark: SparkSession, folder: str) -> DataFrame:
     return posts(spark, folder).select(c("post_id").alias("body_no"), body.alias("body"))
 
 
+def odd_post_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """Bodies whose posts have actors, URLs and ids of other types than text, by conversation."""
+    n = c("conv_id") % 4
+    known = F.struct(c("post_id"), _nest("text", c("text")).alias("message"),
+                     F.concat(lit("https://social.example/"), c("post_id"), lit("?a?b")).alias("wwwURL"),
+                     F.array(_nest("name", c("group_id"))).alias("actors"))
+    texts = F.struct(c("post_id"), _nest("text", c("text")).alias("message"), (c("turn") + 1).alias("wwwURL"), c("group_id").alias("actors"))
+    numbers = F.struct((c("conv_id") * 1000 + c("turn") + 1).alias("post_id"), _nest("text", c("text")).alias("message"),
+                       F.array(c("conv_id")).alias("actors"))
+    no_post = F.struct(c("post_id"), c("text").alias("message"))
+    post = F.when(n == 0, F.to_json(known)).when(n == 1, F.to_json(texts)).when(n == 2, F.to_json(numbers)).otherwise(F.to_json(no_post))
+    body = F.concat(lit('{"x": [[{"y": '), post, lit('}], 1, null]}\n{"post_id": 0}\n"text"\n{'))
+    return posts(spark, folder).select((c("conv_id") * 1000 + c("turn")).alias("body_no"), body.alias("body"))
+
+
 # ---- HTML: one page per part or customer, with a repeat of the card on a later page ------------
 
 def _text(*parts) -> Column:

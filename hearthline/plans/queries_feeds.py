@@ -143,6 +143,18 @@ def json_posts(spark, folder):
     return found.select("post_id", F.sha2("text", 256).alias("text"), "url", "author")
 
 
+@query("json_odd_posts", """
+SELECT CASE WHEN conv_id % 4 = 2 THEN (conv_id * 1000 + turn + 1)::VARCHAR ELSE post_id END AS post_id, sha256(text) AS text,
+  CASE WHEN conv_id % 4 = 0 THEN 'https://social.example/' || post_id ELSE '' END AS url,
+  CASE WHEN conv_id % 4 = 0 THEN group_id ELSE '' END AS author
+FROM posts WHERE conv_id % 4 < 3 AND text IS NOT NULL
+""")
+def json_odd_posts(spark, folder):
+    """A18 on payloads whose fields have other types than text."""
+    found = jf.extract_posts(bronze.odd_post_bodies(spark, folder))
+    return found.select("post_id", F.sha2("text", 256).alias("text"), "url", "author")
+
+
 @query("event_props", r"""
 SELECT event_id, try_cast(regexp_extract(props, '"k":\s*([0-9]+)', 1) AS BIGINT) AS k FROM events
 """)

@@ -14,6 +14,11 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # pages and bodies are large: keep the batches sent to Python small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    # posts are nested as deep as they are, in any number
+    "spark.sql.cteRecursionLevelLimit": "-1",
+    "spark.sql.cteRecursionRowLimit": "-1",
+    # of a repeated name in a JSON object the last one counts, as with most readers
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # split a hot join key even when that costs an extra exchange downstream
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }

@@ -57,6 +57,27 @@ def test_posts_first_wins_and_noise_is_skipped(spark):
     assert got == {"1": ("one", "https://x/1", "n"), "2": ("t", "", "")}
 
 
+def test_posts_of_odd_types(spark):
+    post = lambda i, **more: {"post_id": i, "message": {"text": f"t{i}"}, **more}
+    deep = post("deep")
+    for _ in range(60):
+        deep = {"k": [deep]}
+    lines = [
+        post("a", actors="x", wwwURL=5), post("b", actors=None, wwwURL=None), post("c", actors=[], wwwURL=["u"]),
+        post("d", actors=[7]), post("e", actors=[{"name": 3}], wwwURL="u?1?2"), post(12), post(0), post(""), post(None), post(True),
+        {"post_id": "f", "message": "text"}, {"post_id": "g", "message": {"text": 4}}, {"post_id": {"x": 1}, "message": {"text": "t"}},
+        post("h", inner=[post("i")], message={"text": "both", "post_id": "no"}), deep, {"post_id": "a", "message": {"text": "later"}},
+    ]
+    body = "\n".join(["", "null", "[1]", "{", *map(json.dumps, lines), '{"post_id": "j", "post_id": "k", "message": {"text": "twice"}}'])
+    raw = spark.createDataFrame([(1, body), (2, None), (3, "")], "body_no bigint, body string")
+    got = {r.post_id: (r.text, r.url, r.author) for r in jf.extract_posts(raw).collect()}
+    assert got == {
+        "a": ("ta", "", ""), "b": ("tb", "", ""), "c": ("tc", "", ""), "d": ("td", "", ""), "e": ("te", "u", ""), "12": ("t12", "", ""),
+        "h": ("both", "", ""), "i": ("ti", "", ""), "deep": ("tdeep", "", ""), "k": ("twice", "", ""),
+    }
+    assert jf.extract_posts(raw.filter("body_no > 1")).count() == 0
+
+
 def test_tokenizer_handles_untidy_markup(spark):
     doc = '<div class="card x"><p>a<br>b<img src=q></p><script>var s="<p>no</p>";</script></i><span>c &amp; d</div><div class=card><b>e'
     raw = spark.createDataFrame([(1, doc)], "page_id bigint, html string")
