@@ -8,11 +8,13 @@ from hearthline.operators.filters import SearchConfig
 from hearthline.operators.scoring import ScoreConfig
 from hearthline.operators.windows import first_per_key
 from hearthline.plans.queries_valuation import PRICED_SQL
+from hearthline.plans import bronze
 from hearthline.plans.registry import query
 from hearthline.plans.scan_cycle import ScanConfig, scan_cycle
 from hearthline.schema import LISTING, canonical
+from hearthline.sources import json_feeds as jf
 from hearthline.sources.tables import KEY, deals, listings, newest_order, observations, read_table
-from hearthline.streaming import changes as ch
+from hearthline.streaming import changes as ch, cycles
 
 c = F.col
 
@@ -88,3 +90,77 @@ def scan_cycle_query(spark, folder):
         F.count(F.lit(1)).alias("fetched"), F.count_if(c("change") == "new").alias("new"),
         F.count("fair_price_estimate").alias("valued"), F.sum("fair_price_estimate").alias("fair_total"),
     )
+
+
+def arriving(spark, rows, part, parts, first, folder, run, files=2):
+    """Rows that reach a folder in ``parts`` lots; ``run`` gets a stream of ``files`` a batch after the first lots and again after the rest."""
+    laid = rows.withColumn("lot", part)
+    for lots in (range(first), range(first, parts)):
+        laid.filter(c("lot").isin(list(lots))).write.mode("append").partitionBy("lot").parquet(f"{folder}/in")
+        source = spark.readStream.schema(laid.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
+        out = run(source.drop("lot"))
+    return out
+
+
+def late_sightings(spark, folder):
+    """Price events in six lots by time, every fortieth event in a later one; a restart after the third."""
+    rows = observed_prices(spark, folder)
+    span = rows.agg(F.min("ts"), F.max("ts")).first()
+    seconds = max(1, int((span[1] - span[0]).total_seconds()) + 1) if span[0] else 1
+    lot = F.floor((c("ts").cast("long") - F.lit(span[0]).cast("timestamp").cast("long")) * 5 / seconds)
+    lot = F.coalesce(F.least(F.lit(5), lot + F.when(c("event_id") % 40 == 0, 2).otherwise(0)), F.lit(0)).cast("int")
+    place = ch.run_folder(spark)
+    return arriving(spark, rows, lot, 6, 3, place, lambda stream: cycles.sighting_stream(stream, place, lambda: F.to_date("ts"), buckets=8, parts=3))
+
+
+def observed_prices(spark, folder):
+    return read_table(spark, folder, "events").select(
+        c("event_type").alias("source"), c("user_id").cast("string").alias("source_id"), c("ts").cast("timestamp").alias("ts"),
+        c("event_id").cast("long").alias("event_id"), c("value").cast("double").alias("price"))
+
+
+@query("stream_late_rows", """
+SELECT event_id, prev_price, CASE WHEN prev_price IS NULL THEN 'new' WHEN prev_price > price THEN 'dropped' WHEN prev_price <> price THEN 'changed' ELSE 'same' END AS change
+FROM (SELECT event_id, price, lag(price) OVER (PARTITION BY source, source_id ORDER BY ts, event_id) AS prev_price FROM history)
+""")
+def stream_late_rows(spark, folder):
+    """L2: several micro-batches with late rows and a restart end with the changes of a batch."""
+    return late_sightings(spark, folder).read("sightings").select("event_id", "prev_price", "change")
+
+
+@query("stream_late_state", """
+SELECT source, source_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen,
+  arg_max(price, (ts, event_id)) AS price FROM history GROUP BY ALL
+""")
+def stream_late_state(spark, folder):
+    day = lambda n: F.date_format(n, "yyyy-MM-dd HH:mm:ss").alias(n)
+    return late_sightings(spark, folder).read("state").select("source", "source_id", day("first_seen"), day("last_seen"), "price")
+
+
+FEED_SQL = """
+, pages AS (SELECT source || '-' || source_id AS id, 0 AS run, price, * EXCLUDE (source, source_id, price) FROM listings
+    UNION ALL SELECT source || '-' || source_id, 1, price + 3, * EXCLUDE (source, source_id, price) FROM listings),
+  passed AS (SELECT * FROM pages WHERE rooms BETWEEN 1.5 AND 5.0 AND price BETWEEN 300000 AND 2500000 AND sqm >= 40)
+"""
+
+
+def two_scans(spark, folder):
+    """First pages of all listings, then, after a restart, second pages with another price."""
+    pages = bronze.nested_pages(spark, folder)
+    place = ch.run_folder(spark)
+    parse = lambda raw: jf.normalize_nested(jf.flatten_sections(raw), 2001)
+    clock = lambda n: F.timestamp_seconds(F.lit(996_624_000 + 60 * n))
+    return arriving(spark, pages, c("page_no"), 2, 1, place, lambda stream: cycles.feed_stream(
+        stream, place, parse, deals(spark, folder), clock, CYCLE, buckets=8, parts=1), files=64)
+
+
+@query("stream_feed_cycle", PRICED_SQL + FEED_SQL + """
+SELECT id AS source_id, max_by(passed.price, run) AS price, any_value(p.fair_price_estimate) AS fair_price_estimate, count(*) AS sightings, count(*) = 2 AS again
+FROM passed LEFT JOIN priced p ON id = p.source || '-' || p.source_id GROUP BY id
+""")
+def stream_feed_cycle(spark, folder):
+    """L1: raw pages in micro-batches through parse, value, score, upsert and alert; state and history of one store."""
+    store = two_scans(spark, folder)
+    seen = store.read("history").groupBy("source_id").agg(F.count(F.lit(1)).alias("sightings"))
+    return store.read("listings").join(seen, "source_id").select(
+        "source_id", "price", "fair_price_estimate", "sightings", (c("first_seen_at") < c("last_seen_at")).alias("again"))

@@ -60,6 +60,13 @@ class _Elements(HTMLParser):
                 self.rows[up][4].append(text)
 
 
+def _parsed(html: str) -> _Elements:
+    page = _Elements()
+    page.feed(html)
+    page.close()
+    return page
+
+
 def _node(row: list, index: int, base: int) -> dict:
     last, parent, tag, attrs, texts = row
     return {
@@ -85,11 +92,9 @@ def fragments(
             carried = [batch.column(name).to_pylist() for name in carry]
             for place, (page_id, html) in enumerate(zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist())):
                 html = html or ""
-                if whole and f"<{tag}" not in html.lower():
-                    html = f"<{tag}>{html}</{tag}>"
-                page = _Elements()
-                page.feed(html)
-                page.close()
+                page = _parsed(html)
+                if whole and all(row[2] != tag for row in page.rows):
+                    page = _parsed(f"<{tag}>{html}</{tag}>")
                 for index, row in enumerate(page.rows):
                     attrs = row[3]
                     if row[2] != tag or (attr and attr not in attrs) or (cls and cls not in attrs.get("class", "").split()):
