@@ -242,3 +242,12 @@ def in_order(mixed: DataFrame) -> DataFrame:
     return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").drop(
         "mix_stream", "mix_slot", "mix_position"
     )
+
+
+def ordered_rows(docs: DataFrame) -> DataFrame:
+    """All rows of ``docs`` in the order of their mix, with all their columns, whatever their names."""
+    clash = [c for c in docs.columns if c.lower() in ("mix_stream", "mix_slot", "mix_position")]
+    if not clash:
+        return in_order(mix(docs))
+    packed = free_name(docs, "row")
+    return in_order(mix(docs.select("doc_id", "source", F.struct(*docs.columns).alias(packed)))).select(f"{packed}.*")

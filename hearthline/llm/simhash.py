@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hearthline.llm.components import roots
 from hearthline.llm.files import free_name, saved
@@ -75,11 +75,17 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) per row; fp is the fingerprint's bits as a signed long."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
-        _fingerprint_batches, "id long, fp long"
-    )
+def _marked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = next(_fingerprint_batches(iter([batch])))
+        yield pa.RecordBatch.from_arrays([*prints.columns, batch.column(2)], ["id", "fp", "mark"])
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marked: bool = False) -> DataFrame:
+    """(id, fp) per row; fp is the fingerprint's bits as a signed long. With ``marked`` also mark, a hash of the text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"),
+                       *([F.xxhash64(text_col).alias("mark")] if marked else []))
+    return rows.mapInArrow(*((_marked_batches, "id long, fp long, mark long") if marked else (_fingerprint_batches, "id long, fp long")))
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:
@@ -238,6 +244,13 @@ def links(prints: DataFrame) -> DataFrame:
     )
 
 
+def _rooted(rows: DataFrame, least: Column) -> DataFrame:
+    """(fp, the aggregate ``least`` of its rows, root): each distinct fingerprint and that of its component."""
+    prints = saved(rows.groupBy("fp").agg(least), "prints")
+    tied = saved(roots(links(prints)), "roots").select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    return prints.join(tied, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) per row of ``docs``.
 
@@ -247,11 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unless a component has no other. Other columns of ``docs`` are not read. An empty table gives none.
     """
     rows = saved(fingerprints(docs, id_col, text_col), "fingerprints")
-    prints = saved(rows.groupBy("fp").agg(F.min("id").alias("least_id")), "prints")
-    tied = saved(roots(links(prints)), "roots")
-    of = prints.join(tied.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root")
-    )
+    of = _rooted(rows, F.min("id").alias("least_id"))
     least = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = of.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(
@@ -260,16 +269,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Documents without near copies: of each component the row with the smallest doc_id stays.
+    """Documents without near copies: of each component one row stays, that with the smallest doc_id.
 
-    Of repeated rows of that id the one with the smallest text stays, then source, lang. Rows with a
-    null id count as one id, which stays only where its component has no other.
+    A row with a null id stays where its component has no id; different texts that share an id, null ids among them, are
+    rows of their own. Of rows of one component and id that with the smallest hash of its text stays, and of repeated rows
+    the first by source and lang. An empty table gives none.
     """
-    kept_name, nth = free_name(docs, "kept_id"), free_name(docs, "nth")
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias(kept_name)
-    ).distinct()
-    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_name)), "left_semi")
-    order = [c for c in ("text", "source", "lang") if c in docs.columns]
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
-    return left.withColumn(nth, first).filter(F.col(nth) == 1).drop(nth)
+    mark, nth = free_name(docs, "mark"), free_name(docs, "nth")
+    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "mark")
+    first = _rooted(saved(fingerprints(docs, marked=True), "fingerprints"), F.min(order).alias("first")).groupBy("root").agg(
+        F.min("first").alias("first"))
+    kept = first.select(F.col("first.id").alias(free_name(docs, "kept_id")), F.col("first.mark").alias(free_name(docs, "kept_mark")))
+    left = docs.withColumn(mark, F.xxhash64("text"))
+    left = left.join(kept, F.col("doc_id").eqNullSafe(F.col(kept.columns[0])) & (F.col(mark) == F.col(kept.columns[1])), "left_semi")
+    ties = [c for c in ("source", "lang") if c in docs.columns]
+    number = F.row_number().over(Window.partitionBy("doc_id", mark).orderBy(*(ties or [mark])))
+    return left.withColumn(nth, number).filter(F.col(nth) == 1).drop(nth, mark)

@@ -12,7 +12,8 @@ import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as format_
 
-from hearthline.llm import pieces, queries, resampling, spelling
+import corpus_pipeline
+from hearthline.llm import pieces, queries, resampling, simhash, spelling
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id int, n int, ids string, word string, rank int, score int, tag int"
@@ -244,3 +245,32 @@ def test_brackets_hold_the_place_whatever_the_sketch(spark, accuracy):
     want = sorted(((v, i % 700 or None, i) for i, v in enumerate(values)), key=lambda r: (-r[0], r[1] is None, r[1] or 0, r[2]))[:900]
     got = sorted((r for r in resampling.draw(frame, 900, 3_000, "key", accuracy).collect() if r.rank), key=lambda r: r.rank)
     assert [tuple(r)[:3] for r in got] == want and [r.rank for r in got] == list(range(1, 901))
+
+
+def test_near_copies_leave_unlike_rows_of_null_and_equal_ids(spark):
+    same = "one two three four five six seven eight"
+    rows = [(None, "alpha beta gamma delta epsilon zeta"), (None, "completely other words stand here now"), (None, "third unlike text of the table"),
+            (None, same), (7, same), (7, "quite another text with this very id"), (7, "quite another text with this very id"), (9, same.upper())]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [*rows[:3], (7, same), (7, "quite another text with this very id")]
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
+
+
+def test_mix_stage_keeps_columns_of_its_own_names(spark, tmp_path):
+    rows = [(i, f"text {i}", "s" if i % 3 else None, i * 10, f"p{i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_slot long, MIX_position string")
+    out = corpus_pipeline.mixed(spark, docs, FOLDER)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == rows
+    plain = corpus_pipeline.mixed(spark, docs.drop("mix_slot", "MIX_position"), FOLDER)
+    assert [r.doc_id for r in out.collect()] == [r.doc_id for r in plain.collect()]
+
+
+def test_files_are_taken_by_their_number(spark, tmp_path):
+    for number, ids in ((99_999, [1, 2]), (100_000, [3, 4]), (2, [0])):
+        made = tmp_path / f"one-{number}"
+        spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").coalesce(1).write.parquet(str(made))
+        target = tmp_path / "all"
+        target.mkdir(exist_ok=True)
+        (target / f"part-{number:05d}-x.parquet").write_bytes(next(made.glob("part-*.parquet")).read_bytes())
+    rows = corpus_pipeline.token_output(spark, spark.read.parquet(str(tmp_path / "all")), FOLDER).collect()
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.start)] == [0, 1, 2, 3, 4]
