@@ -9,6 +9,7 @@ record. A text is cut chunk by chunk where no piece can reach across, and chunks
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -23,10 +24,16 @@ MARK = "▁"
 #: Comes out for a byte that isn't UTF-8.
 UNREADABLE = "�".encode()
 #: Chunks that a Python worker remembers, and the longest of them in characters.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 LONGEST = 64
+#: Pieces of a batch of rows that leaves a task, about.
+PIECES = 1 << 19
 
-RESULTS = "ids array<int>, starts array<long>, ends array<long>, decoded string"
+RESULTS = "ids array<int>, starts array<int>, ends array<int>, decoded string"
+
+
+#: Marks of pieces whose bytes depend on the text.
+BYTE, UNKNOWN = -1, -2
 
 
 class CharacterMap:
@@ -177,31 +184,52 @@ class PieceEncoder:
         spec.name, spec.precompiled_charsmap = "identity", b""
         spec.add_dummy_prefix = spec.remove_extra_whitespaces = spec.escape_whitespaces = False
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-        self.known: dict[str, tuple[list[int], list[int]]] = {}
-
-    def chunk(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids of a normalised chunk and the bytes that each covers; of a character in byte pieces the last covers all."""
-        found = self.known.get(text)
-        if found is None:
-            pieces = self.bare.encode_as_proto(text).pieces
-            found = [p.id for p in pieces], [p.end - p.begin for p in pieces]
-            if len(text) <= LONGEST:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[text] = found
-        return found
-
-    def encode(self, data: bytes) -> tuple[list[int], np.ndarray]:
+        #: Bytes that a piece covers by its id; byte pieces and unknown ones depend on their text.
+        self.covers = [BYTE if p.type == p.BYTE else UNKNOWN if p.type == p.UNKNOWN else len(p.piece.encode()) for p in model.pieces]
+        self.bytes = {i: int(p.piece[3:5], 16) for i, p in enumerate(model.pieces) if p.type == p.BYTE}
+        #: Pairs of id and bytes covered of each chunk: 32-bit numbers one after another.
+        self.known: dict[str, bytes] = {}
+
+    def sizes(self, text: str, ids: list[int]) -> list[int]:
+        """Bytes of a normalised text that each id covers; of a character in byte pieces the last covers all."""
+        out = [self.covers[i] for i in ids]
+        if min(out, default=0) >= 0:
+            return out
+        if UNKNOWN in out:
+            return [p.end - p.begin for p in self.bare.encode_as_proto(text).pieces]
+        at = 0
+        while at < len(out):
+            size = 1
+            if out[at] == BYTE:
+                lead = self.bytes[ids[at]]
+                size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+                out[at:at + size] = [0] * (size - 1) + [size]
+            at += size
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        """Encode chunks in one call."""
+        for part, ids in zip(new, self.bare.encode(new, num_threads=1)):
+            pairs = array("i", bytes(8 * len(ids)))
+            pairs[::2], pairs[1::2] = array("i", ids), array("i", self.sizes(part, ids))
+            self.known[part] = pairs.tobytes()
+
+    def encode(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text without the end id, and the places in its bytes where pieces meet (one more than ids)."""
         text, places = self.normalise(data)
         normal = text.decode()
-        ids: list[int] = []
-        sizes: list[int] = [0]
-        for part in self.CHUNK.findall(normal) if self.cuts else [normal] if normal else []:
-            more, covered = self.chunk(part)
-            ids += more
-            sizes += covered
-        return ids, places[np.cumsum(sizes)]
+        parts = self.CHUNK.findall(normal) if self.cuts else [normal] if normal else []
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        known = self.known
+        new = list(set(parts).difference(known))
+        if new:
+            self.learn(new)
+        pairs = np.frombuffer(b"".join([known[p] for p in parts]), np.int32)
+        for part in new:
+            if len(part) > LONGEST:  # long chunks are seldom met again
+                del known[part]
+        return pairs[::2], places[np.concatenate([[0], np.cumsum(pairs[1::2], dtype=np.int64)])]
 
 
 @cache
@@ -212,19 +240,23 @@ def encoder_of(path: str) -> PieceEncoder:
 def _encode(model: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(model)
+        numbers = pa.list_(pa.int32())
         for batch in batches:
-            out: list[tuple] = []
-            for text in batch.column(0):
+            held: list[tuple] = []
+            first, size = 0, 0
+            for row, text in enumerate(batch.column(0), 1):
                 data = text.as_py() or b""
                 ids, meet = encoder.encode(data)
-                ids.append(encoder.end_id)
-                stops = np.append(meet, len(data))
-                out.append((np.array(ids, np.int32), np.append(meet[:-1], len(data)), stops[1:], encoder.whole.decode(ids)))
-            ids, starts, ends, decoded = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([
-                *batch.columns[1:], pa.array(ids, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int64())),
-                pa.array(ends, pa.list_(pa.int64())), pa.array(decoded, pa.string()),
-            ], [*batch.schema.names[1:], "ids", "starts", "ends", "decoded"])
+                ids = np.append(ids, np.int32(encoder.end_id))
+                held.append((
+                    ids, np.append(meet[:-1], len(data)).astype(np.int32),
+                    np.append(meet[1:], len(data)).astype(np.int32), encoder.whole.decode(ids.tolist())))
+                size += len(ids)
+                if size >= PIECES or row == batch.num_rows:
+                    found = [pa.array(c, t) for c, t in zip(zip(*held), (numbers, numbers, numbers, pa.string()))]
+                    yield pa.RecordBatch.from_arrays(
+                        [*batch.slice(first, row - first).columns[1:], *found], [*batch.schema.names[1:], "ids", "starts", "ends", "decoded"])
+                    held, first, size = [], row, 0
     return run
 
 

@@ -157,7 +157,7 @@ def test_compiled_maps_equal_the_library(rule, tmp_path):
         for text in texts:
             found = library.encode_as_proto(text).pieces
             ids, meet = own.encode(text.encode())
-            assert ids == [p.id for p in found], text
+            assert ids.tolist() == [p.id for p in found], text
             assert [(int(a), int(b)) for a, b in zip(meet, meet[1:])] == [(p.begin, p.end) for p in found], text
 
 
