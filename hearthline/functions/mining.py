@@ -110,9 +110,20 @@ GARDEN_EITHER = (
     "|([0-9]{2,4})\\s*מ[״\"'׳]?ר[^.\\n]{0,30}?(?:גינ[הת]|חצר)",
 )
 LOT = (f"מגרש[^.\\n]{{0,30}}?([0-9]{{2,5}})\\s*{METRE}",)
+
+
+def _plot(words: str) -> str:
+    """A size of three to five digits behind one of the words, with its unit after or before it, or without."""
+    return (
+        f"(?:{words})(?:[^.\\n]{{0,80}}?([0-9]{{3,5}})\\s*(?:מ[״\"'׳]?ר|מטר)"
+        "|\\s*מ[״\"'׳]?ר\\s*([0-9]{3,5})|[^.\\n]{0,40}?([0-9]{3,5})(?:[\\s,.]|$))"
+    )
+
+
+# fixed values: plot words of the agency feed, and those of the catalog feed, which also reads sizes in dunam
+LOT_AGENCY = (_plot("מגרש|קרקע|המגרש"),)
 LOT_LOOSE = (
-    "(?:מגרש|קרקע|המגרש|פינת[יי])(?:[^.\\n]{0,80}?([0-9]{3,5})\\s*(?:מ[״\"'׳]?ר|מטר)"
-    "|\\s*מ[״\"'׳]?ר\\s*([0-9]{3,5})|[^.\\n]{0,40}?([0-9]{3,5})(?:[\\s,.]|$))",
+    _plot("מגרש|קרקע|המגרש|פינת[יי]"),
     "(?:דונם|חצי\\s+דונם)[^.]{0,40}?([0-9]{3,5})\\s*(?:מ[״\"'׳]?ר|מטר)",
 )
 _NOT_BUILT = "(?!(?:\\s*(?:מגרש|קרקע|גינ[הת]|חצר|מרפסת|מרפסות)))"
@@ -136,9 +147,9 @@ def lot_area(c: Column, patterns: tuple[str, ...] = LOT) -> Column:
     return bounded_number(c, patterns, 20, 99999)
 
 
-def lot_area_loose(c: Column) -> Column:
-    """Plot size with or without a unit, or after a dunam mention."""
-    return bounded_number(c, LOT_LOOSE, 0, 99999, tail="[0-9]{3,5}")
+def lot_area_loose(c: Column, patterns: tuple[str, ...] = LOT_LOOSE) -> Column:
+    """Plot size with or without a unit; by the catalog's patterns also after a dunam mention."""
+    return bounded_number(c, patterns, 0, 99999, tail="[0-9]{3,5}")
 
 
 def built_area(c: Column, patterns: tuple[str, ...] = BUILT) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -118,22 +118,60 @@ def city_key(c: Column, groups: Sequence[Sequence[str]] | None = None) -> Column
 
 # ---- markup and numbers (D9-D13) --------------------------------------------
 
-_ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
+_ENTITY = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{0,30};?)"
+#: Names that count without a semicolon too, also in front of other letters.
+_BARE = {name: text for name, text in html5.items() if not name.endswith(";")}
 
 
-def _entity_text(e: Column) -> Column:
-    """Text of one character reference; unknown names stay, impossible numbers become U+FFFD."""
-    decimal = F.regexp_extract(e, "^&#([0-9]+);$", 1).try_cast("bigint")
-    hexadecimal = F.conv(F.nullif(F.regexp_extract(e, "^&#[xX]([0-9a-fA-F]+);$", 1), F.lit("")), 16, 10).try_cast("bigint")
-    point = F.coalesce(decimal, hexadecimal)
+def _windows(point: int) -> str:
+    """Numbers of control signs mean the sign of that byte in Windows text, where it has one."""
+    try:
+        return bytes([point]).decode("cp1252")
+    except UnicodeDecodeError:
+        return chr(point)
+
+
+def text_map(pairs: dict[str, str]) -> Column:
+    """A fixed map as one folded literal, for tables too long for a column per entry."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in sorted(pairs.items()))), F.lit("\x02"), F.lit("\x01"))
+
+
+def _number_text(e: Column) -> Column:
+    """Text of a numeric reference; numbers of no character give U+FFFD, of signs that a page can't hold nothing."""
+    bare = F.regexp_extract(e, "^&#0*([0-9]+)", 1), F.regexp_extract(e, "^&#[xX]0*([0-9a-fA-F]+)", 1)
+    decimal = F.when(F.length(bare[0]) > 7, 0).otherwise(bare[0].try_cast("bigint"))
+    hexadecimal = F.when(F.length(bare[1]) > 6, 0).otherwise(F.conv(F.nullif(bare[1], F.lit("")), 16, 10).try_cast("bigint"))
+    point = F.when(e.rlike("^&#[xX]"), hexadecimal).otherwise(decimal)
     fine = F.when((point < 1) | (point > 0x10FFFF) | point.between(0xD800, 0xDFFF), 0xFFFD).otherwise(point)
+    unfit = (
+        point.between(1, 8) | point.between(14, 31) | (point == 11) | (point == 127) | point.between(0xFDD0, 0xFDEF)
+        | (point.between(0xFFFE, 0x10FFFF) & (F.pmod(point, F.lit(0x10000)) >= 0xFFFE))
+    )
     char = F.decode(F.unhex(F.lpad(F.hex(fine), 8, "0")), "UTF-32")
-    names = literal_map({f"&{name};": chr(p) for name, p in sorted(name2codepoint.items())} | {"&apos;": "'"})
-    return F.when(point.isNotNull(), char).otherwise(F.coalesce(F.try_element_at(names, e), e))
+    windows = text_map({str(p): _windows(p) for p in range(128, 160)})
+    return F.when(unfit, "").when(point.between(128, 159), F.try_element_at(windows, point.cast("string"))).otherwise(char)
+
+
+def _name_text(e: Column) -> Column:
+    """Text of a named reference: the whole name, else its longest beginning that needs no semicolon; other names stay."""
+    name = F.substr(e, F.lit(2))
+    by_letter: dict[str, dict[str, str]] = {}
+    for known, text in html5.items():
+        by_letter.setdefault(known[0], {})[known] = text
+    shelves = F.create_map(*[x for letter, names in sorted(by_letter.items()) for x in (F.lit(letter), text_map(names))])
+    whole = F.try_element_at(F.try_element_at(shelves, F.left(name, F.lit(1))), name)
+    bare = text_map(_BARE)
+    sizes = sorted({len(n) for n in _BARE}, reverse=True)
+    begun = [F.concat(F.try_element_at(bare, F.left(name, F.lit(k))), F.substr(name, F.lit(k + 1))) for k in sizes]
+    return F.coalesce(whole, *begun, e)
+
+
+def _entity_text(e: Column) -> Column:
+    return F.when(F.startswith(e, F.lit("&#")), _number_text(e)).otherwise(_name_text(e))
 
 
 def unescape_markup(c: Column) -> Column:
-    """Numeric and named character references, decoded once, without leaving the JVM."""
+    """Numeric and named character references of HTML 5, decoded once, without leaving the JVM."""
     decoded = F.transform(F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(0)), _entity_text)
     parts = F.zip_with(F.split(c, _ENTITY, -1), decoded, lambda gap, e: F.concat(gap, F.coalesce(e, F.lit(""))))
     return F.when(F.contains(c, F.lit("&")), F.array_join(parts, "")).otherwise(c)

@@ -71,11 +71,17 @@ def top_alerts(spark, folder):
 TOPICS = [flt.Topic("motion", [r"tion"]), flt.Topic("accents", [r"é[a-z]+", r"ñ"])]
 
 
+def linked_posts(spark: SparkSession, folder: str) -> DataFrame:
+    """Posts of turn 9 have no link."""
+    return posts(spark, folder).withColumn("url", F.when(c("turn") != 9, F.concat(F.lit("https://social.example/"), c("post_id"))))
+
+
 def post_items(spark: SparkSession, folder: str) -> DataFrame:
-    """Matching posts as free items; posts of turn 9 have no link."""
-    linked = posts(spark, folder).withColumn(
-        "url", F.when(c("turn") != 9, F.concat(F.lit("https://social.example/"), c("post_id")))
-    )
+    return items_of(linked_posts(spark, folder))
+
+
+def items_of(linked: DataFrame) -> DataFrame:
+    """Matching posts as free items."""
     return al.topic_items(linked, TOPICS, F.lit("2026-01-02").cast("date"), F.concat(F.lit("group "), c("group_id")))
 
 

@@ -225,6 +225,23 @@ def text_measures(spark, folder):
     )
 
 
+@query("lot_by_feed", """
+SELECT source, source_id, CASE WHEN line_no % 4 IN (0, 3) THEN sqm + 100 END::BIGINT AS agency, (sqm + 100)::BIGINT AS catalog FROM listings
+""")
+def lot_by_feed(spark, folder):
+    """E-T4: the catalog feed reads corners and dunam, the agency feed plots alone."""
+    k, size = c("line_no") % 4, (c("sqm") + 100).cast("string")
+    text = (
+        F.when(k == 0, F.concat(F.lit("מגרש "), size))
+        .when(k == 1, F.concat(F.lit("פינתי "), size, F.lit(" מטר")))
+        .when(k == 2, F.concat(F.lit("חצי דונם כלומר "), size, F.lit(" מטר")))
+        .otherwise(F.concat(F.lit('על קרקע של '), size, F.lit(' מ"ר')))
+    )
+    return listings(spark, folder).select(
+        "source", "source_id", mn.lot_area_loose(text, mn.LOT_AGENCY).cast("bigint").alias("agency"),
+        mn.lot_area_loose(text).cast("bigint").alias("catalog"))
+
+
 @query("built_area", """
 SELECT source, source_id, sqm::BIGINT AS built, CASE WHEN line_no % 4 = 1 THEN sqm END::BIGINT AS garden FROM listings
 """)

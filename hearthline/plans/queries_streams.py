@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from hearthline.operators.filters import SearchConfig
 from hearthline.operators.scoring import ScoreConfig
 from hearthline.operators.windows import first_per_key
+from hearthline.plans.queries_alerts import ITEMS_SQL, items_of, linked_posts
+from hearthline.plans.queries_scores import AS_OF, CONFIG, SCORE_SQL, TOTAL_SQL, scored_rows
 from hearthline.plans.queries_valuation import PRICED_SQL
 from hearthline.plans import bronze
 from hearthline.plans.registry import query
-from hearthline.plans.scan_cycle import ScanConfig, scan_cycle
-from hearthline.schema import LISTING, canonical
+from hearthline.plans.scan_cycle import ScanConfig, edit_and_rescore, rescan, scan_cycle
+from hearthline.schema import SCORE_REASONS, canonical
 from hearthline.sources import json_feeds as jf
 from hearthline.sources.tables import KEY, deals, listings, newest_order, observations, read_table
 from hearthline.streaming import changes as ch, cycles
@@ -164,3 +166,97 @@ def stream_feed_cycle(spark, folder):
     seen = store.read("history").groupBy("source_id").agg(F.count(F.lit(1)).alias("sightings"))
     return store.read("listings").join(seen, "source_id").select(
         "source_id", "price", "fair_price_estimate", "sightings", (c("first_seen_at") < c("last_seen_at")).alias("again"))
+
+
+def two_watches(spark, folder):
+    """A seeding run over the posts of every third conversation, then, after a restart, a run over all posts in three lots."""
+    rows = linked_posts(spark, folder)
+    later = F.when(c("again"), c("turn") % 3 + 1).otherwise(0).cast("int")
+    both = rows.filter(c("conv_id") % 3 == 0).withColumn("again", F.lit(False)).unionByName(rows.withColumn("again", F.lit(True)))
+    place, numbers = ch.run_folder(spark), iter(range(2))
+
+    def watch(stream):
+        run = next(numbers)
+        return cycles.watch_stream(stream, place, items_of, run, F.timestamp_seconds(F.lit(1_767_225_600 + 86_400 * run)),
+                                   seed_only=run == 0, buckets=8, parts=3)
+    return arriving(spark, both, later, 4, 1, place, watch, files=4)
+
+
+WATCH_RUNS_SQL = ITEMS_SQL + """
+, counts AS (SELECT watch_label, count(*) AS fetched, count(*) FILTER (known) AS old FROM watch GROUP BY watch_label)
+"""
+
+
+@query("stream_watch", WATCH_RUNS_SQL + """
+SELECT 1 AS run, watch_label, fetched, fetched - old AS new, least(fetched - old, 20) AS alerted FROM counts
+UNION ALL SELECT 0, watch_label, old, old, 0 FROM counts WHERE old > 0
+""")
+def stream_watch(spark, folder):
+    """Counts of a seeding run and of a run in several micro-batches, whose quota of a watch holds over all of them."""
+    return cycles.watch_log(two_watches(spark, folder)).select(c("run").cast("int").alias("run"), "watch_label", "fetched", "new", "alerted")
+
+
+@query("stream_watch_items", WATCH_RUNS_SQL + """
+SELECT post_id AS source_id, watch_label, sha256(title) AS title, known,
+  CASE WHEN known THEN '2026-01-01' ELSE '2026-01-02' END AS first_seen, '2026-01-02' AS last_seen FROM watch
+""")
+def stream_watch_items(spark, folder):
+    """The stored items after both runs; alerted are the seeded ones and those in the outbox."""
+    store = two_watches(spark, folder)
+    sent = store.read("outbox").select("source", "source_id", F.lit(True).alias("sent"))
+    day = lambda n: F.date_format(n, "yyyy-MM-dd")
+    rows = store.read("items").join(sent, ["source", "source_id"], "left")
+    right = F.coalesce("sent", F.lit(False)) == F.coalesce(day("alerted_at") == "2026-01-02", F.lit(False))
+    return rows.select(
+        "source_id", "watch_label", F.sha2("title", 256).alias("title"),
+        (right & F.coalesce(day("alerted_at") == "2026-01-01", F.lit(False))).alias("known"),
+        day("first_seen_at").alias("first_seen"), day("last_seen_at").alias("last_seen"))
+
+
+#: What the edits of ``edit_rescore`` change: two overrides set, one set, one cleared.
+EDITED_SQL = (
+    SCORE_SQL.replace("CASE WHEN part_id % 10 = 0 THEN sqm + 5", "CASE WHEN line_no = 1 THEN sqm * 2 WHEN part_id % 10 = 0 AND line_no <> 3 THEN sqm + 5")
+    .replace("CASE WHEN part_id % 9 = 0 THEN line_no END AS units", "CASE WHEN line_no = 2 THEN 4 WHEN part_id % 9 = 0 THEN line_no END AS units")
+    .replace("CASE WHEN part_id % 6 = 0 THEN sqm * 2 END AS garden", "CASE WHEN line_no = 1 THEN 200 WHEN part_id % 6 = 0 THEN sqm * 2 END AS garden")
+)
+
+
+@query("edit_rescore", EDITED_SQL + f"""
+SELECT source, source_id, built::BIGINT AS built, CASE WHEN line_no <= 3 THEN greatest(1.0::DOUBLE, least(10.0::DOUBLE, {TOTAL_SQL})) ELSE 1.5 END::DOUBLE AS score,
+  line_no <= 3 AS reasoned FROM parts
+""")
+def edit_rescore(spark, folder):
+    """User overrides on some rows, which alone get a new score and new reasons."""
+    rows = scored_rows(spark, folder)
+    state = rows.withColumns({"score": F.lit(1.5), "score_reasons": F.lit(None).cast(SCORE_REASONS)})
+    names = lambda *n: F.array(*[F.lit(x) for x in n])
+    edits = rows.filter(c("line_no") <= 3).select(
+        "source", "source_id",
+        F.when(c("line_no") == 1, names("sqm_build_user", "garden_sqm_user")).when(c("line_no") == 2, names("units_count_user"))
+        .otherwise(names("sqm_build_user")).alias("set_mask"),
+        F.when(c("line_no") == 1, c("sqm") * 2).cast("int").alias("sqm_build_user"),
+        F.lit(200).alias("garden_sqm_user"), F.lit(4).alias("units_count_user"))
+    edited = edit_and_rescore(state, edits, F.lit(AS_OF).cast("date"), CONFIG)
+    return edited.select(
+        "source", "source_id", F.coalesce("sqm_build_user", "sqm_build", "sqm").cast("bigint").alias("built"), "score",
+        c("score_reasons").isNotNull().alias("reasoned"))
+
+
+@query("rescan_rows", PRICED_SQL + """
+SELECT l.source, l.source_id, l.price, line_no = 1 AS again, CASE WHEN line_no = 1 THEN p.fair_price_estimate END AS fair_price_estimate,
+  CASE WHEN line_no = 1 THEN 'בית מחולק ל-3 דירות ' || part_id ELSE '' END AS description, CASE WHEN line_no = 1 THEN 3 END AS units_count, line_no = 1 AS scored
+FROM listings l LEFT JOIN priced p USING (source, source_id)
+""")
+def rescan_rows(spark, folder):
+    """Some rows get their details again, are mined, valued and scored, and merged; the rest stays."""
+    rows = listings(spark, folder)
+    before = c("observed_at").cast("timestamp")
+    state = canonical(rows.withColumns({
+        "tags": F.array("street"), "publish_date": c("observed_at"), "first_seen_at": before, "last_seen_at": before}))
+    keys = rows.filter(c("line_no") == 1)
+    details = keys.select("source", "source_id", F.concat(F.lit("בית מחולק ל-3 דירות "), c("part_id").cast("string")).alias("description"))
+    now = F.lit("2001-08-01 12:00:00").cast("timestamp")
+    after = rescan(state, keys, details, deals(spark, folder), now, CYCLE)
+    return after.select(
+        "source", "source_id", "price", (c("last_seen_at") == now).alias("again"), "fair_price_estimate", "description", "units_count",
+        c("score").isNotNull().alias("scored"))

@@ -69,7 +69,7 @@ def agency_details(raw: DataFrame, as_of_year: int) -> DataFrame:
     year = F.coalesce(*[F.nullif(c(n), F.lit(0.0)) for n in ("year_built", "build_year", "construction_year")])
     return rows.select(
         "source", "source_id", tx.blank_to_null(text).alias("description"), size("size").alias("sqm"),
-        F.coalesce(mn.lot_area_loose(text), size("field_size")).alias("lot_sqm"),
+        F.coalesce(mn.lot_area_loose(text, mn.LOT_AGENCY), size("field_size")).alias("lot_sqm"),
         F.coalesce(mn.garden_area(text), size("garden_size")).alias("garden_sqm"), mn.units_count_brief(text).alias("units_count"),
         _yes(c("parking_spaces") > 0).alias("parking"), c("floor").alias("floor"), _yes(c("elevator")).alias("elevator"),
         _yes(c("ac"), c("air_conditioner")).alias("ac"), _yes(c("mamad")).alias("mamad"), _yes(c("balcony")).alias("balcony"),

@@ -150,6 +150,24 @@ def test_character_references(value):
     assert got == ["אב é – &lt; &nosuch; � � a&b", "plain", None]
 
 
+def test_all_named_and_numeric_references(value):
+    """Every name of HTML 5, with and without semicolon, and numbers around the special ranges, against the standard library."""
+    import html
+    from html.entities import html5
+
+    rows = [f"&{name}{tail}" for i, name in enumerate(html5) for tail in [("", ";", "foo;", "1")[i % 4]]]
+    numbers = [*range(300), 0xD7FF, 0xD800, 0xFDD0, 0xFFFE, 0x1FFFF, 0x10FFFF, 0x110000, 10**9, 10**24]
+    rows += [f"&#{n}{(';', '', 'g')[n % 3]}" for n in numbers] + [f"&#x{n:x};" for n in numbers]
+    rows += ["&", "&&amp", "&notit;", "&#;", "&#x;", "&#X41", "&#000065;", "a&ampb &lt &gt;"]
+    assert value(tx.unescape_markup, *rows) == [html.unescape(r) for r in rows]
+
+
+def test_agency_feed_reads_plots_alone(value):
+    texts = ['מגרש 600', 'פינתי 700 מטר', 'חצי דונם כלומר 500 מטר', 'המגרש מ"ר 450', None]
+    assert value(lambda c: mn.lot_area_loose(c, mn.LOT_AGENCY), *texts) == [600, None, None, 450, None]
+    assert value(mn.lot_area_loose, *texts) == [600, 700, 500, 450, None]
+
+
 def test_standalone_word_is_quoted(value):
     assert value(lambda c: tx.standalone_word(c, "a+b"), "x a+b c", "aab", "א a+b") == [True, False, True]
 
