@@ -126,6 +126,8 @@ LOT_LOOSE = (
     _plot("מגרש|קרקע|המגרש|פינת[יי]"),
     "(?:דונם|חצי\\s+דונם)[^.]{0,40}?([0-9]{3,5})\\s*(?:מ[״\"'׳]?ר|מטר)",
 )
+# fixed value: plot size of the article feed, with its unit
+LOT_ARTICLE = ("(?:מגרש|קרקע|המגרש)[^.\\n]{0,80}?([0-9]{3,5})\\s*(?:מ[״\"']?ר|מטר)",)
 _NOT_BUILT = "(?!(?:\\s*(?:מגרש|קרקע|גינ[הת]|חצר|מרפסת|מרפסות)))"
 BUILT = (
     "(?:שטח\\s*(?:בנוי|מבונה|דירה|הבית|הדירה|נטו|ברוטו)?\\s*(?:של\\s*)?([0-9]{2,4})"

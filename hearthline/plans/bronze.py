@@ -337,3 +337,21 @@ def detail_html(spark: SparkSession, folder: str) -> DataFrame:
         '</a></div><img src="/p?picNum=', k, '"><img src="/logo.png"></body></html>',
     )
     return rows.select(k.alias("page_id"), lit("a").alias("source"), k.cast("string").alias("source_id"), page.alias("html"))
+
+
+def described_html(spark: SparkSession, folder: str) -> DataFrame:
+    """One page per customer with a menu beside the description nodes of the catalog and article feeds."""
+    k = c("k")
+    rows = read_table(spark, folder, "customer").select(c("c_custkey").alias("k"), c("c_name").alias("name"))
+    page = _text(
+        "<html><body><nav>מעלית מגרש 9999 מטר</nav>",
+        F.when(k % 5 != 0, _text('<div class="rich-text-block-2 w"><p>', c("name"), "</p><p>פינתי ", k % 500 + 100, " מטר</p></div>")).otherwise(""),
+        '<div class="tags-wrapper"><div class="greentags">חניה</div><div class="greentags w-condition-invisible">מזגן</div></div>',
+        F.when(k % 2 == 0, _text('<div class="floor-number">', k % 9, "</div>")).otherwise(""),
+        '<div class="collection-small-imegs-item-5"><a style="background-image:url(', "/g", k, '.jpg)"></a></div>',
+        F.when(k % 3 == 0, '<div data-id="9ce8f1"><div class="elementor-widget-container">403 this page is forbidden</div></div>').otherwise(""),
+        '<div class="elementor-widget-text-editor"><div class="elementor-widget-container">short</div><div class="elementor-widget-container">', c("name"),
+        ' על מגרש ', k % 500 + 100, ' מטר</div></div><section data-id="73430878"><h5 class="elementor-heading-title">מרפסת</h5></section>',
+        '<div class="swiper-slide"><img src="/s', k, '.jpg"><img src="/x.svg"></div></body></html>',
+    )
+    return rows.select(k.alias("page_id"), lit("a").alias("source"), k.cast("string").alias("source_id"), page.alias("html"))

@@ -169,3 +169,34 @@ SELECT c_custkey::VARCHAR AS source_id, (c_custkey % 9)::INTEGER AS floor, 1 AS
 def html_text_details(spark, folder):
     rows = dp.text_details(bronze.detail_html(spark, folder), 2026)
     return flat(rows, "source_id", "floor", "parking", "elevator", "ac", "mamad", "images", flags=["parking", "elevator", "ac", "mamad"], lists=["images"])
+
+
+@query("feed_descriptions", """
+SELECT c_custkey::VARCHAR AS source_id,
+  CASE WHEN c_custkey % 5 <> 0 THEN c_name || ' פינתי ' || (c_custkey % 500 + 100) || ' מטר' ELSE 'old' END AS catalog,
+  CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 500 + 100 ELSE 7 END::INTEGER AS catalog_lot, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 9 ELSE 1 END::INTEGER AS catalog_floor,
+  'חניה' AS catalog_tags, '/g' || c_custkey || '.jpg' AS catalog_images, 0 AS catalog_elevator,
+  c_name || ' על מגרש ' || (c_custkey % 500 + 100) || ' מטר' AS article, 7 AS article_lot, 'מרפסת' AS article_tags, '/s' || c_custkey || '.jpg' AS article_images, 1 AS article_balcony,
+  'old' AS table_text FROM customer
+""")
+def feed_descriptions(spark, folder):
+    """Catalog and article feeds read their description nodes, not the menu; the table feed fills only what is empty."""
+    from hearthline.sources.details import merge_details
+    from hearthline.sources.feeds import builtin_feeds
+
+    pages = bronze.described_html(spark, folder)
+    have = pages.select(
+        "source", "source_id", F.lit("old").alias("description"), F.lit(7).alias("lot_sqm"), F.lit(1).alias("floor"),
+        F.array().cast("array<string>").alias("tags"), F.array().cast("array<string>").alias("images"),
+        F.lit(False).alias("elevator"), F.lit(False).alias("balcony"))
+    feeds = builtin_feeds(2026)
+    merged = lambda name: merge_details(have, feeds[name].details(pages), feeds[name].detail_rules)
+    one = lambda n: F.array_join(n, ",")
+    catalog = merged("catalog_cards").select(
+        "source_id", c("description").alias("catalog"), c("lot_sqm").alias("catalog_lot"), c("floor").alias("catalog_floor"),
+        one("tags").alias("catalog_tags"), one("images").alias("catalog_images"), c("elevator").cast("int").alias("catalog_elevator"))
+    article = merged("article_cards").select(
+        "source_id", c("description").alias("article"), c("lot_sqm").alias("article_lot"), one("tags").alias("article_tags"),
+        one("images").alias("article_images"), c("balcony").cast("int").alias("article_balcony"))
+    table = merged("table_cards").select("source_id", c("description").alias("table_text"))
+    return catalog.join(article, "source_id").join(table, "source_id")

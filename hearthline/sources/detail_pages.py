@@ -150,3 +150,70 @@ def labelled_details(pages: DataFrame, as_of_year: int) -> DataFrame:
         F.when(year.between(1900, 2100), year).alias("year_built"), *[_yes(f).alias(k) for k, f in flags.items()],
         F.filter(features, lambda t: t != "").alias("tags"),
     )
+
+
+# fixed values: where the catalog feed's pages hold description, tags, floor and pictures
+CATALOG_NODES = {"description": "rich-text-block-2", "tags": "tags-wrapper", "tag": "greentags", "hidden": "w-condition-invisible",
+                 "floors": ("floor-str", "floor-number"), "gallery": "collection-small-imegs-item-5"}
+
+
+def catalog_details(pages: DataFrame, as_of_year: int) -> DataFrame:
+    """Description node with plot, garden and year; visible tags with their flags; floor node; gallery pictures.
+
+    A page without a description node says nothing about description, plot, garden and year.
+    """
+    n, at = "nodes", CATALOG_NODES
+    page = _whole_page(pages).withColumns({
+        "_text": tx.blank_to_null(F.trim(html.text_of(html.elements(n, None, at["description"])))),
+        "_tags": F.transform(
+            F.filter(html.inside(html.elements(n, None, at["tag"]), F.slice(html.elements(n, None, at["tags"]), 1, 1)),
+                     lambda x: ~F.array_contains(x["classes"], at["hidden"])),
+            lambda x: F.trim(x["text"])),
+    })
+    flags = tx.keyword_flags(F.array_join("_tags", " "))
+    style = lambda a: F.coalesce(F.try_element_at(a["attrs"], F.lit("style")), F.lit(""))
+    pictures = F.transform(html.inside(html.elements(n, "a", attr="style", like="background-image"), html.elements(n, None, at["gallery"])),
+                           lambda a: tx.group_of(style(a), r"url\(\"?([^\"')]+)\"?\)"))
+    floors = [html.first(html.elements(n, None, cls))["text"] for cls in at["floors"]]
+    return page.select(
+        "source", "source_id", F.col("_text").alias("description"), mn.lot_area_loose(F.col("_text")).alias("lot_sqm"),
+        mn.garden_area(F.col("_text")).alias("garden_sqm"), mn.year_built(F.col("_text"), as_of_year).alias("year_built"),
+        F.filter("_tags", lambda t: t != "").alias("tags"), *[_yes(f).alias(k) for k, f in flags.items()],
+        tx.first_int(F.coalesce(*floors)).cast("int").alias("floor"), F.array_compact(pictures).alias("images"),
+    )
+
+
+# fixed values: where the article feed's pages hold description, features and pictures
+ARTICLE_NODES = {"described": "^9ce8f", "text": "elementor-widget-text-editor", "box": "elementor-widget-container",
+                 "features": "^73430878$", "feature": "elementor-heading-title", "gallery": "easy-image-gallery", "slide": "swiper-slide"}
+#: A description is longer than this, and no error page.
+SHORTEST, ERROR = 20, "403"
+
+
+def article_details(pages: DataFrame, as_of_year: int) -> DataFrame:
+    """The first description node with a real text, with plot, garden and year; feature headings with their flags; pictures.
+
+    Nodes marked as the description come before other text nodes. A page without one says nothing about description, plot,
+    garden and year.
+    """
+    n, at = "nodes", ARTICLE_NODES
+    boxes = html.elements(n, None, at["box"])
+    told = F.concat(html.inside(boxes, html.elements(n, None, attr="data-id", like=at["described"])),
+                    html.inside(boxes, html.elements(n, None, at["text"])))
+    real = F.filter(F.transform(told, lambda x: F.trim(x["text"])), lambda t: (F.length(t) > SHORTEST) & ~t.contains(ERROR))
+    page = _whole_page(pages).withColumns({
+        "_text": F.get(real, F.lit(0)),
+        "_tags": F.transform(html.inside(html.elements(n, "h5", at["feature"]), html.elements(n, "section", attr="data-id", like=at["features"])),
+                             lambda x: F.trim(x["text"])),
+    })
+    flags = tx.keyword_flags(F.array_join("_tags", " "))
+    value = lambda x, name: F.try_element_at(x["attrs"], F.lit(name))
+    linked = F.transform(html.inside(html.elements(n, "a", attr="data-fancybox"), html.elements(n, "ul", at["gallery"])), lambda a: value(a, "href"))
+    slides = F.transform(html.inside(html.elements(n, "img", attr="src"), html.elements(n, None, at["slide"])), lambda i: value(i, "src"))
+    pictures = F.concat(linked, F.filter(slides, lambda x: ~x.endswith(".svg")))
+    return page.select(
+        "source", "source_id", F.col("_text").alias("description"), mn.lot_area_loose(F.col("_text"), mn.LOT_ARTICLE).alias("lot_sqm"),
+        mn.garden_area(F.col("_text")).alias("garden_sqm"), mn.year_built(F.col("_text"), as_of_year).alias("year_built"),
+        F.filter("_tags", lambda t: t != "").alias("tags"), *[_yes(f).alias(k) for k, f in flags.items()],
+        F.filter(F.array_compact(pictures), lambda x: x != "").alias("images"),
+    )

@@ -30,14 +30,14 @@ def builtin_feeds(as_of_year: int, base: str = "https://board.example") -> dict[
         FeedSpec("icon_cards", card(html.icon_cards, "icon_cards"), partial(dp.icon_details, **year), FEED_RULES["cards"],
                  detail_rules=merge_rules(floor="overwrite", description="overwrite")),
         FeedSpec("table_cards", card(html.table_cards, "table_cards"), partial(dp.text_details, **year), FEED_RULES["cards"],
-                 always_enrich=True),
-        FeedSpec("catalog_cards", card(html.catalog_cards, "catalog_cards"), partial(dp.text_details, **year), FEED_RULES["catalog"],
-                 always_enrich=True),
+                 always_enrich=True, detail_rules=merge_rules(description="fill_blank")),
+        FeedSpec("catalog_cards", card(html.catalog_cards, "catalog_cards"), partial(dp.catalog_details, **year), FEED_RULES["catalog"],
+                 always_enrich=True, detail_rules=merge_rules(description="overwrite", lot_sqm="overwrite", floor="overwrite")),
         FeedSpec("amenity_cards", card(html.amenity_cards, "amenity_cards"), partial(dp.labelled_details, **year), FEED_RULES["catalog"],
                  always_enrich=True, detail_rules=merge_rules(
                      sqm="overwrite", sqm_build="overwrite", garden_sqm="overwrite", units_count="overwrite")),
-        FeedSpec("article_cards", card(html.article_cards, "article_cards"), partial(dp.text_details, **year), FEED_RULES["catalog"],
-                 always_enrich=True),
+        FeedSpec("article_cards", card(html.article_cards, "article_cards"), partial(dp.article_details, **year), FEED_RULES["catalog"],
+                 always_enrich=True, detail_rules=merge_rules(description="overwrite")),
     )}
 
 

@@ -261,3 +261,25 @@ def test_pages_without_a_root_tag_are_kept(spark):
     assert set(rows) == {"a", "b", "c"} and len(rows["a"].description) > 3000 and "מעלית" in rows["b"].description
     plan = dp.text_details(pages, 2026)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_description_nodes_of_the_feeds(spark):
+    from hearthline.sources import detail_pages as dp
+    from hearthline.sources.details import merged_value
+
+    long = "בית על מגרש 450 מטר ועוד גינה 80 מ\"ר"
+    rows = [(1, "s", "a", f'<nav>מעלית</nav><div class="rich-text-block-2">{long}</div><div class="rich-text-block-2">second</div>'),
+            (2, "s", "b", '<div data-id="9ce8f11"><div class="elementor-widget-container">error 403 on this very page</div></div>'
+                          f'<div class="elementor-widget-text-editor"><p class="elementor-widget-container">{long}</p></div>'),
+            (3, "s", "c", "<nav>מעלית</nav>"), (4, "s", "d", ""), (5, "s", "e", None)]
+    pages = spark.createDataFrame(rows, "page_id long, source string, source_id string, html string")
+    catalog = {r.source_id: r for r in dp.catalog_details(pages, 2026).collect()}
+    assert (catalog["a"].description, catalog["a"].lot_sqm, catalog["a"].garden_sqm, catalog["a"].elevator) == (long, 450, 80, None)
+    article = {r.source_id: r for r in dp.article_details(pages, 2026).collect()}
+    assert (article["b"].description, article["b"].lot_sqm) == (long, 450)
+    assert set(catalog) == set(article) == set("abcde")
+    for key in "cde":
+        assert catalog[key].description is None and article[key].description is None and catalog[key].images == [] and article[key].tags == []
+    got = spark.sql("SELECT '' AS h, 'x' AS f UNION ALL SELECT 'y', 'x' UNION ALL SELECT NULL, NULL UNION ALL SELECT '', NULL").select(
+        merged_value(F.col("h"), F.col("f"), "fill_blank").alias("v"))
+    assert sorted((r.v for r in got.collect()), key=str) == ["", None, "x", "y"]
