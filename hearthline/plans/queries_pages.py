@@ -176,11 +176,13 @@ SELECT c_custkey::VARCHAR AS source_id,
   CASE WHEN c_custkey % 5 <> 0 THEN c_name || ' פינתי ' || (c_custkey % 500 + 100) || ' מטר' ELSE 'old' END AS catalog,
   CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 500 + 100 ELSE 7 END::INTEGER AS catalog_lot, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 9 ELSE 1 END::INTEGER AS catalog_floor,
   'חניה' AS catalog_tags, '/g' || c_custkey || '.jpg' AS catalog_images, 0 AS catalog_elevator,
-  c_name || ' על מגרש ' || (c_custkey % 500 + 100) || ' מטר' AS article, 7 AS article_lot, 'מרפסת' AS article_tags, '/s' || c_custkey || '.jpg' AS article_images, 1 AS article_balcony,
-  'old' AS table_text FROM customer
+  CASE WHEN contains(told, '403') THEN 'old' ELSE told END AS article, 7 AS article_lot, 'מרפסת' AS article_tags, '/s' || c_custkey || '.jpg' AS article_images, 1 AS article_balcony,
+  'old' AS table_text FROM (SELECT *, c_name || ' על מגרש ' || (c_custkey % 500 + 100) || ' מטר' AS told FROM customer)
 """)
 def feed_descriptions(spark, folder):
-    """Catalog and article feeds read their description nodes, not the menu; the table feed fills only what is empty."""
+    """Catalog and article feeds read their description nodes, not the menu; the table feed fills only what is empty.
+
+    Article texts with the error number are no descriptions, so customers and sizes of that number keep the old one."""
     from hearthline.sources.details import merge_details
     from hearthline.sources.feeds import builtin_feeds
 
