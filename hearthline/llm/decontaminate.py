@@ -25,16 +25,17 @@ BLOCK = 2
 PART_BYTES = 64 << 20
 
 #: Names of the result's own columns.
-RESULTS = {"n_words", "n_hit", "n_items", "items_sha256", "contaminated"}
+RESULT_ORDER = ("n_words", "n_hit", "n_items", "items_sha256")
+RESULTS = {*RESULT_ORDER, "contaminated"}
 
-Strings = list[tuple[tuple[bytes, ...], int]]
+Strings = list[tuple[tuple[bytes, ...], str]]
 
 
 class SearchTable:
     """Shift table and suffix buckets of the strings of each length."""
 
     def __init__(self, strings: Strings):
-        by_length: dict[int, dict[tuple, set[int]]] = defaultdict(lambda: defaultdict(set))
+        by_length: dict[int, dict[tuple, set[str]]] = defaultdict(lambda: defaultdict(set))
         for words, item in strings:
             by_length[len(words)][words].add(item)
         self.tables = []
@@ -49,10 +50,10 @@ class SearchTable:
                 buckets[words[-block:]][words[:block]].append((words, frozenset(items)))
             self.tables.append((m, block, shift, {k: dict(v) for k, v in buckets.items()}))
 
-    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans of all occurrences, and the items that occur."""
         spans: list[tuple[int, int]] = []
-        items: set[int] = set()
+        items: set[str] = set()
         for m, block, shift, buckets in self.tables:
             far, end, n = m - block + 1, m, len(words)
             while end <= n:
@@ -82,29 +83,55 @@ def _windows_of(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.R
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             found = [b" ".join(w) for w in windows(text.as_py(), window)]
             yield pa.RecordBatch.from_arrays([
-                pa.array([item] * len(found), pa.int64()), pa.array(found, pa.binary()),
+                pa.array([item] * len(found), pa.string()), pa.array(found, pa.binary()),
                 pa.array([int.from_bytes(hashlib.blake2b(w, digest_size=4).digest(), "big") for w in found], pa.int64()),
             ], ["item", "string", "h"])
 
 
-def _search_batches(batches: Iterator[pa.RecordBatch], tables: Iterator) -> Iterator[pa.RecordBatch]:
+def _search_batches(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = [words_of(x.as_py()) for x in batch.column(0)]
-        spans: list[list] = [[] for _ in words]
-        items: list[set] = [set() for _ in words]
-        for table in tables():
-            for k, w in enumerate(words):
-                more, owners = table.search(w)
-                spans[k] += more
-                items[k] |= owners
-        names = [",".join(sorted(map(str, x))) for x in items]
-        yield pa.RecordBatch.from_arrays([
-            *batch.columns[1:],
-            pa.array(map(len, words), pa.int64()),
-            pa.array([covered(s) for s in spans], pa.int64()),
-            pa.array(map(len, items), pa.int64()),
-            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names], pa.string()),
-        ], [*batch.schema.names[1:], "n_words", "n_hit", "n_items", "items_sha256"])
+        found = [table.value.search(w) for w in words]
+        yield _results(batch.columns[1:], batch.schema.names[1:], map(len, words), found)
+
+
+def _results(kept: list, names: list[str], n_words, found: list) -> pa.RecordBatch:
+    """Result columns from the spans and items of each document."""
+    items = [",".join(sorted(x)) for _, x in found]
+    return pa.RecordBatch.from_arrays([
+        *kept,
+        pa.array(n_words, pa.int64()),
+        pa.array([covered(s) for s, _ in found], pa.int64()),
+        pa.array([len(x) for _, x in found], pa.int64()),
+        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in items], pa.string()),
+    ], [*names, "n_words", "n_hit", "n_items", "items_sha256"])
+
+
+def _part_hits(batches: Iterator[pa.RecordBatch], folder: str, part: int) -> Iterator[pa.RecordBatch]:
+    """(row, n_words, starts, ends, items) of the documents with hits in one part; the first part reports all documents.
+
+    The table is built once, for all batches of the task.
+    """
+    table = SearchTable(_read_part(folder, part))
+    for batch in batches:
+        out: list[tuple] = []
+        for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            words = words_of(text.as_py())
+            spans, items = table.search(words)
+            if spans or part == 0:
+                out.append((row, len(words), [a for a, _ in spans], [b for _, b in spans], sorted(items)))
+        columns = zip(*out) if out else [[]] * 5
+        types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(c), t) for c, t in zip(columns, types)], ["row", "n_words", "starts", "ends", "items"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Results from each document's spans and items of all parts."""
+    for batch in batches:
+        row, n_words, *lists = (batch.column(n) for n in ("row", "n_words", "starts", "ends", "items"))
+        found = [(list(zip(a, b)), set(x)) for a, b, x in zip(*(c.to_pylist() for c in lists))]
+        yield _results([row], ["row"], n_words.to_pylist(), found)
 
 
 def _read_part(folder: str, part: int) -> Strings:
@@ -121,41 +148,46 @@ def contamination(
     """Columns ``keep`` of ``docs`` with n_words, n_hit, n_items, items_sha256, contaminated.
 
     n_hit counts document words inside any occurrence of a test string. Null and empty texts have no
-    words and no hits; items without words and items with a null id find nothing. A benchmark up to
-    ``part_bytes`` of strings is one search table; beyond that its strings are dealt into parts by hash
-    and each batch of documents is searched with one part after another, with the same result.
-    Repeated document rows each give a row; an id that repeats in the benchmark counts as one item.
+    words and no hits; items without words and items with a null id find nothing; item ids may be of any
+    type and sort as text. A benchmark up to ``part_bytes`` of strings is one search table; beyond that its
+    strings are dealt into parts by hash. Documents are then written with a row number, each part makes a
+    pass over them with a table built once a task, and only rows with hits leave a pass, to be added up by
+    row; the result is the same. Repeated document rows each give a row; an id that repeats in the
+    benchmark counts as one item.
     """
     spark: SparkSession = docs.sparkSession
     folder = scratch(spark, "strings")
     strings = saved(
-        benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text").cast("binary").alias("text"))
-        .filter("item is not null").mapInArrow(lambda b: _windows_of(b, window), "item long, string binary, h long"),
+        benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
+        .filter("item is not null").mapInArrow(lambda b: _windows_of(b, window), "item string, string binary, h long"),
         "windows",
     )
     size = strings.agg(F.sum(F.length("string") + 64)).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
+    kept = docs.select(keep)
+    data = F.col("text").cast("binary")
+    results = "n_words long, n_hit long, n_items long, items_sha256 string"
     if parts == 1:
         table = spark.sparkContext.broadcast(SearchTable([
             (tuple(bytes(r.string).split(b" ")), r.item) for r in strings.select("item", "string").toLocalIterator()
         ]))
-
-        def tables():
-            yield table.value
-    else:
-        strings.withColumn("part", F.col("h") % parts).repartition(int(parts), "part").write.partitionBy("part").parquet(folder)
-
-        def tables():
-            for part in range(parts):
-                yield SearchTable(_read_part(folder, part))
-
-    kept = docs.select(keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    found = docs.select(F.col("text").cast("binary").alias(free_name(kept, "data")), *keep).mapInArrow(
-        lambda b: _search_batches(b, tables),
-        f"{schema}, n_words long, n_hit long, n_items long, items_sha256 string",
-    )
-    return found.withColumn("contaminated", F.col("n_hit") > 0)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+        found = docs.select(data.alias(free_name(kept, "data")), *keep).mapInArrow(
+            lambda b: _search_batches(b, table), f"{schema}, {results}")
+        return found.withColumn("contaminated", F.col("n_hit") > 0)
+
+    strings.withColumn("part", F.col("h") % parts).repartition(int(parts), "part").write.partitionBy("part").parquet(folder)
+    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), data.alias("data"), F.struct(*keep).alias("kept")), "rows")
+    hits = None
+    for part in range(parts):
+        one = rows.select("row", "data").mapInArrow(
+            lambda b, part=part: _part_hits(b, folder, part),
+            "row long, n_words long, starts array<int>, ends array<int>, items array<string>")
+        hits = one if hits is None else hits.unionByName(one)
+    whole = hits.groupBy("row").agg(
+        F.max("n_words").alias("n_words"), *[F.flatten(F.collect_list(n)).alias(n) for n in ("starts", "ends", "items")])
+    found = whole.mapInArrow(_added, f"row long, {results}")
+    return rows.select("row", "kept").join(found, "row").select("kept.*", *RESULT_ORDER, (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
