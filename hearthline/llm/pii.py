@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hearthline.functions.text import let
 from hearthline.llm.files import free_name, saved
 
 #: Patterns of the base kinds, written so that they never backtrack over a run: a match can only begin
@@ -25,15 +26,18 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     # proposed by the method, decided by the classifier
     "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|named?|signed|contact)\b[.:]?\x20"
-            r"\p{Lu}\p{Ll}{1,20}+(?:\x20\p{Lu}\p{Ll}{1,20}+){0,2}+",
-    "secret": r"(?<![0-9A-Za-z_])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+|AKIA[0-9A-Z]{16}+|gh[pousr]_[0-9A-Za-z]{36,64}+"
-              r"|sk-[0-9A-Za-z]{20,64}+)(?![0-9A-Za-z_])",
+            r"\p{Lu}\p{Ll}\p{L}*+(?:\x20\p{Lu}\p{Ll}\p{L}*+){0,2}+",
+    "secret": r"(?<![0-9A-Za-z_])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}+|gh[pousr]_[0-9A-Za-z]{36,}+"
+              r"|github_pat_[0-9A-Za-z_]{22,}+|(?<!-)sk-(?:(?=[A-Za-z_-]*+[0-9])[0-9A-Za-z_-]{20,}+|[0-9A-Za-z]{20,}+))"
+              r"(?![0-9A-Za-z_])",
 }
 BASE = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Characters before a span in which a context labeler looks for its cue.
 CONTEXT = 40
+#: Code points of a piece of text; a context is cut from two neighbouring pieces, not from the whole text.
+PIECE = 1024
 CUES = {
     "email": r"(?i)e-?mail|contact|write|courriel|correo|kontakt",
     "ip": r"(?i)\bip\b|host|server|address|adresse|addr",
@@ -49,7 +53,7 @@ GAZETTEER = {
     "phone": r"^\+(?:1|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])",
     "name": r"\b(?:Anna|Maria|Peter|John|James|Mary|Robert|Michael|David|Thomas|Paul|Laura|Julia|Jean|Pierre|Marie"
             r"|Claire|Hans|Klaus|Karl|Carlos|Juan|Luis|Ana|Carmen|Jose|José|Smith|Müller|Garcia|García|Martin)\b",
-    "secret": r"^(?:AKIA|gh[pousr]_|sk-)",
+    "secret": r"^(?:AKIA|gh[pousr]_|github_pat_|sk-)",
 }
 ROUNDS = 40
 
@@ -74,24 +78,29 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def running(numbers: Column) -> Column:
+    """Running sums of an array by doubling: each of log2(n) rounds adds to every element the one 2^k places before it."""
+    bits = F.length(F.bin(F.size(numbers).cast("long")))
+    steps = F.transform(F.sequence(F.lit(0), bits - 1), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.aggregate(steps, numbers, lambda sums, step: F.transform(
+        sums, lambda x, i: x + F.coalesce(F.get(sums, i - step), F.lit(0))))
+
+
 def matches(text: Column, pattern: str, needs: Column | None = None) -> Column:
     """Array of (m, s): every match of ``pattern`` and its start in code points.
 
-    Starts are running sums of the lengths of the matches and of the gaps between them.
+    Ends are running sums of the lengths of the matches and of the gaps before them.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.array().cast("array<struct<m:string,s:int>>")
 
     def placed(hits: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
-        start = F.struct(F.lit(0).alias("end"), empty.alias("out"))
-        return F.aggregate(pairs, start, lambda a, p: F.struct(
-            (a["end"] + p["g"] + F.length(p["m"])).alias("end"),
-            F.concat(a["out"], F.array(F.struct(p["m"].alias("m"), (a["end"] + p["g"]).alias("s")))).alias("out"),
-        ), lambda a: a["out"])
-
-    some = F.element_at(F.transform(F.array(found), lambda h: F.when(F.size(h) > 0, placed(h)).otherwise(empty)), 1)
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        steps = F.zip_with(hits, gaps, lambda m, g: F.length(m) + F.length(g))
+        return let(running(steps), lambda ends: F.zip_with(
+            hits, ends, lambda m, e: F.struct(m.alias("m"), (e - F.length(m)).alias("s"))))
+
+    some = let(found, lambda h: F.when(F.size(h) > 0, placed(h)).otherwise(empty))
     return some if needs is None else F.when(needs, some).otherwise(empty)
 
 
@@ -146,15 +155,20 @@ def candidates(text: Column, kind: str) -> Column:
     if kind in BASE:
         hits = F.filter(hits, lambda h: valid(kind, h["m"]))
 
-    def span(h: Column) -> Column:
+    def span(h: Column, pieces: Column) -> Column:
         at = F.greatest(h["s"] - CONTEXT, F.lit(0))
-        before = F.substring(text, at + 1, h["s"] - at)
+        piece = F.floor(at / PIECE).cast("int")
+        near = F.concat(F.get(pieces, piece), F.coalesce(F.get(pieces, piece + 1), F.lit("")))
+        before = F.substring(near, at - piece * PIECE + 1, h["s"] - at)
         return F.struct(
             F.lit(KINDS.index(kind)).alias("k"), h["s"].alias("s"), (h["s"] + F.length(h["m"])).alias("e"),
             code(kind, features(kind, h["m"], before)).alias("f"),
         )
 
-    return F.transform(hits, span)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    none = F.array().cast("array<struct<k:int,s:int,e:int,f:int>>")
+    return let(hits, lambda found: F.when(F.size(found) > 0, let(
+        pieces, lambda cut: F.transform(found, lambda h: span(h, cut)))).otherwise(none))
 
 
 @dataclass

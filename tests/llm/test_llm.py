@@ -5,6 +5,7 @@ import os
 import random
 import re
 import sys
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -311,7 +312,7 @@ def test_token_files_round_trip(spark, docs, hard, empty):
     assert token_files.read_by_key(token_files.write_tokens(empty, VOCABULARY, ["doc_id"])).count() == 0
 
 
-def test_decontamination_in_parts_and_short_items(spark, hard, empty):
+def test_decontamination_in_parts_and_short_items(spark, hard, empty, monkeypatch):
     items = [(1, "a b c d"), (2, "of and thing erre onst the of and thing erre onst the of"), (3, None), (4, ""), (None, "a b"), (5, "E f"), (5, "E f")]
     bench = spark.createDataFrame(items, "item_id long, text string")
 
@@ -329,6 +330,16 @@ def test_decontamination_in_parts_and_short_items(spark, hard, empty):
     frame = hard.filter("length(text) < 250000 or text is null")
     whole, parts = (sorted(map(str, decontaminate.contamination(frame, bench, ["doc_id", "text"], part_bytes=b).collect())) for b in (1 << 20, 100))
     assert whole == parts
+    named = bench.select(F.concat(F.lit("item "), "item_id").alias("item_id"), "text")
+    by_name = {b: sorted(map(str, decontaminate.contamination(frame, named, ["doc_id"], part_bytes=b).collect())) for b in (1 << 20, 100)}
+    assert by_name[100] == by_name[1 << 20]
+    reads = []
+    table = decontaminate.SearchTable([((b"a", b"b"), "1")])
+    monkeypatch.setattr(decontaminate, "_read_part", lambda folder, part: reads.append(part) or [((b"a", b"b"), "1")])
+    batch = decontaminate.pa.RecordBatch.from_arrays([decontaminate.pa.array([1, 2]), decontaminate.pa.array([b"a b c", b"b a"])], ["row", "data"])
+    out = [r for b in decontaminate._part_hits(iter([batch] * 5), "", 1) for r in b.to_pylist()]
+    assert reads == [1] and [r["row"] for r in out] == [1] * 5 and table.search([b"a", b"b", b"c"]) == ([(0, 2)], {"1"})
+    monkeypatch.undo()
     known = {}
     for r in decontaminate.contamination(frame, bench, ["doc_id", "text"]).collect():
         key = r.text
@@ -505,6 +516,32 @@ def test_personal_data(spark, hard, empty, docs):
     assert pii.personal_data(empty, ["doc_id"]).count() == 0
 
 
+def test_secrets_and_names_of_any_length(spark):
+    long_name = "Maximilianalexandrovitschkaya" * 4
+    found = {
+        "token " + "0af3" * 60: "secret:6:246", "key " + "9B" * 80: "secret:4:164", "auth ghp_" + "aB3" * 40: "secret:5:129",
+        "secret sk-proj-" + "a1_B-c" * 20 + "z9": "secret:7:137", "token github_pat_" + "11AB_cd" * 11: "secret:6:94",
+        "key sk-" + "Ab1" * 40: "secret:4:127", f"Dear Dr. Anna {long_name}, hello": f"name:5:{14 + len(long_name)}",
+    }
+    clean = ["we use sk-learn-like-estimators-for-model-selection", "a-sk-" + "sk-" * 5_000, "0af3" * 7 + "-x", "x" + "0af3" * 20, "gh_" + "a" * 50]
+    frame = spark.createDataFrame([(t,) for t in [*found, *clean]], "text string")
+    got = {r.text: r.spans for r in pii.personal_data(frame, ["text"]).collect()}
+    assert got == found | dict.fromkeys(clean, "")
+
+
+def test_personal_data_of_a_very_long_text(spark):
+    """40,000 addresses and 10,000 secrets in one text; contexts and starts across pieces, with signs of two UTF-16 units."""
+    text = "".join(f"😀 write user{i}@mail{i}.example.org é " + (f"token {i:032x} " if i % 4 == 0 else "") for i in range(40_000))
+    started = time.perf_counter()
+    row = pii.personal_data(spark.createDataFrame([(text,)], "text string"), ["text"]).first()
+    took = time.perf_counter() - started
+    spans = [tuple(x.split(":")) for x in row.spans.split(",")]
+    emails = [(m.start(), m.end()) for m in re.finditer(PII["email"], text)]
+    assert [(int(a), int(b)) for k, a, b in spans if k == "email"] == emails and row.n_email == len(emails) == 40_000
+    assert all(re.fullmatch("[0-9a-f]{32}", text[int(a):int(b)]) for k, a, b in spans if k == "secret")
+    assert took < 60, took
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
