@@ -8,13 +8,17 @@
    of equal masks are then compared, and other pairs only where the bound can still match what a
    text has found. Nothing at or above the threshold is missed.
 4. Links point from later to earlier, so they form trees; pointer jumping finds the roots.
+
+Groups of earlier runs are kept as an index (``StoredUnits``): tables bucketed by the keys of the joins, which new
+groups alone probe, so stored groups are neither shuffled nor compared with each other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hearthline.functions import similarity as sim
 from hearthline.functions.text import (
@@ -90,28 +94,37 @@ def _head(text: Column, city: Column, percent: int) -> Column:
     return let(_tokens(city), ordered)
 
 
-def candidates(nodes: DataFrame, percent: int, keep: Sequence[str] = ()) -> DataFrame:
-    """Pairs of distinct texts of a city, columns (city_n, x, y) with x and y structs of ``keep`` and text.
-
-    Each pair that reaches the similarity is among them, once in either order of its texts (x.text > y.text).
-    The join key is a pair of head tokens; cities of every size go the same way. ``nodes``: text, city_n, keep.
-    """
+def head_pairs(nodes: DataFrame, percent: int, keep: Sequence[str] = ()) -> DataFrame:
+    """(city_n, node, head, t1, t2): each text once for every pair of its head tokens."""
     heads = nodes.select("city_n", F.struct("text", *keep).alias("node"), _head(F.col("text"), F.col("city_n"), percent).alias("head"))
     pairs = lambda a: F.flatten(F.transform(
         a, lambda x, i: F.transform(F.slice(a, i + 2, F.size(a)), lambda y: F.struct(x.alias("t1"), y.alias("t2")))
     ))
-    signed = heads.select("city_n", "node", "head", F.inline(let(F.col("head"), pairs)))
-    x = _spread(signed.withColumnsRenamed({"node": "x", "head": "x_head"}), "city_n", "t1", "t2")
-    y = _spread(signed.withColumnsRenamed({"node": "y", "head": "y_head"}), "city_n", "t1", "t2")
+    return heads.select("city_n", "node", "head", F.inline(let(F.col("head"), pairs)))
+
+
+def _meeting(x: DataFrame, y: DataFrame, percent: int, wanted: Column) -> DataFrame:
+    """(city_n, x, y) of two sides of ``head_pairs`` that share two head tokens, each pair of texts once."""
     common = F.array_intersect("x_head", "y_head")
     return (
-        x.join(y, ["city_n", "t1", "t2"])
-        .filter((F.col("x.text") > F.col("y.text")) & sim.length_gate(F.col("x.text"), F.col("y.text"), percent))
-        .filter(let(common, lambda both: (F.get(both, F.lit(0)) == F.col("t1")) & (F.get(both, F.lit(1)) == F.col("t2"))))  # once
+        x.withColumnsRenamed({"node": "x", "head": "x_head"})
+        .join(y.withColumnsRenamed({"node": "y", "head": "y_head"}), ["city_n", "t1", "t2"])
+        .filter(wanted & sim.length_gate(F.col("x.text"), F.col("y.text"), percent))
+        .filter(let(common, lambda both: (F.get(both, F.lit(0)) == F.col("t1")) & (F.get(both, F.lit(1)) == F.col("t2"))))
         .select("city_n", "x", "y")
     )
 
 
+def candidates(nodes: DataFrame, percent: int, keep: Sequence[str] = ()) -> DataFrame:
+    """Pairs of distinct texts of a city, columns (city_n, x, y) with x and y structs of ``keep`` and text.
+
+    Each pair that reaches the similarity is among them, once in either order of its texts (x.text > y.text).
+    The join key is a pair of head tokens; cities of every size go the same way. ``nodes``: text, city_n, keep.
+    """
+    signed = _spread(head_pairs(nodes, percent, keep), "city_n", "t1", "t2")
+    return _meeting(signed, signed, percent, F.col("x.text") > F.col("y.text"))
+
+
 def _spread(df: DataFrame, *keys: str) -> DataFrame:
     """One exchange by key into the session's number of partitions: a join of pairs is far larger than the input
     by which partitions would be coalesced."""
@@ -130,14 +143,24 @@ def _above(a: Column, b: Column, percent: int, bits: Column | None = None) -> Co
         F.filter(F.array(sim.lcs_length(a, b, bits)), lambda lcs: lcs * 200 >= total * percent), lambda lcs: lcs * 2 / total)
 
 
-def _mask_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """(city_n, mask, other, bound): similar masks of a city in both orders; a mask and itself are left out."""
+def _mask_pairs(nodes: DataFrame, percent: int, stored_heads: DataFrame | None = None) -> DataFrame:
+    """(city_n, mask, other, bound): similar masks of a city, from each mask of ``nodes`` to those of nodes and of stored texts.
+
+    A mask and itself are left out.
+    """
     a, b = F.col("x.text"), F.col("y.text")
     masks = nodes.select("city_n", F.col("mask").alias("text")).distinct()
-    found = candidates(masks, percent).filter(sim.levenshtein_gate(a, b, percent)).select(
-        "city_n", a.alias("a"), b.alias("b"), F.explode(_above(a, b, percent)).alias("bound"))
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        return pairs.filter(sim.levenshtein_gate(a, b, percent)).select(
+            "city_n", a.alias("a"), b.alias("b"), F.explode(_above(a, b, percent)).alias("bound"))
+
     both = F.array(F.struct(F.col("a").alias("mask"), F.col("b").alias("other")), F.struct(F.col("b").alias("mask"), F.col("a").alias("other")))
-    return found.select("city_n", "bound", F.inline(both))
+    found = measured(candidates(masks, percent)).select("city_n", "bound", F.inline(both))
+    if stored_heads is None:
+        return found
+    met = measured(_meeting(head_pairs(masks, percent), stored_heads, percent, a != b))
+    return found.unionByName(met.withColumnsRenamed({"a": "mask", "b": "other"})).distinct()
 
 
 def _compared(pairs: DataFrame, percent: int) -> DataFrame:
@@ -148,14 +171,25 @@ def _compared(pairs: DataFrame, percent: int) -> DataFrame:
         F.explode(_above(a, b, percent, F.col("bits"))).alias("similarity"))
 
 
-def _levels(nodes: DataFrame, percent: int, block: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(later texts, earlier texts, pairs of equal masks, pairs of masks) of the two-level join."""
+def _levels(
+    nodes: DataFrame, percent: int, block: Sequence[str], known: StoredUnits | None = None
+) -> tuple[DataFrame, list[DataFrame], DataFrame, DataFrame]:
+    """(later texts, sides of earlier texts, pairs of equal masks, pairs of masks) of the two-level join."""
     cut = nodes.select("id", "text", "seen", *dict.fromkeys(["city_n", *block])).withColumn("mask", _masked(F.col("text")))
     later = cut_lineage(_spread(cut, "id").withColumn("bits", sim.char_masks(F.col("text"))))
-    earlier = later.select(*block, F.col("mask").alias("other"), F.col("id").alias("y_id"), F.col("text").alias("y_text"),
-                           F.col("seen").alias("y_seen"))
-    alike = later.join(earlier.withColumnRenamed("other", "mask").hint("merge"), [*block, "mask"]).filter(F.col("seen") > F.col("y_seen"))
-    return later, earlier, alike, cut_lineage(_mask_pairs(cut, percent))
+    sides = [side.select(*block, F.col("mask").alias("other"), F.col("id").alias("y_id"), F.col("text").alias("y_text"),
+                         F.col("seen").alias("y_seen")) for side in [later] + ([known.texts] if known else [])]
+    alike = _meet(later.withColumn("other", F.col("mask")), sides, block)
+    return later, sides, alike, cut_lineage(_mask_pairs(cut, percent, known.heads if known else None))
+
+
+def _meet(later: DataFrame, sides: list[DataFrame], block: Sequence[str]) -> DataFrame:
+    """Later texts with the earlier ones of every side that have their block and the mask ``other``."""
+    met = None
+    for side in sides:
+        one = later.join(side.hint("merge"), [*block, "other"]).filter(F.col("seen") > F.col("y_seen"))
+        met = one if met is None else met.unionByName(one)
+    return met
 
 
 def similar_pairs(
@@ -166,25 +200,26 @@ def similar_pairs(
     ``nodes``: id, text, city_n, seen (sortable) and the block columns, city_n among them; texts differ within
     a block. ``best_earlier`` is the cheaper way to the best partner of each text.
     """
-    later, earlier, alike, masks = _levels(nodes, percent, block)
-    others = later.join(masks, ["city_n", "mask"]).join(earlier.hint("merge"), [*block, "other"]).filter(F.col("seen") > F.col("y_seen"))
+    later, sides, alike, masks = _levels(nodes, percent, block)
+    others = _meet(later.join(masks, ["city_n", "mask"]), sides, block)
     return _compared(alike, percent).unionByName(_compared(others, percent))
 
 
 def best_earlier(
-    nodes: DataFrame, percent: int = THRESHOLD, block: Sequence[str] = ("city_n",)
+    nodes: DataFrame, percent: int = THRESHOLD, block: Sequence[str] = ("city_n",), known: StoredUnits | None = None
 ) -> DataFrame:
     """(id, parent, similarity): most similar earlier text of each text; the earliest wins ties.
 
     Texts of equal masks are compared first. Another mask is only looked at if its bound is not below what a
     text has found, so a text with a near neighbour in its own street is not compared with other streets.
+    Texts of ``known`` (with a column seen) are partners, too, but look for none.
     """
-    later, earlier, alike, masks = _levels(nodes, percent, block)
+    later, sides, alike, masks = _levels(nodes, percent, block, known)
     near = cut_lineage(_best(_compared(alike, percent)))
     found = near.select("id", F.col("_b.s").alias("least"))
     open_ = later.join(found, "id", "left").join(masks, ["city_n", "mask"]).filter(
         F.col("bound") >= F.coalesce(-F.col("least"), F.lit(0.0)))
-    others = open_.join(earlier.hint("merge"), [*block, "other"]).filter(F.col("seen") > F.col("y_seen"))
+    others = _meet(open_, sides, block)
     return _chosen(near.unionByName(_best(_compared(others, percent))).groupBy("id").agg(F.min("_b").alias("_b")))
 
 
@@ -212,50 +247,125 @@ def roots(links: DataFrame) -> DataFrame:
             return current.withColumnRenamed("parent", "root")
 
 
+@dataclass(frozen=True)
+class StoredUnits:
+    """Groups of earlier runs, laid out for the joins that new groups probe them with.
+
+    ``keys``: exact_id, canonical_id. ``texts``: city_n (rooms_b, sqm_b), mask, text, id; one row for each distinct
+    text of a block. ``heads``: ``head_pairs`` of the distinct masks. The three rules are those of ``resolve``.
+    """
+
+    keys: DataFrame
+    texts: DataFrame
+    heads: DataFrame
+    percent: int = THRESHOLD
+    include_city: bool = True
+    same_buckets: bool = False
+
+    @property
+    def block(self) -> list[str]:
+        return ["city_n", "rooms_b", "sqm_b"] if self.same_buckets else ["city_n"]
+
+
+GROUP_PARTS = ("city_n", "street_n", "number_n", "rooms_b", "sqm_b")
+#: Before the ids of stored groups while links are followed: they are roots, even where a new group has the same id.
+STORED_MARK = "="
+
+
+def _unit_text() -> Column:
+    return F.concat_ws(" ", *[blank_to_null(F.col(n)) for n in ("city_n", "street_n", "number_n")])
+
+
+def stored_units(
+    stored: DataFrame, *, percent: int = THRESHOLD, include_city: bool = True, same_buckets: bool = False
+) -> StoredUnits:
+    """Index of groups (canonical_id, city_n, street_n, number_n, rooms_b, sqm_b); the smallest id of a key or text counts.
+
+    Groups without any address text are found by their key alone.
+    """
+    groups = stored.select("canonical_id", *GROUP_PARTS).withColumns({"exact_id": exact_key(include_city), "text": _unit_text()})
+    block = ["city_n", "rooms_b", "sqm_b"] if same_buckets else ["city_n"]
+    keys = groups.groupBy("exact_id").agg(F.min("canonical_id").alias("canonical_id"))
+    texts = groups.filter(F.col("text") != "").groupBy(*block, _masked(F.col("text")).alias("mask"), "text").agg(
+        F.min("canonical_id").alias("id"))
+    masks = groups.filter(F.col("text") != "").select("city_n", _masked(F.col("text")).alias("text")).distinct()
+    return StoredUnits(keys, texts, head_pairs(masks, percent), percent, include_city, same_buckets)
+
+
+def _unit_tables(name: str, percent: int, include_city: bool, same_buckets: bool) -> tuple[str, str, str]:
+    rules = f"{percent}{'_city' if include_city else ''}{'_sized' if same_buckets else ''}"
+    return f"{name}_keys_{rules}", f"{name}_texts_{rules}", f"{name}_heads_{rules}"
+
+
+def save_units(units: StoredUnits, name: str, buckets: int = 64, mode: str = "errorifexists") -> StoredUnits:
+    """Write the index as bucketed tables, whose names carry the rules, and return it read from them."""
+    tables = _unit_tables(name, units.percent, units.include_city, units.same_buckets)
+    layout = (units.keys, ["exact_id"]), (units.texts, [*units.block, "mask"]), (units.heads, ["city_n", "t1", "t2"])
+    for table, (frame, by) in zip(tables, layout):
+        frame.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).mode(mode).saveAsTable(table)
+    return load_units(units.keys.sparkSession, name, percent=units.percent, include_city=units.include_city, same_buckets=units.same_buckets)
+
+
+def load_units(
+    spark: SparkSession, name: str, *, percent: int = THRESHOLD, include_city: bool = True, same_buckets: bool = False
+) -> StoredUnits:
+    """A saved index; one that was saved under other rules is not found."""
+    frames = map(spark.table, _unit_tables(name, percent, include_city, same_buckets))
+    return StoredUnits(*frames, percent, include_city, same_buckets)
+
+
+def extend_units(units: StoredUnits, name: str, resolved: DataFrame, buckets: int = 64) -> StoredUnits:
+    """Append the groups of ``resolved`` (rows of ``resolve``) that a saved index lacks; files of the old ones stay."""
+    groups = resolved.select("canonical_id", *GROUP_PARTS).distinct()
+    new = stored_units(groups, percent=units.percent, include_city=units.include_city, same_buckets=units.same_buckets)
+    mask = F.col("node.text")
+    lacking = StoredUnits(
+        cut_lineage(new.keys.join(units.keys, "exact_id", "left_anti")),
+        cut_lineage(new.texts.join(units.texts, [*units.block, "mask", "text"], "left_anti")),
+        cut_lineage(new.heads.withColumn("_m", mask).join(
+            units.heads.select("city_n", "t1", "t2", mask.alias("_m")), ["city_n", "t1", "t2", "_m"], "left_anti").drop("_m")),
+        units.percent, units.include_city, units.same_buckets)
+    return save_units(lacking, name, buckets, "append")
+
+
 def resolve(
-    listings: DataFrame, stored: DataFrame | None = None, *, percent: int = THRESHOLD,
+    listings: DataFrame, stored: DataFrame | StoredUnits | None = None, *, percent: int = THRESHOLD,
     include_city: bool = True, same_buckets: bool = False,
 ) -> DataFrame:
     """Canonical id for every listing. ``stored`` holds the groups known before: canonical_id,
-    city_n, street_n, number_n, rooms_b, sqm_b; they precede every batch group and keep their id."""
+    city_n, street_n, number_n, rooms_b, sqm_b, or an index of them made with the same rules; they precede every
+    batch group and keep their id. Only new texts look for partners."""
+    rules = {"percent": percent, "include_city": include_city, "same_buckets": same_buckets}
+    known = stored_units(stored, **rules) if isinstance(stored, DataFrame) else stored
+    if known is not None and {k: getattr(known, k) for k in rules} != rules:
+        raise ValueError("the index of stored groups was made with other rules")
+    block = ["city_n", "rooms_b", "sqm_b"] if same_buckets else ["city_n"]
     keyed = key_parts(listings).withColumn("exact_id", exact_key(include_city))
-    batch = representatives(keyed.withColumn("canonical_id", F.col("exact_id"))).withColumn(
-        "known", F.lit(1)
-    )
-    parts = ["canonical_id", "city_n", "street_n", "number_n", "rooms_b", "sqm_b"]
+    batch = representatives(keyed.withColumn("canonical_id", F.col("exact_id")))
     rank = F.struct(F.lit(1).alias("order"), F.struct(
         F.col("seen.first_seen_at").alias("a"), F.col("seen.source").alias("b"), F.col("seen.source_id").alias("c")))
-    groups = batch.select(*parts, rank.alias("seen"), F.col("canonical_id").alias("exact_id"))
-    if stored is not None:
-        old_rank = F.struct(F.lit(0).alias("order"), F.struct(
-            F.lit(None).cast(listings.schema["first_seen_at"].dataType).alias("a"), F.lit("").alias("b"), F.col("canonical_id").alias("c")))
-        old = stored.select(*parts).withColumn("exact_id", exact_key(include_city))
-        named = old.groupBy("exact_id").agg(F.min("canonical_id").alias("_stored_id"))
-        groups = (
-            groups.join(named, "exact_id", "left")
-            .filter(F.col("_stored_id").isNull()).drop("_stored_id")
-            .unionByName(old.select(*parts, old_rank.alias("seen"), F.lit(None).cast("string").alias("exact_id")))
-        )
-    block = ["city_n", "rooms_b", "sqm_b"] if same_buckets else ["city_n"]
-    texted = groups.withColumn("text", F.concat_ws(" ", *[blank_to_null(F.col(n)) for n in ("city_n", "street_n", "number_n")]))
-    texted = cut_lineage(texted)
+    groups = batch.select("canonical_id", *GROUP_PARTS, rank.alias("seen"), F.col("canonical_id").alias("exact_id"))
+    if known is not None:
+        named = cut_lineage(groups.join(known.keys.select("exact_id", F.col("canonical_id").alias("_stored_id")), "exact_id", "left"))
+        groups = named.filter(F.col("_stored_id").isNull()).drop("_stored_id")
+        named = named.filter(F.col("_stored_id").isNotNull())
+        first = F.struct(F.lit(0).alias("order"), F.struct(
+            F.lit(None).cast(listings.schema["first_seen_at"].dataType).alias("a"), F.lit("").alias("b"), F.col("id").alias("c")))
+        known = replace(known, texts=known.texts.withColumn("seen", first).withColumn("id", F.concat(F.lit(STORED_MARK), "id")))
+    texted = cut_lineage(groups.withColumn("text", _unit_text()))
     node_key = [*block, "text"]
-    nodes = texted.groupBy(*node_key).agg(F.min(F.struct("seen", "canonical_id")).alias("_f")).select(
+    nodes = cut_lineage(texted.groupBy(*node_key).agg(F.min(F.struct("seen", "canonical_id")).alias("_f")).select(
         *node_key, F.col("_f.seen").alias("seen"), F.col("_f.canonical_id").alias("id")
-    ).filter(F.col("text") != "")
-    nodes = nodes.withColumn("is_stored", F.col("seen.order") == 0)
-    links = best_earlier(cut_lineage(nodes), percent, block).join(
-        nodes.filter(~F.col("is_stored")).select("id"), "id", "left_semi"
-    )
-    top = roots(links)
+    ).filter(F.col("text") != ""))
+    top = roots(best_earlier(nodes, percent, block, known))
     # group -> node of its text -> root of the node; stored groups keep their own id
     of_node = nodes.select(*node_key, F.col("id").alias("_node")).join(
-        top.select(F.col("id").alias("_node"), "root"), "_node", "left"
+        top.select(F.col("id").alias("_node"), F.ltrim("root", F.lit(STORED_MARK)).alias("root")), "_node", "left"
     )
     final = texted.join(of_node, node_key, "left").select(
         "exact_id", F.coalesce("root", "_node", "canonical_id").alias("canonical_id")
-    ).filter(F.col("exact_id").isNotNull())
-    if stored is not None:
+    )
+    if known is not None:
         final = final.unionByName(named.select("exact_id", F.col("_stored_id").alias("canonical_id")))
     return keyed.drop("canonical_id").join(final, "exact_id", "left")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hearthline.functions import similarity as sim
@@ -192,3 +194,34 @@ def resolve_units(spark, folder):
     """The whole resolution: exact keys, similar addresses of equal size, roots of the links."""
     rows = rs.resolve(rows_with_url(spark, folder), same_buckets=True)
     return rows.select("source", "source_id", "exact_id", "canonical_id")
+
+
+RESOLVE_STORED_SQL = KEYED_SQL + f"""
+, stored AS (SELECT DISTINCT canonical_id FROM keyed WHERE part_id % 2 = 0),
+  units AS (SELECT canonical_id AS id, any_value(city) AS city, any_value(rooms) AS rooms, any_value(sqm // 10) AS area,
+    any_value(city || ' ' || street || ' ' || house_number) AS text, canonical_id IN (FROM stored) AS old,
+    CASE WHEN canonical_id IN (FROM stored) THEN (0, NULL::TIMESTAMP, '', canonical_id)
+      ELSE (1, min((observed_at, source, source_id))[1]::TIMESTAMP, min((observed_at, source, source_id))[2], min((observed_at, source, source_id))[3]) END AS seen
+    FROM keyed GROUP BY canonical_id),
+  close AS (SELECT x.id, y.id AS parent, y.seen AS pseen, x.text AS xt, y.text AS yt FROM units x JOIN units y
+    ON x.city = y.city AND x.rooms = y.rooms AND x.area = y.area AND NOT x.old AND (y.old OR x.seen > y.seen)
+    WHERE least(length(x.text), length(y.text)) * 200 >= (length(x.text) + length(y.text)) * 85
+      AND levenshtein(x.text, y.text) <= (length(x.text) + length(y.text)) * 15 // 100),
+  measured AS MATERIALIZED (SELECT id, parent, pseen, length(x.text) + length(y.text) AS total, {LCS_SQL} AS lcs
+    FROM (SELECT *, {{'text': xt}} AS x, {{'text': yt}} AS y FROM close)),
+  links AS (SELECT id, arg_min(parent, (-lcs * 2.0 / total, pseen, parent)) AS parent FROM measured WHERE lcs * 200 >= total * 85 GROUP BY id),
+  walk AS (WITH RECURSIVE w AS (SELECT id, parent FROM links UNION ALL SELECT w.id, l.parent FROM w JOIN links l ON w.parent = l.id) SELECT * FROM w),
+  tops AS (SELECT id, parent AS root FROM walk WHERE parent NOT IN (SELECT id FROM links))
+SELECT source, source_id, canonical_id AS exact_id, coalesce(root, canonical_id) AS canonical_id
+FROM keyed LEFT JOIN tops ON canonical_id = id WHERE part_id % 2 = 1
+"""
+
+
+@query("resolve_stored", RESOLVE_STORED_SQL)
+def resolve_stored(spark, folder):
+    """Listings of odd parts resolved against a saved index of the groups of even parts; both halves make up the table."""
+    rows = rows_with_url(spark, folder)
+    even = rs.exact_groups(rows.filter(c("part_id") % 2 == 0)).select("canonical_id", *rs.GROUP_PARTS).distinct()
+    index = rs.save_units(rs.stored_units(even, same_buckets=True), f"units_{uuid.uuid4().hex}", 8)
+    found = rs.resolve(rows.filter(c("part_id") % 2 == 1), index, same_buckets=True)
+    return found.select("source", "source_id", "exact_id", "canonical_id")

@@ -325,6 +325,61 @@ def test_stored_groups_come_first(spark):
     assert got[("a", "1")] == got[("a", "2")] == "CAN-old" and got[("a", "3")] != "CAN-old"
 
 
+STORED = "canonical_id string, city_n string, street_n string, number_n string, rooms_b string, sqm_b string"
+
+
+def test_growing_index_equals_plain_groups(spark):
+    """Batches against a growing index get the ids that they get against the plain groups of the batches before."""
+    rng = random.Random(8)
+    streets = ["אלופי צהל", "אלופי צה", "שדרות ירושלים", "שדרות ירושלמי", "הרב קוק", "הרב קוקי", ""]
+    rows = [unit("a", str(i), f"{rng.choice(streets)} {rng.randrange(1, 40)}".strip(), i) | {"rooms": float(rng.randrange(3, 5))} for i in range(150)]
+    name = f"units_{random.randrange(1 << 40)}"
+    index = rs.save_units(rs.stored_units(spark.createDataFrame([], STORED), same_buckets=True), name, 4)
+    columns = ["source", "source_id", "city", "street", "house_number", "address", "rooms", "sqm", "price", "first_seen_at"]
+    kinds = "source string, source_id string, city string, street string, house_number string, address string, rooms double, sqm int, price bigint, first_seen_at bigint"
+    got, known = {}, {}
+    for start in range(0, 150, 50):
+        batch = spark.createDataFrame([tuple(r.get(n, "") for n in columns) for r in rows[start:start + 50]], kinds)
+        groups = sorted(known.items())
+        plain = spark.createDataFrame([(i, *parts) for parts, i in groups], STORED) if groups else None
+        found = rs.resolve(batch, index, same_buckets=True)
+        part = {(r.source, r.source_id): r.canonical_id for r in found.collect()}
+        assert part == {(r.source, r.source_id): r.canonical_id for r in rs.resolve(batch, plain, same_buckets=True).collect()}
+        for r in found.collect():
+            known.setdefault(tuple(r[p] for p in rs.GROUP_PARTS), r.canonical_id)
+        index = rs.extend_units(index, name, found, 4)
+        got |= part
+    assert index.keys.count() == index.keys.select("exact_id").distinct().count() == len(known)
+    assert index.texts.count() == index.texts.select(*index.block, "text").distinct().count()
+    assert index.heads.count() == index.heads.select("city_n", "t1", "t2", "node").distinct().count()
+    text = lambda p: " ".join(x for x in p[:3] if x)
+    close = [(a, b) for a in known for b in known if a < b and a[3:] == b[3:] and text(a) == text(b)]
+    assert all(known[a] == known[b] for a, b in close)
+    with pytest.raises(ValueError):
+        rs.resolve(batch, index, percent=90, same_buckets=True)
+
+
+def test_stored_texts_are_not_shuffled_nor_compared_with_each_other(spark):
+    stored = spark.createDataFrame([(f"CAN-{i}", "חולון", "הרב קוק", str(i), "4.0", "100") for i in range(60)], STORED)
+    name = f"units_{random.randrange(1 << 40)}"
+    index = rs.save_units(rs.stored_units(stored), name, 8)
+    new = spark.createDataFrame([("n", "חולון שדרות ירושלים 7", "חולון", 5)], "id string, text string, city_n string, seen bigint").withColumn(
+        "mask", rs._masked(F.col("text")))
+    assert rs._mask_pairs(new, 50, index.heads).select("mask").distinct().count() <= 1
+    plan = rs._meeting(rs.head_pairs(new, 85), index.heads.hint("merge"), 85, F.lit(True))._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_new_group_with_the_id_of_a_stored_one_ends(spark):
+    """A stored group keeps its id although its key has changed; a new group of the old key gets the same id and no loop."""
+    rows = [unit("a", "1", "אלופי צהל 12", 1), unit("a", "2", "אלופי צהל 13", 2)]
+    own = resolve_rows(spark, rows[:1])[("a", "1")]
+    stored = spark.createDataFrame([(own, "חולון", "אלופי צהלי", "12", "4.0", "100")], STORED)
+    got = resolve_rows(spark, rows, stored=stored)
+    assert got == {("a", "1"): own, ("a", "2"): own}
+
+
 # ---- tracker ----------------------------------------------------------------
 
 def tracker_step(spark, fresh, prior, day, active=True):
