@@ -10,6 +10,7 @@ from hearthline import lexicons as lx
 from hearthline.functions.dates import age_days
 from hearthline.functions.numeric import effective_values
 from hearthline.functions.text import cell_norm, cell_number, coerce_cell_back, merge_address, one_line
+from hearthline.operators.ordered import write_ordered
 from hearthline.operators.windows import first_per_key
 from hearthline.schema import LISTING_KEY
 
@@ -170,6 +171,9 @@ def split_archive(df: DataFrame, archive_cities: Sequence[str]) -> DataFrame:
     return df.withColumn("is_archive", F.coalesce(F.col("city").isin(list(archive_cities)), F.lit(False)))
 
 
-def write_tracker(df: DataFrame, path: str, archive_cities: Sequence[str]) -> None:
-    """One folder for the main table, one for the archive."""
-    split_archive(df, archive_cities).write.mode("overwrite").partitionBy("is_archive").parquet(path)
+def write_tracker(
+    df: DataFrame, path: str, archive_cities: Sequence[str], order: Sequence[Column | str] | None = None
+) -> None:
+    """One folder for the main table, one for the archive, rows in display order; ``read_positions`` numbers them."""
+    rows = [*tracker_order(), *LISTING_KEY] if order is None else order
+    write_ordered(split_archive(df, archive_cities), path, rows, ["is_archive"])

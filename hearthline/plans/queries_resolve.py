@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hearthline.functions import similarity as sim
 from hearthline.operators import resolve as rs, state as st
+from hearthline.operators.ordered import positions
 from hearthline.plans.registry import query
 from hearthline.session import cut_lineage
 from hearthline.sources.tables import listings, observations
@@ -75,6 +76,16 @@ def dup_groups(spark, folder):
     return rs.duplicate_groups(grouped).withColumn("sources", F.array_join("sources", ","))
 
 
+@query("dup_groups_in_order", KEYED_SQL + f"""
+SELECT canonical_id, price_spread, row_number() OVER (ORDER BY price_spread DESC, canonical_id) - 1 AS position
+FROM ({SUMMARY_SQL} HAVING count(*) > 1)
+""")
+def dup_groups_in_order(spark, folder):
+    """O2: groups with several members, each with its place in the list."""
+    grouped = rs.duplicate_groups(rs.exact_groups(rows_with_url(spark, folder))).select("canonical_id", "price_spread")
+    return positions(grouped, [F.desc("price_spread"), "canonical_id"])
+
+
 @query("multi_source_groups", KEYED_SQL + """
 SELECT count(*) AS groups, sum(n)::BIGINT AS members FROM (SELECT count(*) AS n FROM keyed GROUP BY canonical_id HAVING count(DISTINCT source) > 1)
 """)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hearthline import lexicons as lx
 from hearthline.functions import numeric as num
 from hearthline.operators import scoring as sc
+from hearthline.operators.ordered import positions
 from hearthline.plans.registry import half_even_sql, query
 from hearthline.sources.tables import listings, texts
 
@@ -162,3 +163,15 @@ def top_scores(spark, folder):
     return rows.orderBy(
         F.desc_nulls_last("score"), F.desc("observed_at"), "source", "source_id"
     ).limit(100).select("source", "source_id", "score")
+
+
+@query("scores_in_order", SCORE_SQL + f"""
+SELECT source, source_id, score, row_number() OVER (ORDER BY score DESC NULLS LAST, observed_at DESC, source, source_id) - 1 AS position
+FROM (SELECT source, source_id, observed_at, greatest(1.0::DOUBLE, least(10.0::DOUBLE, {TOTAL_SQL})) AS score FROM parts)
+""")
+def scores_in_order(spark, folder):
+    """O1: all scores with their place in the list, best and newest first."""
+    rows = sc.score(scored_rows(spark, folder), F.lit(AS_OF).cast("date"), CONFIG)
+    placed = positions(rows.select("source", "source_id", "score", "observed_at"),
+                       [F.desc_nulls_last("score"), F.desc("observed_at"), "source", "source_id"])
+    return placed.drop("observed_at")

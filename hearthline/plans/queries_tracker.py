@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hearthline.operators import lifecycle as lc
+from hearthline.operators.ordered import read_positions
 from hearthline.plans.queries_state import HALVES_SQL, NOW, SPLIT, halves
 from hearthline.plans.registry import query
+from hearthline.session import checkpoint_dir
 
 c = F.col
 TRACKED = {"score": "double", "city": "string", "rooms_eff": "double", "floor": "int", "price": "bigint", "comments": "string"}
@@ -170,6 +174,21 @@ def tracker_view(spark, folder):
     )
 
 
+@query("tracker_written", TRACK_SQL + f"""
+, v AS (SELECT source, source_id, city IN ('NATION_1', 'NATION_2') AS is_archive, first_listed, m_score::DOUBLE AS score,
+    CASE WHEN vanished THEN DATE '{SPLIT}' WHEN NOT came_back AND known AND o_line = 5 THEN DATE '1998-01-01' END AS gone FROM flags)
+SELECT source, source_id, is_archive::INTEGER AS is_archive, row_number() OVER (PARTITION BY is_archive
+  ORDER BY gone IS NOT NULL, coalesce(gone, first_listed) DESC NULLS LAST,
+    CASE WHEN gone IS NULL THEN coalesce(score, 0) END DESC NULLS LAST, source, source_id) - 1 AS position FROM v
+""")
+def tracker_written(spark, folder):
+    """The tracker written as main table and archive, with the place of each row in its files."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tracker/{uuid.uuid4().hex}"
+    lc.write_tracker(tracker(spark, folder), path, ["NATION_1", "NATION_2"])
+    return read_positions(spark, path, ["is_archive"]).select(
+        "source", "source_id", c("is_archive").cast("boolean").cast("int").alias("is_archive"), "position")
+
+
 @query("archive_prior", HALVES_SQL + """
 SELECT source, source_id, coalesce(n.price, o.price) AS price, (n.price IS NOT NULL)::INTEGER AS from_archive
 FROM old o FULL OUTER JOIN (SELECT * FROM new WHERE city IN ('NATION_1', 'NATION_2')) n USING (source, source_id)

@@ -1,6 +1,7 @@
 """Feed parsers on invented payloads, streams over several files, and the shape of the plans."""
 
 import json
+import random
 import tempfile
 
 import pytest
@@ -237,10 +238,37 @@ def test_tracker_folders(spark):
     from hearthline.operators.lifecycle import write_tracker
 
     out = tempfile.mkdtemp(prefix="hearthline-tracker-") + "/t"
-    write_tracker(spark.createDataFrame([("x", 1), (None, 2), ("y", 3)], "city string, n int"), out, ["x"])
+    write_tracker(spark.createDataFrame([("x", 1), (None, 2), ("y", 3)], "city string, n int"), out, ["x"], ["n"])
     assert {(r.n, r.is_archive) for r in spark.read.parquet(out).collect()} == {(1, "true"), (2, "false"), (3, "false")}
 
 
+def test_positions_follow_the_order_over_many_files(spark):
+    """Ties, nulls, hot values, tables named by text, several files a task; an empty table has no rows."""
+    from pyspark.sql import functions as F
+
+    from hearthline.operators.ordered import positions, read_positions, write_ordered
+
+    rng = random.Random(3)
+    data = [(i, rng.choice([None, 1, 1, 1, 1, rng.randrange(100)]), rng.choice(["b", "a c", None])) for i in range(5_000)]
+    frame = spark.createDataFrame(data, "id int, v int, kind string").repartition(7)
+    order = [F.desc_nulls_last("v"), "id"]
+    plain = sorted(data, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    got = {r.id: r.position for r in positions(frame, order).collect()}
+    assert got == {r[0]: i for i, r in enumerate(plain)}
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 90)
+    try:
+        folder = tempfile.mkdtemp(prefix="hearthline-ordered-") + "/t"
+        write_ordered(frame, folder, order, ["kind"])
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    written = read_positions(spark, folder, ["kind"])
+    assert len(written.inputFiles()) > 20
+    by_kind = {kind: {r[0]: i for i, r in enumerate(x for x in plain if x[2] == kind)} for kind in ("b", "a c", None)}
+    for r in written.collect():
+        assert by_kind[r.kind][r.id] == r.position
+    assert positions(frame.limit(0), order).count() == 0
+
+
 def test_builtin_feeds_have_known_rules():
     from hearthline.sources.details import RULES
     from hearthline.sources.feeds import builtin_feeds
