@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hearthline.functions.numeric import price_per_area
 from hearthline.operators.filters import SearchConfig, search_filter
 from hearthline.operators.scoring import clamp_score, market_delta, market_label, reference_band, seller_points
-from hearthline.operators.valuation import fair_price
+from hearthline.operators.valuation import PROFILE, RESULT, fair_price, start_estimates, update_estimates, with_estimates
 from hearthline.plans.registry import half_even_sql, query
+from hearthline.session import cut_lineage
 from hearthline.sources.tables import deals, listings
 
 AS_OF = "2001-08-01"
+UPDATED = "2001-07-15"
 SEARCH = SearchConfig(rooms_min=1.5, rooms_max=5.0, price_min=300_000, price_max=2_500_000, min_sqm=40)
 
 PRICED_SQL = f"""
@@ -60,6 +62,20 @@ def fair_price_query(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("fair_price_update", PRICED_SQL + """
+SELECT l.source, l.source_id, comps_used, comps_scope, fair_price_estimate, fair_price_low, fair_price_high
+FROM listings l LEFT JOIN priced p USING (source, source_id)
+""")
+def fair_price_update(spark: SparkSession, folder: str) -> DataFrame:
+    """Estimates of an earlier day, brought up to date with the deals since then; equals a run over all deals."""
+    rows = listings(spark, folder).select("source", "source_id", "city", "neighborhood", "rooms", "sqm")
+    profiles = cut_lineage(rows.filter(F.col("sqm") > 0).select(*PROFILE).distinct())
+    comps, day = deals(spark, folder), F.lit(UPDATED).cast("date")
+    before = start_estimates(profiles, comps.filter(F.col("deal_date") < day), day)
+    after = update_estimates(before, profiles, comps.filter(F.col("deal_date") >= day), F.lit(AS_OF).cast("date"))
+    return with_estimates(rows, after).select("source", "source_id", *RESULT)
+
+
 @query("fair_price_score", PRICED_SQL + """
 , base AS (
   SELECT l.source, l.source_id, l.price, l.is_agent, p.fair_price_estimate,

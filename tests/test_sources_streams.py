@@ -242,6 +242,29 @@ def test_tracker_folders(spark):
     assert {(r.n, r.is_archive) for r in spark.read.parquet(out).collect()} == {(1, "true"), (2, "false"), (3, "false")}
 
 
+def test_updated_estimates_equal_a_full_run(spark):
+    """Days with new deals, expiring ones, new, gone and null profiles; only profiles near a changed cell are priced anew."""
+    rng = random.Random(11)
+    day = lambda n: f"2024-{1 + n // 28:02d}-{1 + n % 28:02d}"
+    kinds = "city string, neighborhood string, rooms double, sqm int, price bigint, deal_date string, address_hash string"
+    comps = spark.createDataFrame([
+        (rng.choice("ABC"), rng.choice(["n", "m", "", None]), rng.choice([2.0, 2.5, 3.0, None]), rng.choice([40, 50, 58, 90, 0, None]),
+         rng.randrange(100, 999) * 1000, day(rng.randrange(300)), f"h{i}") for i in range(600)], kinds).withColumn("deal_date", F.col("deal_date").cast("date"))
+    every = [(c, n, r, q) for c in "ABCD" for n in ("n", "m", "", None) for r in (2.0, 3.0, None) for q in (45, 60, 88)]
+    frame = lambda rows: spark.createDataFrame(rows, "city string, neighborhood string, rooms double, sqm int")
+    options = dict(window_months=4, min_comps=2, max_comps=5)
+    date = lambda n: F.lit(day(n)).cast("date")
+    kept, last = va.start_estimates(frame(every[:100]), comps.filter(F.col("deal_date") < date(150)), date(150), **options), 150
+    for now, profiles in ((170, every[20:]), (171, every), (260, every)):
+        new = comps.filter((F.col("deal_date") >= date(last)) & (F.col("deal_date") < date(now)))
+        kept, last = va.update_estimates(kept, frame(profiles), new, date(now), **options), now
+        full = va.start_estimates(frame(profiles), comps.filter(F.col("deal_date") < date(now)), date(now), **options)
+        columns = [*va.PROFILE, *va.RESULT]
+        assert sorted(map(str, kept.prices.select(columns).collect())) == sorted(map(str, full.prices.select(columns).collect()))
+    one = comps.filter((F.col("city") == "A") & (F.col("sqm") == 90)).select("city", F.col("rooms").alias("comp_rooms"), F.col("sqm").alias("comp_sqm"))
+    assert {(r.city, r.sqm) for r in va.affected_profiles(frame(every), one).collect()} == {("A", 88)}
+
+
 def test_positions_follow_the_order_over_many_files(spark):
     """Ties, nulls, hot values, tables named by text, several files a task; an empty table has no rows."""
     from pyspark.sql import functions as F
