@@ -50,6 +50,49 @@ TEMPLATES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 
+#: Whole license texts, fixed wording: conditions and disclaimers are mandatory, names and list marks are regions.
+BSD_OPENING = """redistribution and use in source and binary forms with or without modification are permitted provided that the
+following conditions are met <<var:1>> redistributions of source code must retain the above copyright notice this list of
+conditions and the following disclaimer <<var:1>> redistributions in binary form must reproduce the above copyright notice
+this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"""
+BSD_CLOSING = """this software is provided by <<var:20>> as is and any express or implied warranties including but not limited to the
+implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var:20>> be
+liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement
+of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of
+liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of
+this software even if advised of the possibility of such damage"""
+BODIES = {
+    "bsd-2-clause-whole": f"{BSD_OPENING} {BSD_CLOSING}",
+    "bsd-3-clause-whole": f"""{BSD_OPENING} <<var:1>> neither the name of <<var:20>> nor the names of <<opt>>its<</opt>>
+<<opt>>the<</opt>> contributors may be used to endorse or promote products derived from this software without specific prior
+written permission {BSD_CLOSING}""",
+    "isc-whole": """permission to use copy modify and <<opt>>or<</opt>> distribute this software for any purpose with or without
+fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is
+provided as is and <<var:12>> disclaims all warranties with regard to this software including all implied warranties of
+merchantability and fitness in no event shall <<var:12>> be liable for any special direct indirect or consequential damages or
+any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious
+action arising out of or in connection with the use or performance of this software""",
+    "mit-whole": """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
+documentation files the software to deal in the software without restriction including without limitation the rights to use
+copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is
+furnished to do so subject to the following conditions the above copyright notice and this permission notice <<opt>>including
+the next paragraph<</opt>> shall be included in all copies or substantial portions of the software the software is provided as
+is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a
+particular purpose and noninfringement in no event shall <<var:20>> be liable for any claim damages or other liability whether
+in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings
+in the software""",
+    "zlib-whole": """this software is provided as is without any express or implied warranty in no event will <<var:12>> be held
+liable for any damages arising from the use of this software permission is granted to anyone to use this software for any
+purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions
+<<var:1>> the origin of this software must not be misrepresented you must not claim that you wrote the original software if you
+use this software in a product an acknowledgment in the product documentation would be appreciated but is not required <<var:1>>
+altered source versions must be plainly marked as such and must not be misrepresented as being the original software <<var:1>>
+this notice may not be removed or altered from any source distribution""",
+}
+
+#: Typographic quotes that stand against words, as in “as is”.
+QUOTES = re.compile(b"|".join(q.encode() for q in "“”‘’«»„"))
+
 MARK = re.compile(r"<<opt>>|<</opt>>|<<var:(\d+)>>")
 
 
@@ -129,7 +172,7 @@ class Scanner:
 
     def __init__(self, templates: dict[str, str] | None = None, base: dict[str, str] | None = None):
         self.base = [(phrase(p), label) for p, label in (BASE if base is None else base).items()]
-        self.automata = [compile_template(k, v) for k, v in (TEMPLATES if templates is None else templates).items()]
+        self.automata = [compile_template(k, v) for k, v in (TEMPLATES | BODIES if templates is None else templates).items()]
         self.starts = []
         for a in self.automata:
             first = a.closure({0})
@@ -187,7 +230,11 @@ class Scanner:
     def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, int, str]], list[tuple[int, int, str]]]:
         words = words_of(text)
         vocabulary = set(words)
-        return len(words), list(self.base_places(words, vocabulary)), list(self.template_places(words, vocabulary))
+        base = list(self.base_places(words, vocabulary))
+        if text and QUOTES.search(text):  # templates read words without quotes; places stay those of the words
+            words = [QUOTES.sub(b"", w) for w in words]
+            vocabulary = set(words)
+        return len(words), base, list(self.template_places(words, vocabulary))
 
 
 def scan_licenses(

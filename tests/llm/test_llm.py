@@ -263,6 +263,33 @@ def test_templates():
     assert [x[:2] for x in sorted(scanner.scan(b"x y x y")[1])] == [(0, 2), (1, 3), (2, 4)]
 
 
+def filled(template, names):
+    """A text of a template: optional regions left out, replaceable ones of several words take a name, of one word a list mark."""
+    text = re.sub("<<opt>>.*?<</opt>>", "", template, flags=re.S)
+    return re.sub(r"<<var:(\d+)>>", lambda m: names if int(m[1]) > 1 else "-", text)
+
+
+def test_whole_license_texts():
+    scanner = licenses.Scanner()
+    whole = lambda text: {x[2] for x in scanner.scan(text.encode())[2] if x[2].endswith("-whole")}
+    for label, template in licenses.BODIES.items():
+        for names in ("the copyright holders and contributors", "ACME, Inc."):
+            text = filled(template, names)
+            assert whole("Copyright 2020\n" + text.upper() + "\nint main") == {label}
+            assert whole(text.replace(" as is ", " “AS IS” ")) == {label}
+        words = filled(template, "the authors").split()
+        for at in range(0, len(words), 7):  # a changed, lost or added word
+            if words[at] not in ("the", "authors", "-"):
+                assert label not in whole(" ".join(words[:at] + ["otherwise9"] + words[at + 1:])), (label, at)
+                assert label not in whole(" ".join(words[:at] + words[at + 1:])), (label, at)
+        assert label not in whole(" ".join(words[:len(words) // 2]))
+    numbered = filled(licenses.BODIES["bsd-3-clause-whole"], "X").replace("- redistributions of", "1. redistributions of").replace("- neither", "3. Neither")
+    assert whole(numbered) == {"bsd-3-clause-whole"}
+    tuesday = filled(licenses.BODIES["mit-whole"], "the authors").split(" including without")[0] + " but only on Tuesdays and never for sale"
+    assert whole(tuesday) == set()
+    assert whole(filled(licenses.BSD_OPENING, "X").split("<<")[0].split("met")[0] + "met: you pay us") == set()
+
+
 def test_license_scan_of_all_rows(docs, hard, empty):
     def plain(text):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
