@@ -172,9 +172,12 @@ def _entity_text(e: Column) -> Column:
 
 def unescape_markup(c: Column) -> Column:
     """Numeric and named character references of HTML 5, decoded once, without leaving the JVM."""
-    decoded = F.transform(F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(0)), _entity_text)
-    parts = F.zip_with(F.split(c, _ENTITY, -1), decoded, lambda gap, e: F.concat(gap, F.coalesce(e, F.lit(""))))
-    return F.when(F.contains(c, F.lit("&")), F.array_join(parts, "")).otherwise(c)
+    def decoded(text: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0)), _entity_text)
+        parts = F.zip_with(F.split(text, _ENTITY, -1), found, lambda gap, e: F.concat(gap, F.coalesce(e, F.lit(""))))
+        return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
+
+    return let(c, decoded)
 
 
 def strip_tags(c: Column) -> Column:
@@ -218,15 +221,18 @@ def trailing_number(c: Column) -> Column:
 def split_city_title(c: Column, cities: Sequence[str] | None = None) -> Column:
     """STRUCT(city, neighborhood): first listed city that prefixes the title, else the first word."""
     known = literal_array(lx.MULTIWORD_CITIES if cities is None else cities)
-    title = F.coalesce(c, F.lit(""))
-    hit = F.get(F.filter(known, lambda k: title.startswith(k)), F.lit(0))
-    word = F.regexp_extract(title, r"(?U)^\s*(\S+)", 1)
-    rest = F.regexp_extract(title, r"(?Us)^\s*\S+\s+(.*)$", 1)
-    return F.struct(
-        F.coalesce(hit, word).alias("city"),
-        F.when(hit.isNotNull(), F.trim(F.substr(title, F.length(hit) + 1))).otherwise(rest)
-        .alias("neighborhood"),
-    )
+
+    def split(title: Column, hit: Column) -> Column:
+        word = F.regexp_extract(title, r"(?U)^\s*(\S+)", 1)
+        rest = F.regexp_extract(title, r"(?Us)^\s*\S+\s+(.*)$", 1)
+        return F.struct(
+            F.coalesce(hit, word).alias("city"),
+            F.when(hit.isNotNull(), F.trim(F.substr(title, F.length(hit) + 1))).otherwise(rest)
+            .alias("neighborhood"),
+        )
+
+    return let(F.coalesce(c, F.lit("")), lambda title: let(
+        F.get(F.filter(known, lambda k: title.startswith(k)), F.lit(0)), lambda hit: split(title, hit)))
 
 
 _NUMBERED = r"^(.+?)\s+([0-9]+[א-ת]?)$"
@@ -242,54 +248,62 @@ def _street_of(part: Column) -> Column:
 
 def split_address_city_first(c: Column) -> Column:
     """'city, neighbourhood, street 4'."""
-    parts = _parts(c)
-    at = lambda i: F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
-    return F.struct(
-        at(0).alias("city"), at(1).alias("neighborhood"), at(2).alias("street"),
-        trailing_number(at(2)).alias("house_number"),
-    )
+    def split(parts: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
+        return F.struct(
+            at(0).alias("city"), at(1).alias("neighborhood"), at(2).alias("street"),
+            trailing_number(at(2)).alias("house_number"),
+        )
+
+    return let(_parts(c), split)
 
 
 def split_address_street_first(c: Column, default_city: str = lx.DEFAULT_CITY) -> Column:
     """'street 4, neighbourhood, city'."""
-    parts, n = _parts(c), F.size(_parts(c))
-    first = F.coalesce(F.get(parts, F.lit(0)), F.lit(""))
-    return F.struct(
-        _street_of(first).alias("street"),
-        F.regexp_extract(first, _NUMBERED, 2).alias("house_number"),
-        F.when(n >= 3, F.get(parts, n - 2)).otherwise("").alias("neighborhood"),
-        F.when(n >= 2, F.get(parts, n - 1)).otherwise(default_city).alias("city"),
-    )
+    def split(parts: Column) -> Column:
+        n = F.size(parts)
+        first = F.coalesce(F.get(parts, F.lit(0)), F.lit(""))
+        return F.struct(
+            _street_of(first).alias("street"),
+            F.regexp_extract(first, _NUMBERED, 2).alias("house_number"),
+            F.when(n >= 3, F.get(parts, n - 2)).otherwise("").alias("neighborhood"),
+            F.when(n >= 2, F.get(parts, n - 1)).otherwise(default_city).alias("city"),
+        )
+
+    return let(_parts(c), split)
 
 
 def split_address_either_order(
     c: Column, default_city: str = lx.DEFAULT_CITY, prefixes: Sequence[str] | None = None
 ) -> Column:
     """'street 4, city', 'city, street 4' or 'city street 4'; a leading 'street' word is dropped."""
-    text = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"^רחוב\s+", "")
-    parts, n = _parts(text), F.size(_parts(text))
-    numbered = F.get(F.filter(parts, lambda p: p.rlike(_NUMBERED)), F.lit(0))
-    others = F.when(
-        numbered.isNotNull(), F.filter(parts, lambda p: p != numbered)
-    ).otherwise(parts)
-    city_in_list = F.coalesce(F.get(others, F.size(others) - 1), F.get(parts, n - 1))
-    prefix = F.get(
-        F.filter(
-            literal_array(lx.CITY_PREFIXES if prefixes is None else prefixes),
-            lambda k: text.startswith(F.concat(k, F.lit(" "))),
-        ),
-        F.lit(0),
-    )
-    rest = F.when(
-        prefix.isNotNull(), F.trim(F.substr(text, F.length(prefix) + 1))
-    ).otherwise(text)
-    source = F.when(n >= 2, F.coalesce(numbered, F.get(parts, F.lit(0)))).otherwise(rest)
-    return F.struct(
-        _street_of(source).alias("street"),
-        F.regexp_extract(source, _NUMBERED, 2).alias("house_number"),
-        F.when(n == 3, F.get(parts, F.lit(1))).otherwise("").alias("neighborhood"),
-        F.when(n >= 2, city_in_list).otherwise(F.coalesce(prefix, F.lit(default_city))).alias("city"),
-    )
+    starts = literal_array(lx.CITY_PREFIXES if prefixes is None else prefixes)
+
+    def split(text: Column, parts: Column, numbered: Column, prefix: Column) -> Column:
+        n = F.size(parts)
+        others = F.when(
+            numbered.isNotNull(), F.filter(parts, lambda p: p != numbered)
+        ).otherwise(parts)
+        last = let(others, lambda left: F.get(left, F.size(left) - 1))
+        city_in_list = F.coalesce(last, F.get(parts, n - 1))
+        rest = F.when(
+            prefix.isNotNull(), F.trim(F.substr(text, F.length(prefix) + 1))
+        ).otherwise(text)
+        return let(
+            F.when(n >= 2, F.coalesce(numbered, F.get(parts, F.lit(0)))).otherwise(rest),
+            lambda source: F.struct(
+                _street_of(source).alias("street"),
+                F.regexp_extract(source, _NUMBERED, 2).alias("house_number"),
+                F.when(n == 3, F.get(parts, F.lit(1))).otherwise("").alias("neighborhood"),
+                F.when(n >= 2, city_in_list).otherwise(F.coalesce(prefix, F.lit(default_city))).alias("city"),
+            ))
+
+    first = lambda found: F.get(found, F.lit(0))
+    whole = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"^רחוב\s+", "")
+    return let(whole, lambda text: let(_parts(text), lambda parts: let(
+        first(F.filter(parts, lambda p: p.rlike(_NUMBERED))), lambda numbered: let(
+            first(F.filter(starts, lambda k: text.startswith(F.concat(k, F.lit(" "))))),
+            lambda prefix: split(text, parts, numbered, prefix)))))
 
 
 def split_street_number(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from hearthline.sources.tables import listings, posts, read_table
+from hearthline.sources.tables import listings, posts, read_table, spread
 
 c = F.col
 lit = F.lit
@@ -166,7 +166,7 @@ def _text(*parts) -> Column:
 
 def part_rows(spark: SparkSession, folder: str) -> DataFrame:
     k = c("p_partkey")
-    return read_table(spark, folder, "part").select(
+    return spread(read_table(spark, folder, "part")).select(
         k.alias("k"), (k + 1000).alias("id"), c("p_type").alias("city"), c("p_name").alias("area"), c("p_brand").alias("street"),
         c("p_size").alias("number"), F.floor(c("p_retailprice") * 1000).cast("bigint").alias("price"),
         (lit(1) + (c("p_size") % 10) / lit(2.0)).alias("rooms"), (lit(30) + c("p_size")).alias("sqm"),
@@ -265,7 +265,7 @@ def free_item_pages(spark: SparkSession, folder: str) -> DataFrame:
             '</td><td class="photoIcon"><a href="', F.when(k % 2 == 0, "showPhoto.asp?id=").otherwise("none?"), k, '">p</a></td><td class="regDate" title="', F.when(k % 5 != 0, _text(k % 28 + 1, "/", k % 12 + 1, "/2025 21:43")).otherwise("soon"),
             '">x</td></tr>',
         )
-    rows = read_table(spark, folder, "customer").select(c("c_custkey").alias("k"), c("c_name").alias("name"), c("c_mktsegment").alias("area"))
+    rows = spread(read_table(spark, folder, "customer")).select(c("c_custkey").alias("k"), c("c_name").alias("name"), c("c_mktsegment").alias("area"))
     html = _text("<table>", row(_text("<b>", c("name"), "</b> &amp; more")), row(lit("repeat")), "</table>")
     return rows.select(k.alias("page_id"), html.alias("html"))
 
@@ -278,7 +278,7 @@ def deal_pages(spark: SparkSession, folder: str) -> DataFrame:
     table = _text("<tbody>", row(_text(F.format_number(k * 1000 + 7, 0), " &#x20AA;")), row(lit("-")), "<tr><td>short</td></tr></tbody>")
     html = F.when(k % 2 == 0, _text('<section data-testid="deals-history"><table>', table, "</table></section>")).otherwise(
         _text("<h2>נכסים שנמכרו באזור</h2><table>", table, "</table>"))
-    rows = read_table(spark, folder, "customer").select(
+    rows = spread(read_table(spark, folder, "customer")).select(
         c("c_custkey").alias("k"), c("c_mktsegment").alias("area"), c("c_nationkey").cast("string").alias("city"))
     return rows.select(k.alias("page_id"), "city", c("area").alias("neighborhood"), html.alias("html"))
 
@@ -294,7 +294,7 @@ def linked_pages(spark: SparkSession, folder: str) -> DataFrame:
     graph = _nest("@graph", F.array(F.struct(lit("Person").alias("@type"), lit("x").alias("description")), F.struct(lit("Place").alias("@type"), c("name").alias("description"))))
     body = F.when(k % 4 == 0, F.to_json(many)).when(k % 4 == 1, F.to_json(one)).when(k % 4 == 2, F.to_json(graph)).otherwise('{"@type":"Thing"}')
     html = _text('<html><script type="application/ld+json">{broken</script><script type="application/ld+json">', body, "</script></html>")
-    rows = read_table(spark, folder, "customer").select(c("c_custkey").alias("k"), c("c_name").alias("name"))
+    rows = spread(read_table(spark, folder, "customer")).select(c("c_custkey").alias("k"), c("c_name").alias("name"))
     return rows.select(k.alias("page_id"), html.alias("html"))
 
 
@@ -326,7 +326,7 @@ def agency_detail_rows(spark: SparkSession, folder: str) -> DataFrame:
 def detail_html(spark: SparkSession, folder: str) -> DataFrame:
     """One page per customer with icons, labelled rows, features, a dated label and contacts."""
     k = c("k")
-    rows = read_table(spark, folder, "customer").select(c("c_custkey").alias("k"), c("c_name").alias("name"))
+    rows = spread(read_table(spark, folder, "customer")).select(c("c_custkey").alias("k"), c("c_name").alias("name"))
     icon = lambda mark, label: _text('<div><i class="fas ', mark, '"></i> ', label, "</div>")
     page = _text(
         '<html><head><meta property="og:description" content=" ', c("name"), ' "></head><body><div><i class="fas fa-building"></i> קומה ', k % 9, "</div>",
@@ -342,7 +342,7 @@ def detail_html(spark: SparkSession, folder: str) -> DataFrame:
 def described_html(spark: SparkSession, folder: str) -> DataFrame:
     """One page per customer with a menu beside the description nodes of the catalog and article feeds."""
     k = c("k")
-    rows = read_table(spark, folder, "customer").select(c("c_custkey").alias("k"), c("c_name").alias("name"))
+    rows = spread(read_table(spark, folder, "customer")).select(c("c_custkey").alias("k"), c("c_name").alias("name"))
     page = _text(
         "<html><body><nav>מעלית מגרש 9999 מטר</nav>",
         F.when(k % 5 != 0, _text('<div class="rich-text-block-2 w"><p>', c("name"), "</p><p>פינתי ", k % 500 + 100, " מטר</p></div>")).otherwise(""),

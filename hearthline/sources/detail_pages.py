@@ -131,11 +131,11 @@ def text_details(pages: DataFrame, as_of_year: int, description_limit: int | Non
 def labelled_details(pages: DataFrame, as_of_year: int) -> DataFrame:
     """Labelled rows ('strong' label, 'span' value) and a feature list."""
     n = "nodes"
-    page = _whole_page(pages).withColumn("_rows", F.transform(
+    page = _whole_page(pages).withColumn("_rows", tx.let(html.elements(n, "span"), lambda spans: F.transform(
         html.inside(html.elements(n, "strong"), html.elements(n, "li")),
         lambda s: F.struct(s["text"].alias("label"), F.get(F.filter(
-            html.elements(n, "span"), lambda v: (v["parent"] == s["parent"]) & (v["i"] > s["i"])), F.lit(0))["text"].alias("value")),
-    ))
+            spans, lambda v: (v["parent"] == s["parent"]) & (v["i"] > s["i"])), F.lit(0))["text"].alias("value")),
+    )))
     number = lambda *words: tx.first_int(F.get(F.filter("_rows", lambda r: tx.any_of(r["label"], words)), F.lit(0))["value"]).cast("int")
     features = F.transform(
         html.inside(html.elements(n, "a"), html.elements(n, None, attr="id", like="^property-features-wrap$")), lambda a: a["text"])

@@ -67,12 +67,39 @@ def _parsed(html: str) -> _Elements:
     return page
 
 
-def _node(row: list, index: int, base: int) -> dict:
-    last, parent, tag, attrs, texts = row
-    return {
-        "i": index - base, "last": last - base, "parent": parent - base, "tag": tag,
-        "classes": attrs.get("class", "").split(), "attrs": list(attrs.items()), "text": " ".join(texts),
-    }
+class _Nodes:
+    """Lists of elements as Arrow columns, filled value by value: records per element cost several times as much."""
+
+    def __init__(self) -> None:
+        self.ends, self.class_ends, self.attr_ends = [0], [0], [0]
+        self.plain: tuple[list, ...] = ([], [], [], [])
+        self.classes: list[str] = []
+        self.keys: list[str] = []
+        self.values: list[str] = []
+        self.texts: list[str | None] = []
+
+    def add(self, row: list, index: int, base: int, with_text: bool) -> None:
+        last, parent, tag, attrs, texts = row
+        for column, value in zip(self.plain, (index - base, last - base, parent - base, tag)):
+            column.append(value)
+        if attrs:
+            self.classes.extend(attrs.get("class", "").split())
+            self.keys.extend(attrs)
+            self.values.extend(attrs.values())
+        self.class_ends.append(len(self.classes))
+        self.attr_ends.append(len(self.keys))
+        self.texts.append(" ".join(texts) if with_text else None)
+
+    def close_list(self) -> None:
+        self.ends.append(len(self.texts))
+
+    def array(self) -> pa.Array:
+        text, at = pa.string(), lambda ends: pa.array(ends, pa.int32())
+        i, last, parent, tag = (pa.array(v, _NODE.field(k).type) for k, v in enumerate(self.plain))
+        classes = pa.ListArray.from_arrays(at(self.class_ends), pa.array(self.classes, text))
+        attrs = pa.MapArray.from_arrays(at(self.attr_ends), pa.array(self.keys, text), pa.array(self.values, text))
+        nodes = pa.StructArray.from_arrays([i, last, parent, tag, classes, attrs, pa.array(self.texts, text)], fields=list(_NODE))
+        return pa.ListArray.from_arrays(at(self.ends), nodes)
 
 
 def fragments(
@@ -87,9 +114,14 @@ def fragments(
                      *[(name, pa.string()) for name in carry]])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
+        def cards() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([
+                pa.array(keys, arrow_key), pa.array(positions, pa.int64()), below.array(), over.array(),
+                *[pa.array(values, pa.string()) for values in carried]], schema=out)
+
+        keys, positions, carried, below, over = [], [], [[] for _ in carry], _Nodes(), _Nodes()
         for batch in batches:
-            carried = [batch.column(name).to_pylist() for name in carry]
+            page_values = [batch.column(name).to_pylist() for name in carry]
             for place, (page_id, html) in enumerate(zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist())):
                 html = html or ""
                 page = _parsed(html)
@@ -99,19 +131,22 @@ def fragments(
                     attrs = row[3]
                     if row[2] != tag or (attr and attr not in attrs) or (cls and cls not in attrs.get("class", "").split()):
                         continue
-                    above, up = [], row[1]
+                    up = row[1]
                     while up >= 0:
-                        above.append({**_node(page.rows[up], up, index), "text": None})
+                        over.add(page.rows[up], up, index, False)
                         up = page.rows[up][1]
-                    rows.append({
-                        "page_id": page_id, "position": index, "above": above,
-                        "nodes": [_node(page.rows[k], k, index) for k in range(index, row[0] + 1)],
-                        **{name: values[place] for name, values in zip(carry, carried)},
-                    })
-                    if len(rows) >= CARDS_PER_BATCH:
-                        yield pa.RecordBatch.from_pylist(rows, schema=out)
-                        rows = []
-        yield pa.RecordBatch.from_pylist(rows, schema=out)
+                    over.close_list()
+                    for k in range(index, row[0] + 1):
+                        below.add(page.rows[k], k, index, True)
+                    below.close_list()
+                    keys.append(page_id)
+                    positions.append(index)
+                    for values, found in zip(carried, page_values):
+                        values.append(found[place])
+                    if len(keys) >= CARDS_PER_BATCH:
+                        yield cards()
+                        keys, positions, carried, below, over = [], [], [[] for _ in carry], _Nodes(), _Nodes()
+        yield cards()
 
     more = "".join(f", {name} string" for name in carry)
     return pages.select("page_id", "html", *carry).mapInArrow(
@@ -139,7 +174,7 @@ def elements(nodes: Column | str, tag: str | None = None, cls: str | None = None
 
 def inside(found: Column, anchors: Column) -> Column:
     """Those elements that lie below one of the anchors."""
-    return F.filter(found, lambda n: F.exists(anchors, lambda a: (n["i"] > a["i"]) & (n["i"] <= a["last"])))
+    return tx.let(anchors, lambda at: F.filter(found, lambda n: F.exists(at, lambda a: (n["i"] > a["i"]) & (n["i"] <= a["last"]))))
 
 
 def first(found: Column) -> Column:
@@ -159,10 +194,8 @@ def icon_text(nodes: Column | str, marker: str, tag: str = "i", attr: str = "cla
     icon = first(elements(nodes, tag, attr=attr, like=marker))
     if heading is None:
         return F.coalesce(F.get(nodes, icon["parent"])["text"], F.lit(""))
-    heads = F.filter(
-        elements(nodes, heading), lambda h: (icon["i"] > h["i"]) & (icon["i"] <= h["last"])
-    )
-    return F.coalesce(F.element_at(F.when(F.size(heads) > 0, heads), -1)["text"], F.lit(""))
+    heads = tx.let(icon["i"], lambda at: F.filter(elements(nodes, heading), lambda h: (at > h["i"]) & (at <= h["last"])))
+    return F.coalesce(tx.let(heads, lambda found: F.get(found, F.size(found) - 1)["text"]), F.lit(""))
 
 
 N, ABOVE = "nodes", "above"
