@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import random
+import re
 
 from pyspark.sql import functions as F
 
-from hearthline.functions import text as tx
-from hearthline.plans import bronze
+from hearthline.functions import mining as mn, text as tx
+from hearthline.plans import bronze, queries_streams as streams
 from hearthline.sources import html, json_feeds as jf
 
 
@@ -63,3 +65,35 @@ def test_repeats_of_a_page_go_before_the_rows_are_shuffled(spark):
         want = {"a": 1, "b": 2, "c": 7}
     assert got == {(s, p, t): n for s, p in (("s", 0), ("t", 1)) for t, n in want.items()} and flat.count() == 6
     assert "array_position" in _plan(flat)
+
+
+def test_texts_without_a_number_are_not_cast(spark):
+    """A failed cast builds an exception, so no cast may meet the empty text of a pattern that does not match."""
+    rows = spark.createDataFrame([(1, "3 יחידות דיור, 4.5 חדרים, קומה 2"), (2, "שקט"), (3, ""), (4, None)], "k int, t string")
+    t = F.col("t")
+    found = rows.orderBy("k").select(
+        mn.units_count(t).alias("a"), mn.units_count_plain(t).alias("b"), mn.units_count_brief(t).alias("c"),
+        *mn.text_measures(t).values(), tx.digits(t).alias("d"), tx.first_int(t).alias("e"), tx.first_float(t).alias("f"), tx.parse_price(t).alias("g"))
+    assert not re.search(r"(?<!null else try_)cast\(regexp_(extract|replace)\(", _plan(found))
+    none = (None,) * 10
+    assert [tuple(r) for r in found.collect()] == [(3, 3, 3, 4.5, None, 2, 3452, 3, 3.0, 3), none, none, none]
+
+
+def test_long_steps_run_as_methods_that_are_compiled(spark):
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_parking_words_are_not_cast(spark):
+    item = lambda above, under: {"id": "a", "additional_info": {"parking": {"aboveground": above, "underground": under}}}
+    page = json.dumps({"data": [item("2", "none"), item("none", "1"), item("0", "none"), item("1 or 2", ""), item(None, " 3 ")]})
+    rows = jf.parse_bilingual(spark.createDataFrame([("s", 1, page)], "source string, page_no int, payload string")).select("parking")
+    assert [r["parking"] for r in rows.collect()] == [True, True, False, False, True]
+    assert "RLIKE(" in _plan(rows)
+
+
+def test_arriving_rows_are_made_once(spark, tmp_path):
+    drawn = F.udf(lambda _: random.randrange(2), "int").asNondeterministic()
+    rows = spark.range(500).select(F.col("id"), drawn("id").alias("drawn"))
+    streams.arriving(spark, rows, F.col("drawn"), 2, 1, str(tmp_path), lambda stream: None)
+    kept = spark.read.parquet(f"{tmp_path}/in")
+    assert kept.count() == 500 and kept.select("id").distinct().count() == 500
