@@ -8,7 +8,9 @@ expressions in the JVM.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -32,38 +34,76 @@ _NODE_DDL = (
 
 
 class _Elements(HTMLParser):
-    """Flat element list: [last descendant, parent, tag, attrs, texts]."""
+    """Flat element list: [last descendant, parent, tag, attrs, first text, end of texts], the last two being places in ``texts``."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
         self.open: list[int] = []
+        self.texts: list[str] = []
+
+    def updatepos(self, i, j):
+        return j  # lines are not counted
 
     def handle_starttag(self, tag, attrs):
-        index = len(self.rows)
-        self.rows.append([index, self.open[-1] if self.open else -1, tag, {k: v or "" for k, v in attrs}, []])
-        for up in self.open:
-            self.rows[up][0] = index
+        index, at = len(self.rows), len(self.texts)
+        self.rows.append([index, self.open[-1] if self.open else -1, tag, {k: v or "" for k, v in attrs}, at, at])
         if tag not in _VOID:
             self.open.append(index)
 
     def handle_endtag(self, tag):
         for depth in range(len(self.open) - 1, -1, -1):
             if self.rows[self.open[depth]][2] == tag:
-                del self.open[depth:]
+                self.end_from(depth)
                 return
 
+    def end_from(self, depth: int) -> None:
+        """End the open elements from a depth on: what came since they opened is theirs."""
+        for index in self.open[depth:]:
+            row = self.rows[index]
+            row[0], row[5] = len(self.rows) - 1, len(self.texts)
+        del self.open[depth:]
+
     def handle_data(self, data):
         text = data.strip()
         if text and not (self.open and self.rows[self.open[-1]][2] in ("script", "style")):
-            for up in self.open:
-                self.rows[up][4].append(text)
+            self.texts.append(text)
+
+    def text_of(self, row: list) -> str:
+        return " ".join(self.texts[row[4]:row[5]])
+
+
+#: Plain markup: end tags, start tags with quoted attributes, and text. Anything else is the parser's.
+_PLAIN = re.compile(
+    r"""</([a-zA-Z][a-zA-Z0-9]*)>|<([a-zA-Z][a-zA-Z0-9]*)((?:[ \t\n]+[a-zA-Z][a-zA-Z0-9:_-]*="[^"<>]*")*)[ \t\n]*>|([^<]+)|(<)""")
+_ATTRIBUTE = re.compile(r"""([a-zA-Z][a-zA-Z0-9:_-]*)="([^"]*)\"""")
+#: Elements whose content parsers read in ways of their own.
+_OWN_WAYS = {"script", "style", "textarea", "title", "plaintext", "xmp", "iframe", "noembed", "noframes", "noscript"}
+
+
+def _read_plain(page: _Elements, html: str) -> bool:
+    """Read a page of plain markup without the parser's steps per sign; FALSE where it holds anything else."""
+    for token in _PLAIN.finditer(html):
+        end, start, attrs, text, other = token.groups()
+        if text is not None:
+            page.handle_data(unescape(text) if "&" in text else text)
+        elif end is not None:
+            page.handle_endtag(end.lower())
+        elif other is not None or start.lower() in _OWN_WAYS:
+            return False
+        else:
+            page.handle_starttag(start.lower(), [
+                (name.lower(), unescape(value) if "&" in value else value) for name, value in _ATTRIBUTE.findall(attrs)])
+    return True
 
 
 def _parsed(html: str) -> _Elements:
     page = _Elements()
-    page.feed(html)
-    page.close()
+    if not _read_plain(page, html):
+        page = _Elements()
+        page.feed(html)
+        page.close()
+    page.end_from(0)
     return page
 
 
@@ -78,17 +118,21 @@ class _Nodes:
         self.values: list[str] = []
         self.texts: list[str | None] = []
 
-    def add(self, row: list, index: int, base: int, with_text: bool) -> None:
-        last, parent, tag, attrs, texts = row
-        for column, value in zip(self.plain, (index - base, last - base, parent - base, tag)):
-            column.append(value)
+    def add(self, row: list, index: int, base: int, text: str | None) -> None:
+        i, last, parent, tag = self.plain
+        attrs = row[3]
+        i.append(index - base)
+        last.append(row[0] - base)
+        parent.append(row[1] - base)
+        tag.append(row[2])
         if attrs:
-            self.classes.extend(attrs.get("class", "").split())
+            if "class" in attrs:
+                self.classes.extend(attrs["class"].split())
             self.keys.extend(attrs)
             self.values.extend(attrs.values())
         self.class_ends.append(len(self.classes))
         self.attr_ends.append(len(self.keys))
-        self.texts.append(" ".join(texts) if with_text else None)
+        self.texts.append(text)
 
     def close_list(self) -> None:
         self.ends.append(len(self.texts))
@@ -133,11 +177,11 @@ def fragments(
                         continue
                     up = row[1]
                     while up >= 0:
-                        over.add(page.rows[up], up, index, False)
+                        over.add(page.rows[up], up, index, None)
                         up = page.rows[up][1]
                     over.close_list()
                     for k in range(index, row[0] + 1):
-                        below.add(page.rows[k], k, index, True)
+                        below.add(page.rows[k], k, index, page.text_of(page.rows[k]))
                     below.close_list()
                     keys.append(page_id)
                     positions.append(index)
