@@ -76,16 +76,32 @@ def expand_abbreviations(c: Column, table: dict[str, str] | None = None) -> Colu
     return F.array_join(F.filter(tokens, lambda t: t != ""), " ")
 
 
+def _words_without(words: Iterable[str]) -> str:
+    """Pattern of texts that are normal already: words with one plain space between, none of ``words``, no marks or quotes to unify."""
+    named = "|".join(re.escape(w) for w in words)
+    other = f"(?!(?:{named})(?: |\\z))" if named else ""
+    word = other + r"[^\s\u0591-\u05c7׳’‘״“”]++"
+    return f"(?U)^{word}(?: {word})*+\\z"
+
+
 def normalize_text(c: Column, table: dict[str, str] | None = None) -> Column:
-    return expand_abbreviations(unify_quotes(strip_marks(F.coalesce(c, F.lit("")), True)), table)
+    """Marks, quotes, spaces and abbreviations of an address text. One match tells texts that need none of the steps."""
+    text = F.coalesce(c, F.lit(""))
+    normal = _words_without(lx.ADDRESS_ABBREVIATIONS if table is None else table)
+    return F.when(text.rlike(normal), text).otherwise(expand_abbreviations(unify_quotes(strip_marks(text, True)), table))
 
 
 def canonicalize_address(
     c: Column, stopwords: Sequence[str] | None = None, table: dict[str, str] | None = None
 ) -> Column:
-    stop = literal_array(lx.ADDRESS_STOPWORDS if stopwords is None else stopwords)
+    """Normal text without its stop words."""
+    words = lx.ADDRESS_STOPWORDS if stopwords is None else stopwords
+    stop = literal_array(words)
+    text = F.coalesce(c, F.lit(""))
     tokens = F.split(normalize_text(c, table), " ")
-    return F.array_join(F.filter(tokens, lambda t: ~F.array_contains(stop, t)), " ")
+    canonical = _words_without([*(lx.ADDRESS_ABBREVIATIONS if table is None else table), *words])
+    return F.when(text.rlike(canonical), text).otherwise(
+        F.array_join(F.filter(tokens, lambda t: ~F.array_contains(stop, t)), " "))
 
 
 _HOUSE = r"^(?:(.*) )?([0-9]+[A-Za-zא-ת]?)$"
@@ -93,10 +109,9 @@ _HOUSE = r"^(?:(.*) )?([0-9]+[A-Za-zא-ת]?)$"
 
 def street_number(c: Column) -> Column:
     """STRUCT(street, number): the last token is the number when it starts with a digit."""
-    return let(normalize_text(c), lambda norm: F.struct(
-        F.when(norm.rlike(_HOUSE), F.regexp_extract(norm, _HOUSE, 1)).otherwise(norm).alias("street"),
-        F.regexp_extract(norm, _HOUSE, 2).alias("number"),
-    ))
+    return let(normalize_text(c), lambda norm: let(F.regexp_extract(norm, _HOUSE, 2), lambda number: F.struct(
+        F.when(number != "", F.regexp_extract(norm, _HOUSE, 1)).otherwise(norm).alias("street"), number.alias("number"),
+    )))
 
 
 def area_bucket(c: Column, size: int = 10) -> Column:
