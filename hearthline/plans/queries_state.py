@@ -11,7 +11,7 @@ from hearthline.operators.windows import first_per_key, fixed_batches, previous_
 from hearthline.plans.queries_scores import AS_OF as SCORE_AS_OF, CONFIG, SCORE_SQL, TOTAL_SQL, scored_rows
 from hearthline.plans.registry import query
 from hearthline.sources.tables import (
-    KEY, NEWEST, deals, listings, newest_order, observations, price_history, texts,
+    NEWEST, SORT_KEY, deals, listings, newest_order, observations, price_history, texts,
 )
 
 c = F.col
@@ -22,7 +22,7 @@ NOW = "1998-07-01 12:00:00"
 def halves(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """State before the split date, batch after it; both with one row per key."""
     obs = observations(spark, folder)
-    pick = lambda df: first_per_key(df, KEY, newest_order())
+    pick = lambda df: first_per_key(df, SORT_KEY, newest_order())
     old = pick(obs.filter(c("observed_at") < SPLIT)).withColumns({
         "publish_date": c("observed_at"), "first_listed_date": F.date_sub("observed_at", 5),
         "first_seen_at": c("observed_at").cast("timestamp"), "last_seen_at": c("observed_at").cast("timestamp"),

@@ -11,6 +11,7 @@ from hearthline.operators.ordered import read_positions
 from hearthline.plans.queries_state import HALVES_SQL, NOW, SPLIT, halves
 from hearthline.plans.registry import query
 from hearthline.session import checkpoint_dir
+from hearthline.sources.tables import SORT_KEY
 
 c = F.col
 TRACKED = {"score": "double", "city": "string", "rooms_eff": "double", "floor": "int", "price": "bigint", "comments": "string"}
@@ -21,7 +22,7 @@ def current_rows(spark: SparkSession, folder: str) -> DataFrame:
     old, new = halves(spark, folder)
     cols = ["source", "source_id", "city", "rooms", "floor", "price", "observed_at", "line_no", "part_id"]
     both = old.select(*cols, F.lit(1).alias("_p")).unionByName(new.select(*cols, F.lit(0).alias("_p")))
-    rows = lc.first_per_key(both, ["source", "source_id"], [F.asc("_p")])
+    rows = lc.first_per_key(both, SORT_KEY, [F.asc("_p")])
     return rows.select(
         "source", "source_id", "city", c("rooms").alias("rooms_eff"), "floor", "price", "line_no", "part_id",
         F.when(c("_p") == 0, F.lit(NOW).cast("timestamp")).otherwise(c("observed_at").cast("timestamp")).alias("last_seen_at"),

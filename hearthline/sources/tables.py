@@ -70,6 +70,8 @@ FROM lineitem JOIN part ON l_partkey = p_partkey
 """
 
 KEY = ["source", "source_id"]
+#: The key as sorts compare it: a sort looks at the first bytes of its first column before it reads rows, and sources are few.
+SORT_KEY = ["source_id", "source"]
 NEWEST = ["observed_at DESC", "price DESC", "part_id", "supplier_id", "sqm", "price_before", "is_agent"]
 
 
@@ -84,7 +86,7 @@ def listings(spark: SparkSession, folder: str) -> DataFrame:
     """Latest sighting per listing."""
     from hearthline.operators.windows import first_per_key
 
-    return first_per_key(observations(spark, folder), KEY, newest_order())
+    return first_per_key(observations(spark, folder), SORT_KEY, newest_order())
 
 
 LISTINGS_SQL = f"""
