@@ -283,7 +283,8 @@ def stored_units(
 
     Groups without any address text are found by their key alone.
     """
-    groups = stored.select("canonical_id", *GROUP_PARTS).withColumns({"exact_id": exact_key(include_city), "text": _unit_text()})
+    groups = cut_lineage(
+        stored.select("canonical_id", *GROUP_PARTS).withColumns({"exact_id": exact_key(include_city), "text": _unit_text()}))
     block = ["city_n", "rooms_b", "sqm_b"] if same_buckets else ["city_n"]
     keys = groups.groupBy("exact_id").agg(F.min("canonical_id").alias("canonical_id"))
     texts = groups.filter(F.col("text") != "").groupBy(*block, _masked(F.col("text")).alias("mask"), "text").agg(
@@ -340,7 +341,8 @@ def resolve(
     if known is not None and {k: getattr(known, k) for k in rules} != rules:
         raise ValueError("the index of stored groups was made with other rules")
     block = ["city_n", "rooms_b", "sqm_b"] if same_buckets else ["city_n"]
-    keyed = key_parts(listings).withColumn("exact_id", exact_key(include_city))
+    # groups and the last join both need the keys, which cost more than writing them once
+    keyed = cut_lineage(key_parts(listings).withColumn("exact_id", exact_key(include_city)))
     batch = representatives(keyed.withColumn("canonical_id", F.col("exact_id")))
     rank = F.struct(F.lit(1).alias("order"), F.struct(
         F.col("seen.first_seen_at").alias("a"), F.col("seen.source").alias("b"), F.col("seen.source_id").alias("c")))

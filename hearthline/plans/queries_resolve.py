@@ -200,10 +200,14 @@ SELECT source, source_id, canonical_id AS exact_id, coalesce(root, canonical_id)
 """
 
 
+#: What the resolution reads of a listing.
+RESOLVED = ["source", "source_id", "street", "house_number", "rooms", "sqm", "city", "first_seen_at"]
+
+
 @query("resolve_units", RESOLVE_SQL)
 def resolve_units(spark, folder):
     """The whole resolution: exact keys, similar addresses of equal size, roots of the links."""
-    rows = rs.resolve(rows_with_url(spark, folder), same_buckets=True)
+    rows = rs.resolve(rows_with_url(spark, folder).select(*RESOLVED), same_buckets=True)
     return rows.select("source", "source_id", "exact_id", "canonical_id")
 
 
@@ -231,7 +235,8 @@ FROM keyed LEFT JOIN tops ON canonical_id = id WHERE part_id % 2 = 1
 @query("resolve_stored", RESOLVE_STORED_SQL)
 def resolve_stored(spark, folder):
     """Listings of odd parts resolved against a saved index of the groups of even parts; both halves make up the table."""
-    rows = rows_with_url(spark, folder)
+    # the latest sighting of every listing serves both halves
+    rows = cut_lineage(rows_with_url(spark, folder).select(*RESOLVED, "part_id"))
     even = rs.exact_groups(rows.filter(c("part_id") % 2 == 0)).select("canonical_id", *rs.GROUP_PARTS).distinct()
     index = rs.save_units(rs.stored_units(even, same_buckets=True), f"units_{uuid.uuid4().hex}", 8)
     found = rs.resolve(rows.filter(c("part_id") % 2 == 1), index, same_buckets=True)

@@ -9,8 +9,10 @@ import re
 from pyspark.sql import functions as F
 
 from hearthline.functions import mining as mn, text as tx
+from hearthline.operators import resolve as rs
 from hearthline.plans import bronze, queries_streams as streams
 from hearthline.sources import html, json_feeds as jf
+from hearthline.sources.tables import listings
 
 
 def _plan(df) -> str:
@@ -97,3 +99,48 @@ def test_arriving_rows_are_made_once(spark, tmp_path):
     streams.arriving(spark, rows, F.col("drawn"), 2, 1, str(tmp_path), lambda stream: None)
     kept = spark.read.parquet(f"{tmp_path}/in")
     assert kept.count() == 500 and kept.select("id").distinct().count() == 500
+
+
+def test_pages_of_plain_markup_are_read_without_the_parser(monkeypatch):
+    page = '<div class="a  b" ID="x">one <b>two</b> &amp; three<br><i title="4 &gt; 3"></i></div>after'
+    others = ["<div>a < b</div>", "<p>x<script>if (a</b>c)</script>y</p>", "<a href='q'>r</a>", "<!-- c --><b>d</b>", "<br/>e", "<p", "<title>a<b>c</title>"]
+    read = lambda text: [[*row[:4], found.text_of(row)] for found in [html._parsed(text)] for row in found.rows]
+    fast = [read(text) for text in [page, *others]]
+    assert fast[0] == [
+        [3, -1, "div", {"class": "a  b", "id": "x"}, "one two & three"], [1, 0, "b", {}, "two"], [2, 0, "br", {}, ""],
+        [3, 0, "i", {"title": "4 > 3"}, ""]]
+    with monkeypatch.context() as patched:
+        patched.setattr(html, "_read_plain", lambda *_: False)
+        assert [read(text) for text in [page, *others]] == fast
+    fed = []
+    monkeypatch.setattr(html._Elements, "feed", lambda self, text: fed.append(text))
+    read(page)
+    assert fed == []
+
+
+def test_normal_texts_are_told_by_one_match(spark):
+    texts = ["blue plate 18", "רח' הים 5", " a", "a  b", "a\n", "a\u00a0b", "תל־חי", "ד״ר x", "", None, "שד'", "x שד'", "שד'x y"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    table, stop = {"רח'": "רחוב", "שד'": "", "b.": "c"}, ["רחוב", "y"]
+    slow = tx.expand_abbreviations(tx.unify_quotes(tx.strip_marks(F.coalesce("t", F.lit("")), True)), table)
+    got = rows.select(tx.normalize_text(F.col("t"), table).alias("n"), tx.canonicalize_address(F.col("t"), stop, table).alias("c"), slow.alias("s")).collect()
+    assert [r["n"] for r in got] == [r["s"] for r in got]
+    assert [r["c"] for r in got] == [" ".join(w for w in r["s"].split(" ") if w not in stop) for r in got]
+    told = rows.filter(F.col("t").rlike(tx._words_without(table))).collect()
+    assert [r["t"] for r in told] == ["blue plate 18", "שד'x y"]
+
+
+def test_keys_of_listings_are_made_once(spark):
+    fields = "source string, source_id string, city string, street string, house_number string, rooms double, sqm int, first_seen_at timestamp"
+    rows = spark.createDataFrame([("a", "1", "X", "Herzl", "4", 3.0, 70, None), ("a", "2", "X", "Herzl", "4", 3.0, 70, None)], fields)
+    resolved = rs.resolve(rows, same_buckets=True)
+    assert "rlike" not in _plan(resolved).lower() and "regexp_replace" not in _plan(resolved)
+    assert len({r["canonical_id"] for r in resolved.collect()}) == 1
+    groups = rs.exact_groups(rows).select("canonical_id", *rs.GROUP_PARTS).distinct()
+    index = rs.stored_units(groups, same_buckets=True)
+    assert all("regexp_replace" not in _plan(frame) for frame in (index.keys, index.texts, index.heads))
+
+
+def test_latest_sightings_are_sorted_by_the_listing_first(spark):
+    plan = _plan(listings(spark, "/root/testdata/sf0.001"))
+    assert re.search(r"row_number\(\) windowspecdefinition\(source_id#\d+, source#\d+", plan)
