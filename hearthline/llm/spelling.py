@@ -184,6 +184,12 @@ def _rows(make: Callable, schema: list[str]) -> Callable:
     return run
 
 
+def joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Sort-merge join, whatever the sizes look like: Spark takes what Python makes of a word for about as large as the word, and
+    compressed files for as large as their rows, so it would collect and broadcast tables that the driver cannot hold."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def neighbours(words: DataFrame) -> DataFrame:
     """(a, b): ids of every pair of distinct ``word`` that one inserted, deleted or replaced code point tells apart, once each.
 
@@ -202,12 +208,12 @@ def neighbours(words: DataFrame) -> DataFrame:
     plain = saved(walk(plain_edges, ["node long", "label long", "child long"]).repartition("node", "label").distinct(), "trie")
     ends = walk(word_end, ["node long", "target long"])
 
-    replaced = walk(replaced_states, ["id long", "node long", "label long", "point int", "rest array<long>"]).join(
-        free, ["node", "label"]).filter("larger > point").select("id", "child", "rest")
+    replaced = joined(
+        walk(replaced_states, ["id long", "node long", "label long", "point int", "rest array<long>"]), free, ["node", "label"]).filter("larger > point").select("id", "child", "rest")
     left_out = walk(left_out_states, ["id long", "node long", "label long", "rest array<long>"])
     # the end of a word is reached without a further edge
     over = left_out.filter("label = 0").select("id", F.col("node").alias("child"), "rest")
-    moved = left_out.filter("label <> 0").join(plain, ["node", "label"]).select("id", "child", "rest")
+    moved = joined(left_out.filter("label <> 0"), plain, ["node", "label"]).select("id", "child", "rest")
     frontier = saved(replaced.unionByName(over).unionByName(moved), "frontier")
     done = frontier.filter("rest is null")
     for _ in range((longest // 2).bit_length()):
@@ -215,11 +221,11 @@ def neighbours(words: DataFrame) -> DataFrame:
             "id", F.col("child").alias("node"), F.col("rest")[0].alias("label"),
             F.when(F.size("rest") > 1, F.slice("rest", 2, F.size("rest"))).alias("rest"),
         )
-        frontier = saved(alive.join(plain, ["node", "label"]).select("id", "child", "rest"), "frontier")
+        frontier = saved(joined(alive, plain, ["node", "label"]).select("id", "child", "rest"), "frontier")
         done = done.unionByName(frontier.filter("rest is null"))
-    found = done.join(ends, F.col("child") == F.col("node")).select(F.col("id").alias("a"), F.col("target").alias("b"))
+    found = joined(done, ends, F.col("child") == F.col("node")).select(F.col("id").alias("a"), F.col("target").alias("b"))
     a, b = (words.select(F.col("id").alias(x), F.col("word").alias(f"{x}_word")) for x in "ab")
-    return found.join(a, "a").join(b, "b").filter(F.levenshtein("a_word", "b_word", 1) == 1).select("a", "b")
+    return joined(joined(found, a, "a"), b, "b").filter(F.levenshtein("a_word", "b_word", 1) == 1).select("a", "b")
 
 
 def last_forms(forms: DataFrame) -> DataFrame:
@@ -230,9 +236,9 @@ def last_forms(forms: DataFrame) -> DataFrame:
     now = saved(forms.filter("form is not null").select("id", F.col("form").alias("root")), "roots")
     while True:
         step = now.select(F.col("id").alias("mid"), F.col("root").alias("far"))
-        ahead = now.join(step, F.col("root") == F.col("mid"), "left")
+        ahead = joined(now, step, F.col("root") == F.col("mid"), "left")
         if ahead.filter("mid is not null").isEmpty():
-            return forms.select("id").join(now, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+            return joined(forms.select("id"), now, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
         now = saved(ahead.select("id", F.coalesce("far", "root").alias("root")), "roots")
 
 
@@ -247,17 +253,17 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     pairs = saved(neighbours(kept), "near")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     known = kept.select(F.col("id").alias("b"), F.col("n").alias("other_n"), F.col("word").alias("other"))
-    best = both.join(known, "b").groupBy("a").agg(
+    best = joined(both, known, "b").groupBy("a").agg(
         F.count(F.lit(1)).alias("n_near"),
         F.min(F.struct((-F.col("other_n")).alias("least"), "other", "b")).alias("best"),
     )
-    linked = saved(kept.join(best, F.col("id") == F.col("a"), "left").withColumn(
+    linked = saved(joined(kept, best, F.col("id") == F.col("a"), "left").withColumn(
         "is_form", -F.col("best.least") >= ratio * F.col("n")).select(
         "id", "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"),
         *[F.when(F.col("is_form"), x).alias(name) for name, x in (
             ("form", F.col("best.other")), ("form_id", F.col("best.b")), ("form_n", -F.col("best.least")))],
     ), "linked")
     roots = last_forms(linked.select("id", F.col("form_id").alias("form")))
-    moved = roots.filter("root <> id").join(kept.select(F.col("id").alias("root"), F.col("word").alias("root_word")), "root")
-    return linked.join(moved.select("id", "root_word"), "id", "left").select(
+    moved = joined(roots.filter("root <> id"), kept.select(F.col("id").alias("root"), F.col("word").alias("root_word")), "root")
+    return joined(linked, moved.select("id", "root_word"), "id", "left").select(
         "word", "form", F.coalesce("root_word", "word").alias("root"), "n", "n_near", "form_n")

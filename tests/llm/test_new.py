@@ -274,3 +274,15 @@ def test_files_are_taken_by_their_number(spark, tmp_path):
         (target / f"part-{number:05d}-x.parquet").write_bytes(next(made.glob("part-*.parquet")).read_bytes())
     rows = corpus_pipeline.token_output(spark, spark.read.parquet(str(tmp_path / "all")), FOLDER).collect()
     assert [r.doc_id for r in sorted(rows, key=lambda r: r.start)] == [0, 1, 2, 3, 4]
+
+
+def test_joins_of_words_are_not_broadcast(spark, monkeypatch):
+    """What Python makes of a word is larger than Spark takes it for: no join may collect a side because it looks small."""
+    plans, saved = [], spelling.saved
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(spelling, "saved", lambda df, name: seen(df) or saved(df, name))
+    words = spark.createDataFrame([("plate", 9), ("plated", 4), ("slated", 1), ("glass", 2)], "word string, n long")
+    found = spelling.variants(words)
+    seen(found)
+    assert {r.word: r.root for r in found.collect()} == {"plate": "plate", "plated": "plate", "slated": "plate", "glass": "glass"}
+    assert sum("SortMergeJoin" in p for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
