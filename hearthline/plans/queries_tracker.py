@@ -10,17 +10,25 @@ from hearthline.operators import lifecycle as lc
 from hearthline.operators.ordered import read_positions
 from hearthline.plans.queries_state import HALVES_SQL, NOW, SPLIT, halves
 from hearthline.plans.registry import query
-from hearthline.session import checkpoint_dir
+from hearthline.session import checkpoint_dir, cut_lineage
 from hearthline.sources.tables import SORT_KEY
 
 c = F.col
 TRACKED = {"score": "double", "city": "string", "rooms_eff": "double", "floor": "int", "price": "bigint", "comments": "string"}
 
 
-def current_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Latest row per listing with the time it was last seen."""
+COLUMNS = ["source", "source_id", "city", "rooms", "floor", "price", "observed_at", "line_no", "part_id"]
+
+
+def written_halves(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Both halves as written tables: the old one is read twice, and what they shuffled is gone before the tracker is joined."""
     old, new = halves(spark, folder)
-    cols = ["source", "source_id", "city", "rooms", "floor", "price", "observed_at", "line_no", "part_id"]
+    return cut_lineage(old.select(*COLUMNS, "street")), cut_lineage(new.select(*COLUMNS))
+
+
+def current_rows(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Latest row per listing with the time it was last seen."""
+    cols = COLUMNS
     both = old.select(*cols, F.lit(1).alias("_p")).unionByName(new.select(*cols, F.lit(0).alias("_p")))
     rows = lc.first_per_key(both, SORT_KEY, [F.asc("_p")])
     return rows.select(
@@ -31,9 +39,8 @@ def current_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def prior_tracker(spark: SparkSession, folder: str) -> DataFrame:
+def prior_tracker(old: DataFrame) -> DataFrame:
     """What the tracker showed before: the old half with some user edits and broken cells."""
-    old, _ = halves(spark, folder)
     n = c("line_no")
     score = F.bround((c("part_id") % 10).cast("double"), 2).cast("string")
     shadow = F.struct(
@@ -65,15 +72,16 @@ def scans(spark: SparkSession) -> DataFrame:
     )
 
 
-def fresh_rows(spark: SparkSession, folder: str) -> DataFrame:
+def fresh_rows(spark: SparkSession, old: DataFrame, new: DataFrame) -> DataFrame:
     return lc.with_freshness(
-        current_rows(spark, folder), scans(spark), F.lit(NOW).cast("timestamp") + F.make_dt_interval(days=F.lit(1)), 1500
+        current_rows(old, new), scans(spark), F.lit(NOW).cast("timestamp") + F.make_dt_interval(days=F.lit(1)), 1500
     )
 
 
 def tracker(spark: SparkSession, folder: str) -> DataFrame:
     today = F.lit(SPLIT).cast("date")
-    return lc.build_tracker(fresh_rows(spark, folder), prior_tracker(spark, folder), today, audit_max=2, tracked=TRACKED)
+    old, new = written_halves(spark, folder)
+    return lc.build_tracker(fresh_rows(spark, old, new), prior_tracker(old), today, audit_max=2, tracked=TRACKED)
 
 
 TRACK_SQL = HALVES_SQL + f"""
@@ -185,7 +193,8 @@ SELECT source, source_id, is_archive::INTEGER AS is_archive, row_number() OVER (
 def tracker_written(spark, folder):
     """The tracker written as main table and archive, with the place of each row in its files."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/tracker/{uuid.uuid4().hex}"
-    lc.write_tracker(tracker(spark, folder), path, ["NATION_1", "NATION_2"])
+    # written before the sort, which reads its input twice and would hold the joins' shuffles as long
+    lc.write_tracker(cut_lineage(tracker(spark, folder)), path, ["NATION_1", "NATION_2"])
     return read_positions(spark, path, ["is_archive"]).select(
         "source", "source_id", c("is_archive").cast("boolean").cast("int").alias("is_archive"), "position")
 
