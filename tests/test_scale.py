@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from hearthline.functions import mining as mn, text as tx
 from hearthline.operators import resolve as rs
-from hearthline.plans import bronze, queries_streams as streams
+from hearthline.plans import bronze, queries_streams as streams, queries_tracker, queries_valuation
+from hearthline.session import checkpoint_dir, cut_lineage, scratch_tables, tune
 from hearthline.sources import html, json_feeds as jf
 from hearthline.sources.tables import listings
+from hearthline.streaming import cycles
 
 
 def _plan(df) -> str:
@@ -144,3 +149,78 @@ def test_keys_of_listings_are_made_once(spark):
 def test_latest_sightings_are_sorted_by_the_listing_first(spark):
     plan = _plan(listings(spark, "/root/testdata/sf0.001"))
     assert re.search(r"row_number\(\) windowspecdefinition\(source_id#\d+, source#\d+", plan)
+
+
+def _shuffle_files(spark) -> int:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return len(re.findall(r"shuffle_\d+_\d+_\d+\.data", files))
+
+
+def test_shuffle_files_go_with_their_action(spark, tmp_path):
+    tune(spark)
+    before = _shuffle_files(spark)
+    spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count().write.parquet(f"{tmp_path}/t")
+    for _ in range(50):
+        if _shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert _shuffle_files(spark) <= before and spark.read.parquet(f"{tmp_path}/t").count() == 100
+
+
+def test_tables_of_a_batch_go_with_it(spark):
+    with scratch_tables(spark):
+        inner = cut_lineage(spark.range(5)).inputFiles()
+        with scratch_tables(spark):
+            deeper = cut_lineage(spark.range(5)).inputFiles()
+        assert all(os.path.exists(f.removeprefix("file://")) for f in inner) and not any(os.path.exists(f.removeprefix("file://")) for f in deeper)
+    assert inner and deeper and not any(os.path.exists(f.removeprefix("file://")) for f in inner)
+    assert cut_lineage(spark.range(5)).count() == 5
+
+
+def test_a_stream_leaves_no_tables_of_its_batches(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int").repartition(2)
+    rows.write.parquet(f"{tmp_path}/in")
+    left = []
+    cycles.available(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), str(tmp_path),
+                     lambda batch, n: left.extend(cut_lineage(batch).inputFiles()))
+    assert left and not any(os.path.exists(f.removeprefix("file://")) for f in left)
+
+
+def test_lots_are_held_once(spark, tmp_path):
+    tables = f"{checkpoint_dir(spark).removeprefix('file:')}/tables"
+    count = lambda: len(os.listdir(tables)) if os.path.isdir(tables) else 0
+    rows, before, seen = spark.range(20).select("id", (F.col("id") % 4).alias("part")), count(), []
+    streams.arriving(spark, rows, F.col("part"), 5, 2, str(tmp_path), lambda stream: seen.append(sorted(os.listdir(f"{tmp_path}/in"))))
+    assert seen == [["lot=0", "lot=1"], ["lot=0", "lot=1", "lot=2", "lot=3"]] and count() == before
+    assert spark.read.parquet(f"{tmp_path}/in").count() == 20
+    assert not [f for _, _, files in os.walk(f"{tmp_path}/laid") for f in files if f.endswith(".parquet")]
+
+
+def test_shared_rows_are_written_before_they_are_joined(spark, monkeypatch):
+    """Listings and halves are read more than once or in front of wide shuffles."""
+    folder, seen = "/root/testdata/sf0.001", []
+
+    class Seen(Exception):
+        pass
+
+    def catch(*frames):
+        seen.extend(frames)
+        raise Seen
+
+    monkeypatch.setattr(streams, "scan_cycle", lambda feed, *a, **k: catch(feed))
+    monkeypatch.setattr(streams, "rescan", lambda state, keys, details, *a, **k: catch(state, keys, details))
+    monkeypatch.setattr(queries_tracker.lc, "build_tracker", lambda rows, prior, *a, **k: catch(prior))
+    monkeypatch.setattr(queries_tracker.lc, "write_tracker", lambda rows, *a, **k: catch(rows))
+    monkeypatch.setattr(queries_valuation, "start_estimates", lambda *a, **k: None)
+    monkeypatch.setattr(queries_valuation, "update_estimates", lambda *a, **k: None)
+    monkeypatch.setattr(queries_valuation, "with_estimates", lambda rows, kept: catch(rows))
+    for run in (streams.scan_cycle_query, streams.rescan_rows, queries_valuation.fair_price_update, queries_tracker.tracker):
+        with pytest.raises(Seen):
+            run(spark, folder)
+    monkeypatch.setattr(queries_tracker, "tracker", lambda *a: spark.range(3).distinct())
+    with pytest.raises(Seen):
+        queries_tracker.tracker_written(spark, folder)
+    seen.append(bronze.nested_pages(spark, folder))
+    assert len(seen) == 8
+    for frame in seen:
+        assert not re.search("window|Join|Aggregate", _plan(frame), re.I) and all("/tables/" in f for f in frame.inputFiles())
